@@ -1,6 +1,6 @@
 """All queries of the retrieval and array engine, with their SQL."""
 
-from __future__ import annotations
+from quarry.plans import arrays, memory, retrieval  # noqa: F401
+from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
