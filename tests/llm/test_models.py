@@ -1,0 +1,199 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quarry.llm import pii, pitman, quality, queries, wordbatch
+from tests.conftest import SMALL
+
+
+def _tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")), None]
+
+
+def _base(rows):
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(t for i, x in rows if not held[i] for t in _tokens(x))
+    n, v = sum(c.values()), len(c)
+    return {i: (held[i], len(_tokens(x)), sum(c[t] > 0 for t in _tokens(x)), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in _tokens(x))) for i, x in rows}
+
+
+def test_op5_base_and_gain(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = _base(rows)
+    found = queries.op5_pitman_yor(spark, SMALL)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got.keys() == want.keys()
+    for i, (held, n, known, total, base) in want.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+    table = {r["held_out"]: r for r in pitman.perplexity(found).collect()}
+    assert table[True]["perplexity"] < table[True]["base_perplexity"]
+    assert table[False]["perplexity"] < 0.5 * table[False]["base_perplexity"]
+
+
+def test_scores_do_not_depend_on_what_is_common(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = docs.limit(60)
+    one = {r["doc_id"]: r["score"] for r in pitman.scored(texts).collect()}
+    monkeypatch.setattr(pitman, "FREQUENT", 20)
+    two = {r["doc_id"]: r["score"] for r in pitman.scored(texts).collect()}
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-5) for i in one)
+
+
+def test_probabilities_sum_to_one(spark):
+    rows = [(i, "a b c a b d a b c e f a") for i in range(20)] + [(100, "g h a"), (101, None)]
+    df = pitman.common.doc_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    fitted = pitman.fit(df.repartition(3))
+    keys, counts, table = pitman.common_words(fitted)
+    assert counts.sum() == fitted.last.customers.sum() and len(keys) == fitted.last.words
+    unseen = sum(s.probability(np.zeros(pitman.CONTEXTS), np.zeros(pitman.CONTEXTS), np.arange(pitman.CONTEXTS), s.parent_probability(0, 0)) for s in fitted.samples) / len(fitted.samples)
+    assert (10.0 ** table.astype(float)).sum(axis=0) + unseen == pytest.approx(np.ones(pitman.CONTEXTS), rel=1e-4)
+
+
+def test_seating_follows_the_restaurant_rule():
+    c, others, base, d, s = 60, 40, 0.05, 0.6, 1.0
+    draw = np.random.default_rng(1)
+    slow = []
+    for _ in range(4000):
+        t = 1
+        for seated in range(1, c):
+            new = (s + d * (others + t)) * base
+            t += draw.random() < new / (new + seated - d * t)
+        slow.append(t)
+    fast = pitman.reseat(np.full(4000, c), np.full(4000, others), d, s, base, draw)
+    assert fast.mean() == pytest.approx(np.mean(slow), rel=0.03) and fast.std() == pytest.approx(np.std(slow), rel=0.08)
+    big = pitman.reseat(np.array([10**9, 1, 5]), np.array([10, 10, 10]), d, s, base, draw)
+    assert 1 <= big[0] < 10**9 and big[1] == 1
+
+
+def test_pitman_odd_and_empty(spark, odd, nothing):
+    got = pitman.scored(odd).collect()
+    assert len(got) == odd.count() and all(np.isfinite(r["score"]) for r in got)
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 4, 9)} == {1}
+    assert pitman.scored(nothing).count() == 0
+    only_held = odd.sparkSession.createDataFrame([(i, "a b") for i in range(200) if pitman.held_out(i)], "doc_id long, text string")
+    assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in pitman.scored(only_held).collect()} == {(0, 0, 0.0)}
+
+
+def test_word_batches():
+    texts = [b"", b" A b\tc\x0b", "é É x\x85y".encode(), b"aB ab Ab\n"]
+    w = wordbatch.split(texts)
+    assert [w.data[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)] == [b"a", b"b", b"c", "é".encode(), "É".encode(), "x\x85y".encode(), b"ab", b"ab", b"ab"]
+    assert w.owner.tolist() == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+    assert len(set(w.hashes()[-3:].tolist())) == 1 and len(set(w.hashes().tolist())) == 7
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), quality.graded(spark.read.parquet(f"{folder}/labels.parquet"))
+    learn, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
+    rows = quality.scored(docs, quality.train(docs, learn)).join(test, "doc_id").collect()
+    kept = {g: np.mean([r["p_good"] >= 0.5 for r in rows if r["grade"] == g]) for g in range(3)}
+    assert kept[2] > 0.99 and kept[0] < 0.25 and kept[1] < 0.45
+    assert all(r["p_good"] <= r["p_poor_or_better"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
+
+
+def test_quality_odd_and_empty(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, 1, 1), (None, 1, 1), (8, None, None), (8, 1, None)], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["grade"]) for r in quality.graded(labels).collect()} == {(1, 2), (5, 1), (7, 0)}
+    model = quality.train(odd, quality.graded(labels))
+    assert quality.scored(odd, model).count() == odd.count() and quality.scored(nothing, model).count() == 0
+    assert quality.selected(odd, model).columns == odd.columns
+    for few in (labels.limit(0), labels.where("doc_id = 1")):
+        assert quality.scored(odd, quality.train(odd, quality.graded(few))).count() == odd.count()
+
+
+EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def _patterns(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+
+
+def test_patterns_equal_their_definition():
+    import random
+
+    draw = random.Random(1)
+    parts = ["a", "@", ".", "1", "23", "255", "256", "+", "-", " ", "(", ")", "a@b.c", "4111 1111 1111 1111", "é", "+1 234 567 8901", "\n", "٣", "0001"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))
+        assert pii.base_spans(text) == _patterns(text), text
+
+
+def test_patterns_take_time_in_proportion():
+    import time
+
+    for text in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "+1" * 200_000, "+1" + "(" * 400_000):
+        began = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - began < 3
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train()
+
+
+def _viterbi(field, words):
+    marked, emit = pii._emissions(field, words)
+    every = np.tile(field.emit[0], (len(words.start), 1))
+    every[marked] = emit
+    out = np.zeros(len(words.start), int)
+    for d in range(words.texts):
+        at = np.flatnonzero(words.owner == d)
+        if len(at):
+            score, back = field.begin + every[at[0]], []
+            for i in at[1:]:
+                ways = score[:, None] + field.move
+                back.append(ways.argmax(axis=0))
+                score = ways.max(axis=0) + every[i]
+            path = [int(score.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            out[at] = path[::-1]
+    return out
+
+
+def test_decoding_is_viterbi(field):
+    table = pii.labelled()
+    words = wordbatch.split([t.encode() for t, _ in table], lower=False)
+    number, label = pii.decode(field, words)
+    got = np.zeros(len(words.start), int)
+    got[number] = label
+    assert (got == _viterbi(field, words)).all()
+    gold = np.array([pii.LABELS.index(x) for _, labels in table for x in labels])
+    assert (got == gold).mean() > 0.98
+
+
+def test_op10(spark, odd, nothing, field):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    import hashlib
+
+    for r in queries.op10_crf_pii(spark, SMALL).collect():
+        base = _patterns(docs[r["doc_id"]])
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if x.split(":")[0] in pii.KINDS] == [x for x in written.split(",") if x]
+    assert pii.found(odd, field).count() == odd.count() and pii.found(nothing, field).count() == 0
+
+
+def test_redaction(spark, odd, nothing, field):
+    rows = pii.redacted(odd, field)
+    assert rows.columns == odd.columns
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    assert texts[2] is None and texts[1] == "plain text with some words in it"
+    assert texts[7].endswith("mail [EMAIL] ip [IP] call [PHONE]") and texts[7].startswith("é漢字 \U0001f600")
+    assert pii.redacted(nothing, field).count() == 0
+    secret = spark.createDataFrame([(1, 'x token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" from 4.0 to version 3.')], "doc_id long, text string")
+    assert pii.redacted(secret, field).first()["text"] == 'x token = "[SECRET]" from 4.0 to version 3.'
