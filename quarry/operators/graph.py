@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Writes an intermediate round to the shared checkpoint folder and reads it back."""
     spark: SparkSession = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/quarry-{spark.sparkContext.applicationId}"
@@ -28,11 +28,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Each round joins the frontier with the edges and takes off what was visited; rounds are written out.
     """
     links = both_ways(edges).select("src", "tgt").distinct()
-    visited = _cut(seeds.select("id", F.lit(0).alias("depth")).distinct())
+    visited = cut(seeds.select("id", F.lit(0).alias("depth")).distinct())
     frontier = visited
     for step in range(1, depth + 1):
         reached = frontier.join(links, frontier["id"] == links["src"]).select(F.col("tgt").alias("id")).distinct().join(visited, "id", "left_anti")
-        frontier = _cut(reached.select("id", F.lit(step).alias("depth")))
+        frontier = cut(reached.select("id", F.lit(step).alias("depth")))
         visited = visited.unionByName(frontier)
     return visited.where("depth > 0")
 
@@ -53,7 +53,7 @@ def spread(edges: DataFrame, seeds: DataFrame, steps: int = 3, decay: float = 0.
     for _ in range(steps):
         sent = now.where(F.col("activation") >= least).join(links, now["id"] == links["src"])
         sent = sent.select(F.col("tgt").alias("id"), (F.col("activation") * F.col("weight") * decay).alias("activation")).where(F.col("activation") >= least)
-        now = _cut(now.unionByName(sent).groupBy("id").agg(F.sum("activation").alias("activation")))
+        now = cut(now.unionByName(sent).groupBy("id").agg(F.sum("activation").alias("activation")))
     return now
 
 

@@ -19,14 +19,14 @@ def pair_hash(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
 
 
-def levels(leaves: DataFrame, count: int) -> DataFrame:
-    """level, idx, hash of the whole tree over leaves (idx from 0, hash); filled up to a power of two.
+def levels(leaves: DataFrame, count: int, least: int = 1) -> DataFrame:
+    """level, idx, hash of the whole tree over leaves (idx from 0, hash); filled up to a power of two, ``least`` leaves at least.
 
     Each level is an aggregation by idx div 2, half the size of the one below.
     """
     spark = leaves.sparkSession
     size = 1
-    while size < count:
+    while size < max(count, least):
         size *= 2
     now = leaves.select(F.col("idx").cast("long").alias("idx"), "hash")
     if size > count:
@@ -39,9 +39,9 @@ def levels(leaves: DataFrame, count: int) -> DataFrame:
     return out
 
 
-def root(leaves: DataFrame, count: int) -> DataFrame:
+def root(leaves: DataFrame, count: int, least: int = 1) -> DataFrame:
     """hash of the tree's root."""
-    tree = levels(leaves, count)
+    tree = levels(leaves, count, least)
     return tree.orderBy(F.desc("level")).limit(1).select("hash")
 
 

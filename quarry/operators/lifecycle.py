@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import cut
+
 DAY = 86_400.0
 WORKING_LAMBDA, EPISODIC_LAMBDA = math.log(2) / (7 * DAY), math.log(2) / (30 * DAY)
 
@@ -112,14 +114,13 @@ def promoted(entries: DataFrame, now: float, least: int = 3) -> DataFrame:
 def numbered(rows: DataFrame, order: list) -> DataFrame:
     """Row numbers from 0 by ``order``, over partitions sorted by range: no single task sees all rows.
 
-    Counts of partitions are collected (one number each).
+    The sorted rows are written out once, so that counts and numbers come from the same partitions; one count for each partition is collected.
     """
-    ranged = rows.orderBy(*order).withColumn("__p", F.spark_partition_id())
-    sizes = dict(ranged.groupBy("__p").count().collect())
+    ranged = cut(rows.orderBy(*order).withColumn("__p", F.spark_partition_id()))
     total, starts = 0, []
-    for p in sorted(sizes):
+    for p, n in sorted(ranged.groupBy("__p").count().collect()):
         starts.append((p, total))
-        total += sizes[p]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __start long"))
+        total += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __start long"))  # a row for each partition
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     return ranged.join(offsets, "__p").withColumn("row_no", F.col("__start") + within - 1).drop("__p", "__start")

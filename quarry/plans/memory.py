@@ -181,16 +181,16 @@ def spreading_activation(spark, d):
     return rounded(graph.spread(_edges(spark, d), seeds, 3), "activation")
 
 
-_NAMES = ["brazl", "Germany", "unitd states", "nowhere", "chna", "japan", "zz"]
+_NAMES = ["nation_3", "NATON_12", "Nation 7", "natin_4", "nation_99", "nowhere", "zz"]
 
 
 @query(f"""WITH m AS (SELECT unnest({str(_NAMES)}) AS mention), p AS (SELECT mention, n_nationkey, levenshtein(lower(mention), lower(n_name)) AS dist FROM m, nation),
         r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY dist, n_nationkey) AS k FROM p WHERE dist <= 2)
-        SELECT m.mention, CAST(r.n_nationkey AS BIGINT) AS id, CAST(r.dist AS BIGINT) AS distance FROM m LEFT JOIN r ON m.mention = r.mention AND r.k = 1""")
+        SELECT m.mention, CAST(coalesce(r.n_nationkey, -1) AS BIGINT) AS id, CAST(coalesce(r.dist, -1) AS BIGINT) AS distance FROM m LEFT JOIN r ON m.mention = r.mention AND r.k = 1""")
 def levenshtein_resolve(spark, d):
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     out = graph.resolved(spark.createDataFrame([(x,) for x in _NAMES], "mention string"), names, 2)
-    return out.select("mention", "id", F.col("distance").cast("long").alias("distance"))
+    return out.select("mention", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("distance", F.lit(-1)).cast("long").alias("distance"))
 
 
 @query("SELECT doc_id, replace(replace(lower(text), 'public license', 'gpl'), 'license', 'licence') AS text FROM documents WHERE contains(lower(text), 'license')")

@@ -195,3 +195,50 @@ def test_floats(spark):
 
     row = spark.createDataFrame([(struct.pack("<3f", 1, 2, 3) + b"x",)], "b binary")
     assert row.select(migrate.floats("b", 2).alias("v")).first()["v"] == [1.0, 2.0]
+
+
+def test_array_files(spark, tmp_path):
+    import numpy as np
+
+    from quarry.sources import arrayfile
+
+    arrayfile.register(spark)
+    path = str(tmp_path / "a.npy")
+    grid = np.arange(60, dtype="<f4").reshape(20, 3)
+    np.save(path, grid)
+    rows = spark.read.format("arrayfile").option("chunk", "4").load(path)
+    assert rows.columns == ["i0", "i1", "value"] and rows.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, rows.collect())) == [(i, j, float(grid[i, j])) for i in range(20) for j in range(3)]
+    some = spark.read.format("arrayfile").option("chunk", "4").option("from", "7").option("to", "9").load(path)
+    assert some.rdd.getNumPartitions() == 1 and some.agg(F.sum("value")).first()[0] == grid[7:9].sum()
+    out = str(tmp_path / "out")
+    rows.write.format("arrayfile").mode("append").save(out)
+    assert sum(len(np.load(f)) for f in __import__("pathlib").Path(out).glob("*.npy")) == 60
+
+
+def test_coding(spark):
+    import numpy as np
+
+    from quarry.functions import coding
+
+    row = spark.createDataFrame([(np.array([1, 2**63], "<u8").tobytes(), np.array([1.5, -2], ">f4").tobytes() + b"z", b"abcdefg")], "u binary, f binary, s binary")
+    got = row.select(coding.numbers(F.col("u"), "u8").alias("u"), coding.numbers(F.col("f"), "f4", True).alias("f"), coding.byte_shuffled(F.col("s"), 3).alias("s"), coding.fletcher32(F.lit(b"abcde").cast("binary")).alias("c")).first()
+    assert [int(x) for x in got["u"]] == [1, 2**63] and got["f"] == [1.5, -2.0] and bytes(got["s"]) == b"adbecfg"
+    words = [0x6162, 0x6364, 0x6500]
+    a = b = 0
+    for w in words:
+        a = (a + w) % 65535
+        b = (b + a) % 65535
+    assert got["c"] == b << 16 | a
+
+
+def test_replay_and_profile(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, value string")
+    log = spark.createDataFrame([(1, "save", 3, "c"), (2, "delete", 1, None), (3, "save", 2, "x"), (4, "save", 2, "y")], "seq long, op string, id long, value string")
+    assert sorted(map(tuple, tables.replayed(base, log).collect())) == [(2, "y"), (3, "c")]
+
+
+def test_merge_refuses_duplicates(spark):
+    a = spark.createDataFrame([("x", 1)], "name string, n int")
+    with pytest.raises(Exception, match="duplicate x"):
+        tables.merged([a, a]).collect()
