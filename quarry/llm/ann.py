@@ -36,7 +36,7 @@ from quarry.llm import common
 
 SAMPLE = 16_384
 CELLS = 1024
-UNIT = 8192
+UNIT = 1024
 QUERIES = 4096
 RERANK = 24
 TARGET = 0.98
