@@ -23,7 +23,8 @@ Two ways to make blocks:
 * ``minima``: for a similarity of shingle sets, whose fingerprints are too far
   apart for the pigeonhole. Keys are runs of ``ROWS`` smallest permuted shingle hashes;
   texts with a Jaccard similarity of 0.8 share one of the ``BANDS`` keys with a
-  probability of 0.997.
+  probability of 0.997. Here fingerprints only choose pairs: those that survive are
+  verified by the similarity of their sets of shingles (as 32-bit hashes), exactly.
 
 Null text counts as empty. Texts without words have fingerprint zero and link
 like any other. Rows with equal fingerprints are collapsed before blocks are
@@ -47,7 +48,9 @@ from quarry.llm.wordbatch import mix
 
 SEED = 42
 PIVOTS = 24
-TILE = 2048
+TILE = 1024
+#: Bytes of the bit table that counts common shingles in a unit.
+BITS = 8 << 20
 ROWS, BANDS = 3, 8
 #: Fingerprint lanes of 64 bits for the similarity form: wide enough to tell 0.8 from 0.5.
 LANES = 4
@@ -112,27 +115,29 @@ def minima(hashes: np.ndarray) -> list[int]:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False) -> DataFrame:
-    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys) of each row.
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False) -> DataFrame:
+    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys) or shingles (sorted 32-bit hashes, packed) of each row.
 
     Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash.
     """
 
     def make():
         def work(batch):
-            prints, blocks = [], []
+            prints, blocks, sets = [], [], []
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
                     hashes = shingle_hashes(text, words)
                     prints.append([np.uint64(majority(hashes if not k else mix(hashes + np.uint64(k)))).astype(np.int64) for k in range(lanes)])
                     if keys:
                         blocks.append(minima(np.unique(hashes)))
+                    if shingles:
+                        sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
             out = {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
-            return out | ({"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {})
+            return out | ({"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}) | ({"shingles": pa.array(sets, pa.binary())} if shingles else {})
 
         return work
 
-    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys
+    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles
     return common.map_steps(common.doc_texts(docs), make, schema)
 
 
@@ -159,13 +164,60 @@ def _tiled(rows: DataFrame) -> DataFrame:
     )
 
 
-def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class Common:
+    """Jaccard similarities of pairs of rows, from their sets of 32-bit hashes."""
+
+    def __init__(self, sets: list[bytes]):
+        self.sets = sets
+        self.sizes = np.fromiter((len(x) // 4 for x in sets), np.int64, len(sets))
+
+    def _set(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.sets[i], "<u4")
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The similarity of each pair (a[i], b[i]); of two empty sets it is 1."""
+        if len(a) < 256:
+            both = np.fromiter((len(np.intersect1d(self._set(x), self._set(y), assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+        else:
+            both = self._by_bits(a, b)
+        whole = self.sizes[a] + self.sizes[b] - both
+        return np.where(whole > 0, both / np.maximum(whole, 1), 1.0)
+
+    def _by_bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common hashes of many pairs: a bit for each (row, hash held by several rows), so many hashes at a time as BITS has room for."""
+        rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right = place[: len(a)], place[len(a) :]
+        flat = np.concatenate([self._set(i) for i in rows.tolist()])
+        owner = np.repeat(np.arange(len(rows)), self.sizes[rows])
+        hashes, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        several = times[column] > 1
+        column, owner = (np.cumsum(times > 1) - 1)[column[several]], owner[several]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        wide = max(64, BITS * 8 // len(rows) // 64 * 64)
+        both = np.zeros(len(a), np.int64)
+        for low in range(0, int((times > 1).sum()), wide):
+            part = slice(*np.searchsorted(column, [low, low + wide]))
+            table = np.zeros((len(rows), min(wide, -(-len(hashes) // 64) * 64) // 8), np.uint8)
+            at = column[part] - low
+            np.bitwise_or.at(table, (owner[part], at // 8), (1 << (at % 8)).astype(np.uint8))
+            table = table.view(np.uint64)
+            step = max(16, BITS // (8 * table.shape[1]))
+            for k in range(0, len(a), step):
+                some = slice(k, k + step)
+                both[some] += _popcount(table[left[some]] & table[right[some]]).sum(axis=1, dtype=np.int64)
+        return both
+
+
+def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.ndarray, radius: int, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within each unit; rows are sorted by unit.
 
     In a unit of two tiles (``own`` differs) only pairs across them count; pairs inside have their own units.
+    With ``sets``, a pair links if its similarity is ``similarity`` or more besides.
     """
     n = len(unit)
     table = pivot_distances(prints)
+    common_shingles = Common(sets) if sets is not None else None
     root = np.arange(n)
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     stop = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
@@ -184,8 +236,12 @@ def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.nd
             close = (np.abs(table[a, low : low + 6] - table[b, low : low + 6]) <= radius).all(axis=1)
             a, b = a[close], b[close]
         near = _popcount(prints[a] ^ prints[b]).sum(axis=1) <= radius
+        a, b = a[near], b[near]
+        if common_shingles and len(a):
+            alike = common_shingles.pairs(a, b) >= similarity
+            a, b = a[alike], b[alike]
         joined = False
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
             while root[x] != x:
                 x = root[x]
             while root[y] != y:
@@ -204,8 +260,8 @@ def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.nd
     return rep[root[linked]], rep[linked]
 
 
-def _edges(units: DataFrame, radius: int, lanes: int) -> DataFrame:
-    """src, dst: representatives that link, a forest for each unit."""
+def _edges(units: DataFrame, radius: int, lanes: int, similarity: float | None = None) -> DataFrame:
+    """src, dst: representatives that link, a forest for each unit. With ``similarity``, units have shingles."""
 
     def task(batches):
         held, rows = None, 0
@@ -215,16 +271,18 @@ def _edges(units: DataFrame, radius: int, lanes: int) -> DataFrame:
             prints = table["prints"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
             cols = [table[k].to_numpy() for k in keys]
             unit = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if len(table) else np.zeros(0, int)
-            src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius)
+            sets = None if similarity is None else table["shingles"].to_pylist()
+            src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius, sets, similarity or 0.0)
             return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
-            rows += batch.num_rows
-            if rows < 4 * TILE:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows < 4 * TILE and size < 4 * BITS:
                 continue
             cols = [held[k].to_numpy() for k in keys]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
@@ -232,7 +290,7 @@ def _edges(units: DataFrame, radius: int, lanes: int) -> DataFrame:
                 cut = int(change[-1]) + 1  # the last unit may go on in the next batch
                 yield work(held.slice(0, cut))
                 held = held.slice(cut).combine_chunks()
-                rows = held.num_rows
+                rows, size = held.num_rows, held.nbytes
         if held is not None and held.num_rows:
             yield work(held)
 
@@ -244,8 +302,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
     """doc_id, prints, component_id (the smallest doc_id that links lead to) for each row of ``docs``.
 
     Without ``similarity``: all links of fingerprints at most ``radius`` (3 or fewer) bits apart, exactly.
-    With it: texts whose sets of shingles have that Jaccard similarity or more link; the
-    fingerprint then has LANES lanes and the radius follows from the similarity (``radius_for``).
+    With it: texts whose sets of shingles have that Jaccard similarity or more link, checked exactly; the
+    fingerprint that chooses pairs then has LANES lanes, and the radius follows from the similarity (``radius_for``).
     """
     common.prepare(docs.sparkSession)
     lanes = 1 if similarity is None else LANES
@@ -259,18 +317,30 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
         prints = common.written(fingerprints(docs, words, LANES, keys=True), "simhash")
         distinct = common.written(prints.groupBy("prints").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")).where("rep is not null"), "simhash-distinct")
         rows = distinct.select("rep", "prints", F.posexplode("keys").alias("n", "key")).select("rep", "prints", F.xxhash64("n", "key").alias("block"))
-    edges = common.written(_edges(_tiled(rows), radius, lanes), "simhash-links").distinct()
+    units = _tiled(rows)
+    if similarity is not None:
+        units = common.written(units, "simhash-units")
+        sets = common.written(_sets(docs, units.select("rep").distinct(), words), "simhash-shingles")
+        units = units.join(sets, ["rep", "prints"])
+    edges = common.written(_edges(units, radius, lanes, similarity), "simhash-links").distinct()
     classes = components(edges)
     named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("prints", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "prints", "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """rep, prints, shingles of the texts that share a block with another: the others' sets aren't made."""
+    texts = common.doc_texts(docs)
+    some = texts.join(members, texts["doc_id"] == members["rep"], "left_semi")
+    return fingerprints(some, words, LANES, shingles=True).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "prints"])
+
+
 def radius_for(similarity: float) -> int:
-    """Bits by which fingerprints of LANES lanes differ at a Jaccard similarity, plus two standard deviations."""
+    """Bits by which fingerprints of LANES lanes differ at a Jaccard similarity, plus three standard deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine)) / np.pi
     bits = 64 * LANES
-    return int(round(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+    return int(round(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
 
 
 def hex_print(column: str = "prints"):

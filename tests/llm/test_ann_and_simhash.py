@@ -160,3 +160,46 @@ def test_components_on_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + k: 1000 for k in range(300)}
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_similarity_form_is_exact_at_the_threshold(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    draw = random.Random(8)
+    lexicon = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(900)]
+    texts = {}
+    for g in range(12):
+        base = [draw.choice(lexicon) for _ in range(150)]
+        for k in range(40):
+            words = list(base)
+            for _ in range(k % 9):
+                words[draw.randrange(150)] = f"new{draw.randrange(10**6)}"
+            texts[100 * g + k] = " ".join(words)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, similarity=0.8).collect()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for g in range(12):
+        for a in range(40):
+            for b in range(a):
+                x, y = 100 * g + a, 100 * g + b
+                if _jaccard(texts[x], texts[y]) >= 0.8:
+                    root[max(top(x), top(y))] = min(top(x), top(y))
+    want = {i: top(i) for i in texts}
+    assert 12 < len(set(want.values())) < 300
+    assert np.mean([got[i] == want[i] for i in texts]) >= 0.99 and all(want[got[i]] == want[i] for i in texts)
+
+
+def test_common_shingles_both_ways():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 300, draw.integers(0, 200))).astype("<u4").tobytes() for _ in range(60)]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    c = simhash.Common(sets)
+    real = [set(np.frombuffer(x, "<u4").tolist()) for x in sets]
+    want = [len(real[i] & real[j]) / len(real[i] | real[j]) if real[i] | real[j] else 1.0 for i, j in zip(a, b, strict=True)]
+    assert np.allclose(c.pairs(a, b), want)
+    assert np.allclose(np.concatenate([c.pairs(a[k : k + 100], b[k : k + 100]) for k in range(0, 3600, 100)]), want)
