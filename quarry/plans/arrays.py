@@ -106,9 +106,9 @@ def row_major_index(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", arrays.row_major((0, 8), F.col("l_orderkey"), F.col("l_linenumber")).alias("place"))
 
 
-@query(f"WITH {_DENSE} SELECT i0, i1, round(CASE WHEN i1 = 3 AND i0 % 10 = 0 THEN 9.5 ELSE value END, 6) AS value FROM cells WHERE i0 < 100")
+@query(f"WITH {_DENSE} SELECT i0, i1, round(CASE WHEN i1 = 3 AND i0 % 10 = 0 THEN 9.5 ELSE value END, 6) AS value FROM cells")
 def hyperslab_update(spark, d):
-    cells = _dense(spark, d).where("i0 < 100")
+    cells = _dense(spark, d)
     new = cells.where("i1 = 3 and i0 % 10 = 0").select("i0", "i1", F.lit(9.5).alias("value"))
     return rounded(arrays.updated(cells, new, ["i0", "i1"]).select("i0", "i1", "value"), "value")
 
@@ -124,10 +124,11 @@ def subfile_map(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", file.cast("long").alias("file"), place.cast("long").alias("place"))
 
 
-@query("SELECT doc_id + 0 AS i, 0 AS part FROM documents WHERE doc_id < 100 UNION ALL SELECT doc_id - 100 + 1000, 1 FROM documents WHERE doc_id BETWEEN 100 AND 149")
+@query("SELECT doc_id AS i, 0 AS part FROM documents UNION ALL SELECT vec_id + 1000000, 1 FROM embeddings")
 def virtual_dataset(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("i"))
-    return tables.virtual([(docs.where("i < 100").withColumn("part", F.lit(0)), 0), (docs.where("i between 100 and 149").withColumn("part", F.lit(1)), 900)], "i")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.lit(0).alias("part"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.lit(1).alias("part"))
+    return tables.virtual([(docs, 0), (vectors, 1_000_000)], "i")
 
 
 @query("WITH v(name, axis, size) AS (VALUES ('t', 0, 10), ('t', 1, 4), ('t', 2, 4), ('p', 0, 4), ('q', 0, 7)), dims(dim, size, place) AS (VALUES ('time', 10, 0), ('lat', 4, 1), ('lon', 4, 2)), a AS (SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY axis) AS n FROM v), b AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY place) AS n FROM dims) SELECT name, axis, coalesce(dim, 'dim_' || a.size) AS dim FROM a LEFT JOIN b ON a.size = b.size AND a.n = b.n")

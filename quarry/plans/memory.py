@@ -85,11 +85,13 @@ def session_overlap(spark, d):
     return temporal.overlapping(_sessions(spark, d), _FROM, _TO).select("user_id", F.col("session_no").cast("long").alias("session_no"))
 
 
-@query(f"""WITH {_SESSIONS}, s AS (SELECT user_id * 10000 + session_no AS id, user_id, start_ts, end_ts FROM sessions)
-        SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.start_ts <= b.end_ts AND b.start_ts <= a.end_ts WHERE a.user_id % 10 = 1 AND b.user_id % 10 = 2""")
+@query(f"""WITH {_SESSIONS}, s AS (SELECT user_id * 10000 + session_no AS id, start_ts, end_ts FROM sessions), days AS (SELECT i AS id, {T0} + i * 86400 AS start_ts, {T0} + i * 86400 + 86399 AS end_ts FROM range(40) r(i))
+        SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN days b ON a.start_ts <= b.end_ts AND b.start_ts <= a.end_ts""")
 def session_overlap_join(spark, d):
-    s = _sessions(spark, d).select((F.col("user_id") * 10_000 + F.col("session_no")).alias("id"), "user_id", "start_ts", "end_ts")
-    return temporal.overlap_join(s.where("user_id % 10 = 1"), s.where("user_id % 10 = 2"), 43_200.0)
+    """The days that each session touches."""
+    s = _sessions(spark, d).select((F.col("user_id") * 10_000 + F.col("session_no")).alias("id"), "start_ts", "end_ts")
+    days = spark.range(40).select("id", (T0 + F.col("id") * DAY).alias("start_ts"), (T0 + F.col("id") * DAY + 86_399).alias("end_ts"))
+    return temporal.overlap_join(s, days, 43_200.0)
 
 
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT conv_id AS session_id, CASE WHEN conv_id >= 3 THEN conv_id // 3 END AS parent_session FROM conversations),
@@ -228,13 +230,13 @@ def importance_score(spark, d):
 
 
 @query("""SELECT q.vec_id AS id, round(least(greatest(1 - coalesce(max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 0), 0), 1), 6) AS surprise
-        FROM embeddings q LEFT JOIN embeddings e ON e.vec_id < q.vec_id AND e.vec_id % 5 = 0 WHERE q.vec_id % 25 = 0 GROUP BY q.vec_id""")
+        FROM embeddings q LEFT JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id""")
 def surprise_score(spark, d):
     from quarry.functions import vector as V
 
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    known = rows.where("id % 5 = 0").select(F.col("id").alias("known_id"), F.col("embedding").alias("known"))
-    pairs = rows.where("id % 25 = 0").join(known, F.col("known_id") < F.col("id"), "left")
+    known = rows.select(F.col("id").alias("known_id"), F.col("embedding").alias("known"))
+    pairs = rows.where("id % 100 = 0").join(known, F.col("known_id") < F.col("id"), "left")  # a stated query set
     best = pairs.groupBy("id").agg(F.max(V.cosine(F.col("embedding"), F.col("known"))).alias("best"))
     return rounded(best.select("id", lifecycle.surprise(F.col("best")).alias("surprise")), "surprise")
 
@@ -376,13 +378,13 @@ def strategy_correction(spark, d):
     return guards.saved_exchanges(guards.exchanges(table(spark, d, "conversations"))).select("conv_id", "turn", "channel", "skipped")
 
 
-@query("""WITH s AS (SELECT q.vec_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS best FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 25 = 0 AND q.vec_id > 0 GROUP BY q.vec_id)
+@query("""WITH s AS (SELECT q.vec_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS best FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id)
         SELECT vec_id AS id, CASE WHEN best > 0.4 THEN 'duplicate' ELSE 'save' END AS decision FROM s""")
 def strategy_semantic_shift(spark, d):
     from quarry.functions import vector as V
 
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = rows.where("id % 25 = 0 and id > 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q"))
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q"))
     best = rows.join(asked, F.col("id") < F.col("q_id")).groupBy("q_id").agg(F.max(V.cosine(F.col("embedding"), F.col("q"))).alias("best"))
     return best.select(F.col("q_id").alias("id"), F.when(F.col("best") > 0.4, "duplicate").otherwise("save").alias("decision"))
 
@@ -439,13 +441,13 @@ def entity_extract(spark, d):
     return entities.extracted(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("SELECT id, round(value, 6) AS value FROM (SELECT event_id AS id, value FROM events WHERE event_id < 500 AND event_id % 7 <> 0 AND event_id % 5 <> 0 UNION ALL SELECT event_id, value + 1 FROM events WHERE event_id < 700 AND event_id % 5 = 0 AND event_id % 7 <> 0)")
+@query("SELECT event_id AS id, round(CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END, 6) AS value FROM events WHERE NOT (event_id % 5 = 0 AND event_id % 7 = 0) UNION ALL SELECT event_id + 10000000, round(value, 6) FROM events WHERE event_id % 11 = 0")
 def wal_replay(spark, d):
-    e = _events(spark, d)
-    base = e.where("id < 500").select("id", "value")
-    i = F.col("id")
-    changes = e.where("id < 700 and (id % 5 = 0 or (id % 7 = 0 and id < 500) or (id % 35 = 0))").select((i * 2).alias("seq"), F.when(i % 7 == 0, "delete").otherwise("save").alias("op"), "id", (F.col("value") + 1).alias("value"))
-    return rounded(tables.replayed(base, changes), "value")
+    """All events as base; the log changes some, deletes some and adds some."""
+    i, base = F.col("id"), _events(spark, d).select("id", "value")
+    changed = base.where(i % 5 == 0).select((i * 2).alias("seq"), F.when(i % 7 == 0, "delete").otherwise("save").alias("op"), "id", (F.col("value") + 1).alias("value"))
+    added = base.where(i % 11 == 0).select((i * 2 + 1).alias("seq"), F.lit("save").alias("op"), (i + 10_000_000).alias("id"), "value")
+    return rounded(tables.replayed(base, changed.unionByName(added)), "value")
 
 
 @query("SELECT CAST(count_if(contains(lower(text), 'no,') OR contains(lower(text), 'actually')) AS BIGINT) AS corrections, count(*) AS n FROM conversations WHERE role = 'user'")

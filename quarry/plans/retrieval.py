@@ -99,10 +99,10 @@ def cosine_by_label_max(spark, d):
     return rounded(rows.where("id <> 7").groupBy("label").agg(F.max(V.cosine(F.col("embedding"), q)).alias("best"), F.count("*").alias("n")), "best")
 
 
-@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 5""")
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0""")
 def distance_matrix(spark, d):
     rows = _vectors(spark, d)
-    return rounded(vector_search.distances(rows, rows.where("id < 5")).withColumnRenamed("id", "vec_id"), "distance")
+    return rounded(vector_search.distances(rows, rows.where("id % 100 = 0")).withColumnRenamed("id", "vec_id"), "distance")
 
 
 @query("SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q")
@@ -181,14 +181,14 @@ def confidence_filter(spark, d):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, q.label AS wanted, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
-          FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
+          FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         h AS (SELECT query_id, min(CASE WHEN label = wanted THEN rank END) AS rank FROM s WHERE rank <= 10 GROUP BY query_id)
         SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_10,
                round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(*) AS n_queries FROM h""")
 def hit_mrr_metrics(spark, d):
     rows = _vectors(spark, d)
     labels = table(spark, d, "embeddings").select("vec_id", "label")
-    found = vector_search.multi_topk(rows, rows.where("id % 20 = 0"), 11).where("id <> query_id")
+    found = vector_search.multi_topk(rows, rows.where("id % 100 = 0"), 11).where("id <> query_id")
     named = found.join(labels.withColumnRenamed("vec_id", "id").withColumnRenamed("label", "found"), "id").join(labels.withColumnRenamed("vec_id", "query_id"), "query_id")
     # The query itself stands first, but for ties; ranks are taken without it.
     own = found.groupBy("query_id").agg(F.collect_list("rank").alias("ranks"))
