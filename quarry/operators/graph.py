@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import written
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes an intermediate round to the shared checkpoint folder and reads it back."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/quarry-{spark.sparkContext.applicationId}"
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes an intermediate round to the shared folder and reads it back."""
+    return written(df, "round")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
