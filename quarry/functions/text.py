@@ -14,7 +14,7 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
 def normalized(text: Column) -> Column:
