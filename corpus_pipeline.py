@@ -13,7 +13,7 @@ from quarry.llm import common, linededup, packing, pii, quality, simhash
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is under one half go."""
+    """Documents whose probability of the best grade is under ``quality.KEEP`` go."""
     model = quality.train(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.selected(docs, model)
 

@@ -33,6 +33,13 @@ from quarry.llm import common, wordbatch
 SAMPLE = 12_000
 BITS = 20
 GRADES = 3
+#: A text is selected if the best grade has this probability.
+KEEP = 0.6
+#: Rows of the sample that a step of the fit works on at once.
+BLOCK = 2000
+
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b"!#$%&*+/<=>@[\\]^_`{|}~")] = True
 
 
 @dataclass
@@ -56,8 +63,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     first = np.cumsum(lengths) - lengths
-    capital = np.add.reduceat(((raw >= 65) & (raw <= 90)).astype(np.int32), first) if len(texts) else np.zeros(0)
-    sign = np.add.reduceat(np.isin(raw, np.frombuffer(b"!#$%&*+/<=>@[\\]^_`{|}~", np.uint8)).astype(np.int32), first) if len(texts) else np.zeros(0)
+    capital = np.add.reduceat((raw >= 65) & (raw <= 90), first, dtype=np.int64) if len(texts) else np.zeros(0)
+    sign = np.add.reduceat(_SIGNS[raw], first, dtype=np.int64) if len(texts) else np.zeros(0)
     shapes = (np.bincount(owner[same], minlength=len(texts)) / n, capital / lengths, sign / lengths, np.log2(n) / 16)
     for k, share in enumerate(shapes):
         level = np.minimum(np.asarray(share) * 8, 7).astype(np.uint64)
@@ -80,17 +87,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 100, rate: flo
     thresholds = np.maximum.accumulate(thresholds)
     if len(np.unique(grades)) < 2:
         return Model(weights.astype(np.float32), thresholds)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids = np.concatenate(rows).astype(np.int64)
+    blocks = [rows[k : k + BLOCK] for k in range(0, len(rows), BLOCK)]
+    ids = [np.concatenate(b).astype(np.uint32) for b in blocks]
+    owner = [np.repeat(np.arange(len(b)), [len(r) for r in b]).astype(np.uint16) for b in blocks]
     squares, threshold_squares = np.full(1 << BITS, 1e-10), np.full(GRADES - 1, 1e-10)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    every = np.arange(len(rows))
     for _ in range(rounds):
-        score = np.bincount(owner, weights[ids], minlength=len(rows))
+        score = np.concatenate([np.bincount(o, weights[i], minlength=len(b)) for o, i, b in zip(owner, ids, blocks, strict=True)])
         tail = np.column_stack([np.ones(len(rows)), *(sigmoid(score - t) for t in thresholds), np.zeros(len(rows))])
-        here = np.maximum(tail[np.arange(len(rows)), grades] - tail[np.arange(len(rows)), grades + 1], 1e-12)
+        here = np.maximum(tail[every, grades] - tail[every, grades + 1], 1e-12)
         slope = tail * (1 - tail)
-        by_score = -(slope[np.arange(len(rows)), grades] - slope[np.arange(len(rows)), grades + 1]) / here / len(rows)
-        gradient = np.bincount(ids, by_score[owner], minlength=1 << BITS)
+        by_score = -(slope[every, grades] - slope[every, grades + 1]) / here / len(rows)
+        gradient = np.zeros(1 << BITS)
+        for k, (o, i) in enumerate(zip(owner, ids, strict=True)):
+            gradient += np.bincount(i, by_score[k * BLOCK : (k + 1) * BLOCK][o], minlength=1 << BITS)
         squares += gradient**2
         pace = rate / np.sqrt(squares)
         weights -= pace * gradient
@@ -98,7 +109,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 100, rate: flo
         for k in range(1, GRADES):
             g = (np.sum(slope[grades == k, k] / here[grades == k]) - np.sum(slope[grades == k - 1, k] / here[grades == k - 1])) / len(rows)
             threshold_squares[k - 1] += g**2
-            thresholds[k - 1] -= 0.3 * rate / np.sqrt(threshold_squares[k - 1]) * g
+            thresholds[k - 1] -= rate / np.sqrt(threshold_squares[k - 1]) * g
         thresholds = np.maximum.accumulate(thresholds)
     return Model(weights.astype(np.float32), thresholds)
 
@@ -149,7 +160,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return common.map_steps(common.doc_texts(docs), make, "doc_id long, score double, expected_grade double, p_poor_or_better double, p_good double")
 
 
-def selected(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def selected(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
     """The rows of ``docs``, all columns, whose tail probability of the best grade is ``least`` or more."""
     shared = common.prepare(docs.sparkSession).sparkContext.broadcast(model)
 

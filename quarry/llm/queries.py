@@ -48,7 +48,7 @@ def op7_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(_table(spark, sf_dir, "labels")))
-    return quality.scored(docs, model).withColumn("keep", F.col("p_good") >= 0.5)
+    return quality.scored(docs, model).withColumn("keep", F.col("p_good") >= quality.KEEP)
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_cost_packing, op3_chat_spans, op4_ivfpq, op5_pitman_yor, op6_pair_index_bpe, op7_png_media, op8_ordinal_quality, op9_simhash_pivots, op10_crf_pii, pipeline)}
 
 _BLANKS = "' ' || chr(9) || chr(13)"
+_ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '### ', chr(92) || '### '), '</turn>', chr(92) || '</turn>')"
 ORACLE_SQL = {
+    "op3_chat_spans": f"""
+        WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, k, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || replace({_ESCAPED.format("role")}, ':', chr(92) || ':') || ': ' || {_ESCAPED.format("text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+               FALSE AS rewrites
+        FROM turns GROUP BY conv_id""",
     "op1_line_dedup": f"""
         WITH lines AS (SELECT source, trim(unnest(string_split(text, chr(10))), {_BLANKS}) AS line FROM documents),
         bad AS (SELECT coalesce(list(line), []) AS bad FROM (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {linededup.SITES})),

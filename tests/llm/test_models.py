@@ -93,8 +93,8 @@ def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), quality.graded(spark.read.parquet(f"{folder}/labels.parquet"))
     learn, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
     rows = quality.scored(docs, quality.train(docs, learn)).join(test, "doc_id").collect()
-    kept = {g: np.mean([r["p_good"] >= 0.5 for r in rows if r["grade"] == g]) for g in range(3)}
-    assert kept[2] > 0.99 and kept[0] < 0.25 and kept[1] < 0.45
+    kept = {g: np.mean([r["p_good"] >= quality.KEEP for r in rows if r["grade"] == g]) for g in range(3)}
+    assert kept[2] > 0.99 and kept[0] < 0.1 and kept[1] < 0.15
     assert all(r["p_good"] <= r["p_poor_or_better"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
 
 
