@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import forget, shared_dir, written
+
+__all__ = ["doc_texts", "forget", "map_steps", "prepare", "put_column", "shared_dir", "steps", "text_bytes", "written"]
+
 #: Bytes of text that one step of a Python operator holds as working arrays.
 STEP_BYTES = 2 << 20
 #: Rows in an Arrow batch between the JVM and Python; documents can be long.
@@ -28,38 +31,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a local folder is taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    return f"file:///tmp/quarry-{os.getuid()}-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns the stored table.
-
-    This cuts the lineage: a lost executor costs its tasks, not the work before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written``."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (null: empty) of every row; other columns are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -5,6 +5,7 @@ A word is a run of bytes other than space and \\x09-\\x0D; A-Z count as a-z.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ _LOWER[65:91] += 32
 #: Odd multiplier of the polynomial hash; its powers are made from it on demand.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
+CHUNK, LONG = 1 << 20, 1 << 12
 
 
 def _powers(n: int) -> np.ndarray:
@@ -57,15 +59,31 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty byte spans that are in order and do not overlap."""
+    """Hashes of non-empty byte spans that are in order and do not overlap.
+
+    Spans are taken about CHUNK bytes at a time, so that a very long text needs few bytes
+    beside its own; a span longer than LONG has the hash of its digest's bytes.
+    """
+    out = np.zeros(len(start), np.uint64)
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return out
     length = end - start
-    offset = np.cumsum(length) - length
-    at = np.arange(int(length.sum())) - np.repeat(offset, length)
-    values = data[at + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)
-    values *= _powers(int(length.max()))[at]
-    return mix(np.add.reduceat(values, offset) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    short = np.minimum(length, LONG)
+    total = np.cumsum(short)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(total, total[first] - short[first] + CHUNK, side="right")))
+        part = slice(first, last)
+        size = short[part]
+        offset = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(offset, size)
+        values = data[at + np.repeat(start[part], size)].astype(np.uint64) + np.uint64(1)
+        values *= _powers(int(size.max()))[at]
+        out[part] = mix(np.add.reduceat(values, offset) + length[part].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def split(texts: list[bytes], lower: bool = True) -> Words:
