@@ -48,7 +48,7 @@ from quarry.llm.wordbatch import mix
 
 SEED = 42
 PIVOTS = 24
-TILE = 1024
+TILE = 256
 #: Bytes of the bit table that counts common shingles in a unit.
 BITS = 8 << 20
 ROWS, BANDS = 3, 8
@@ -77,17 +77,16 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """XXH64 of every run of ``words`` words; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
-    found = text.lower().split()  # bytes: A-Z only, and exactly \x20 and \x09-\x0D
-    if not found:
+    joined = b" ".join(text.lower().split())  # bytes: A-Z only, and exactly \x20 and \x09-\x0D
+    if not joined:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(b" ".join(found), SEED)], np.uint64)
-    joined = b" ".join(found)
-    length = np.fromiter(map(len, found), np.int64, len(found))
-    end = np.cumsum(length + 1) - 1
-    first = (end - length)[: len(found) - words + 1].tolist()
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(first, end[words - 1 :].tolist(), strict=True)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    count = len(gaps) + 2 - words
+    if count <= 1:
+        return np.array([digest(joined, SEED)], np.uint64)
+    first, last = np.r_[0, gaps + 1][:count].tolist(), np.r_[gaps, len(joined)][words - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, count)
 
 
 def majority(hashes: np.ndarray) -> int:
