@@ -3,7 +3,7 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; their spans always
 stay. The field adds spans that patterns miss (keys and tokens, numbers that look like
 cards or phones but break a rule): kinds ``x_email``, ``x_ip``, ``x_card``, ``x_phone`` and
-``secret``, where they do not overlap a pattern's span.
+``secret``, where no pattern's span covers them.
 
 The field's labels are LABELS. Its features of a word are indicators of the word's shape
 (counts of digits, letters and signs, in steps); its weights are fitted by gradient
@@ -88,9 +88,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Counted classes of bytes, and the steps their counts fall into.
 _CLASSES = {
     "digit": b"0123456789", "hex": b"abcdefABCDEF", "letter": bytes([*range(65, 91), *range(97, 123), *range(128, 256)]),
-    "at": b"@", "dot": b".", "dash": b"-_", "plus": b"+", "paren": b"()", "equal": b"=:", "quote": b"\"'`",
+    "upper": bytes(range(65, 91)), "at": b"@", "dot": b".", "dash": b"-_", "plus": b"+", "paren": b"()", "equal": b"=:", "quote": b"\"'`",
 }
-_STEPS = {"digit": (1, 2, 3, 4, 5, 8, 12, 16, 17, 20), "hex": (1, 4, 8, 16), "letter": (1, 2, 4, 8, 16, 32), "at": (1,), "dot": (1, 2, 3, 4), "dash": (1, 2), "plus": (1,), "paren": (1, 2), "equal": (1,), "quote": (1, 2)}
+_STEPS = {"digit": (1, 2, 3, 4, 5, 8, 12, 16, 17, 20), "hex": (1, 4, 8, 16), "letter": (1, 2, 4, 8, 16, 32), "upper": (1, 4, 8, 12), "at": (1,), "dot": (1, 2, 3, 4), "dash": (1, 2), "plus": (1,), "paren": (1, 2), "equal": (1,), "quote": (1, 2)}
 _MARKED = np.zeros(256, bool)
 _MARKED[list(b"0123456789@=+")] = True
 _WIDTHS = {name: len(steps) + 1 for name, steps in _STEPS.items()}
@@ -138,13 +138,19 @@ def labelled() -> list[tuple[str, list[str]]]:
     hexes = lambda n: "".join(draw.choice(list("0123456789abcdef"), n))
     # Words around personal data, and numbers that are none.
     plain = "the of and to in is was on for with call write my number mail card address at from until who said that here der die und ist la de et los".split()
-    harmless = ["1", "12", "3.", "4.0", "2.0.", "1999", "2024", "(2)", "10:30", "3.14", "100%", "1,000", "v1.2.3", "no.7", "2024-01-31", "$15", "x=1", "a=b", "+5", "@home", "50-60", "12:", "ISO-8601", "CC-BY-4.0", "3rd", "[12]"]
+    harmless = ["1", "12", "3.", "4.0", "2.0.", "1999", "2024", "(2)", "10:30", "3.14", "100%", "1,000", "v1.2.3", "no.7", "2024-01-31", "$15", "x=1", "a=b", "+5", "@home", "50-60", "12:", "ISO-8601", "CC-BY-4.0", "3rd", "[12]", "mp3", "section2", "COVID-19", "TABLE3", "abandonment7", "UNDERSTANDING!!2", "chapter10:", "H2O"]
+    mixed = lambda letters, n: "".join(draw.choice(list(letters + "0123456789"), n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    secrets = [
+        lambda: f'"{hexes(40)}"', lambda: hexes(int(draw.choice([32, 40, 64]))).upper(), lambda: hexes(int(draw.choice([16, 32, 40]))), lambda: "sk-" + hexes(32), lambda: "key=" + hexes(16),
+        lambda: mixed(upper, 20), lambda: mixed(upper, int(draw.integers(16, 30))), lambda: mixed(upper + lower, int(draw.integers(20, 41))), lambda: "pw=" + mixed(lower, 18),
+    ]
     kinds = {
         "x_email": lambda: [f"{draw.choice(plain)}{digits(2)}@{draw.choice(plain)}{draw.choice(['', '.local', '.example.org'])}"],
         "x_ip": lambda: [".".join(digits(int(draw.integers(1, 4))) for _ in range(4))],
         "x_card": lambda: draw.choice([digits(16), digits(15), digits(19), digits(14)], 1).tolist() if draw.random() < 0.6 else [digits(4) for _ in range(4)],
         "x_phone": lambda: draw.choice(["555-" + digits(4), f"({digits(3)})-{digits(3)}-{digits(4)}", "0" + digits(9), f"{digits(3)}-{digits(3)}-{digits(4)}"], 1).tolist() if draw.random() < 0.6 else [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"],
-        "secret": lambda: [f'"{hexes(40)}"'] if draw.random() < 0.5 else ["sk-" + hexes(32)] if draw.random() < 0.5 else [hexes(int(draw.choice([32, 40, 64]))).upper()],
+        "secret": lambda: [str(draw.choice(secrets)())],
     }
     out = []
     for _ in range(600):
@@ -171,7 +177,7 @@ def _emissions(field: Field, words: wordbatch.Words) -> tuple[np.ndarray, np.nda
     return marked, field.emit[ids].sum(axis=1)
 
 
-def train(table: list[tuple[str, list[str]]] | None = None, rounds: int = 200, rate: float = 0.4, penalty: tuple[float, float, float] = (2e-4, 3e-2, 3e-2)) -> Field:
+def train(table: list[tuple[str, list[str]]] | None = None, rounds: int = 150, rate: float = 0.4, penalty: tuple[float, float, float] = (2e-4, 3e-2, 3e-2)) -> Field:
     """Maximum likelihood by AdaGrad, with forward and backward sums over all sentences at once.
 
     ``penalty``: of the squares of emission, transition and start weights; transitions
@@ -289,7 +295,7 @@ def all_spans(field: Field, texts: list[bytes]) -> list[tuple[list[tuple[str, in
             a += 1
         start = len(raw[:a].decode("utf-8", "ignore"))
         end = start + len(raw[a:b].decode("utf-8", "ignore"))
-        if a < b and not any(x < end and start < y for _, x, y in out[doc][0]):
+        if a < b and not any(x <= start and end <= y for _, x, y in out[doc][0]):
             out[doc][1].append((LABELS[k], start, end))
     return out
 
