@@ -27,14 +27,15 @@ Two ways to make blocks:
   verified by the similarity of their sets of shingles (as 32-bit hashes), exactly.
 
 Null text counts as empty. Texts without words have fingerprint zero and link
-like any other. Rows with equal fingerprints are collapsed before blocks are
-made, so copies cost nothing. An empty table gives an empty result. Rows that
+like any other. Rows with equal fingerprints (with a similarity: with equal sets of shingles, known by a
+128-bit digest) are collapsed before blocks are made, so copies cost nothing. An empty table gives an empty result. Rows that
 share a doc_id each get their own fingerprint and component; the id stands for
 all of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -114,15 +115,15 @@ def minima(hashes: np.ndarray) -> list[int]:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False) -> DataFrame:
-    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys) or shingles (sorted 32-bit hashes, packed) of each row.
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False, digests: bool = False) -> DataFrame:
+    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys), shingles (sorted 32-bit hashes, packed) or digest (of the set of shingles) of each row.
 
     Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash.
     """
 
     def make():
         def work(batch):
-            prints, blocks, sets = [], [], []
+            prints, blocks, sets, names = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
                     hashes = shingle_hashes(text, words)
@@ -131,12 +132,16 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = F
                         blocks.append(minima(np.unique(hashes)))
                     if shingles:
                         sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
+                    if digests:
+                        names.append(hashlib.blake2b(np.unique(hashes).astype("<u8").tobytes(), digest_size=16).digest())
             out = {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
-            return out | ({"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}) | ({"shingles": pa.array(sets, pa.binary())} if shingles else {})
+            out |= {"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}
+            out |= {"shingles": pa.array(sets, pa.binary())} if shingles else {}
+            return out | ({"digest": pa.array(names, pa.binary())} if digests else {})
 
         return work
 
-    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles
+    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles + ", digest binary" * digests
     return common.map_steps(common.doc_texts(docs), make, schema)
 
 
@@ -151,7 +156,8 @@ def _pigeonhole(distinct: DataFrame, radius: int, count: int):
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """Gives each row of a block the units of work it belongs to: (block, low tile, high tile)."""
+    """Gives each row of a block the units of work it belongs to: (block, low tile, high tile); other columns stay."""
+    kept = [c for c in rows.columns if c != "block"]
     sizes = rows.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int")
     return (
@@ -159,7 +165,7 @@ def _tiled(rows: DataFrame) -> DataFrame:
         .withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "prints")
+        .select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *kept)
     )
 
 
@@ -305,7 +311,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
     fingerprint that chooses pairs then has LANES lanes, and the radius follows from the similarity (``radius_for``).
     """
     common.prepare(docs.sparkSession)
-    lanes = 1 if similarity is None else LANES
+    lanes, same = (1, "prints") if similarity is None else (LANES, "digest")
     if similarity is None:
         prints = common.written(fingerprints(docs, words), "simhash")
         distinct = prints.groupBy("prints").agg(F.min("doc_id").alias("rep"))
@@ -313,25 +319,27 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
         rows = _pigeonhole(distinct, radius, distinct.count())
     else:
         radius = radius_for(similarity)
-        prints = common.written(fingerprints(docs, words, LANES, keys=True), "simhash")
-        distinct = common.written(prints.groupBy("prints").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")).where("rep is not null"), "simhash-distinct")
-        rows = distinct.select("rep", "prints", F.posexplode("keys").alias("n", "key")).select("rep", "prints", F.xxhash64("n", "key").alias("block"))
+        prints = common.written(fingerprints(docs, words, LANES, keys=True, digests=True), "simhash")
+        distinct = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("prints").alias("prints"), F.min("keys").alias("keys"))
+        distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
+        rows = distinct.select("rep", "digest", "prints", F.posexplode("keys").alias("n", "key")).select("rep", "digest", "prints", F.xxhash64("n", "key").alias("block"))
     units = _tiled(rows)
     if similarity is not None:
         units = common.written(units, "simhash-units")
         sets = common.written(_sets(docs, units.select("rep").distinct(), words), "simhash-shingles")
-        units = units.join(sets, ["rep", "prints"])
+        units = units.join(sets, ["rep", "digest"])
     edges = common.written(_edges(units, radius, lanes, similarity), "simhash-links").distinct()
     classes = components(edges)
-    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("prints", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "prints", "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select(same, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, same, "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """rep, prints, shingles of the texts that share a block with another: the others' sets aren't made."""
+    """rep, digest, shingles of the texts that share a block with another: the others' sets aren't made."""
     texts = common.doc_texts(docs)
     some = texts.join(members, texts["doc_id"] == members["rep"], "left_semi")
-    return fingerprints(some, words, LANES, shingles=True).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "prints"])
+    rows = fingerprints(some, words, LANES, shingles=True, digests=True)
+    return rows.select(F.col("doc_id").alias("rep"), "digest", "shingles").dropDuplicates(["rep", "digest"])
 
 
 def radius_for(similarity: float) -> int:

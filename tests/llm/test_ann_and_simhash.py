@@ -203,3 +203,11 @@ def test_common_shingles_both_ways():
     want = [len(real[i] & real[j]) / len(real[i] | real[j]) if real[i] | real[j] else 1.0 for i, j in zip(a, b, strict=True)]
     assert np.allclose(c.pairs(a, b), want)
     assert np.allclose(np.concatenate([c.pairs(a[k : k + 100], b[k : k + 100]) for k in range(0, 3600, 100)]), want)
+
+
+def test_equal_fingerprints_of_different_sets_do_not_link(spark):
+    draw = random.Random(9)
+    texts = [(i, " ".join([f"w{draw.randrange(10**9)}" for _ in range(100)] + ["again"] * 124)) for i in range(6)]
+    texts.append((7, texts[2][1]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(texts, "doc_id long, text string"), 5, similarity=0.8).collect()}
+    assert got == {i: i for i in range(6)} | {7: 2}
