@@ -118,7 +118,8 @@ def minima(hashes: np.ndarray) -> list[int]:
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False, digests: bool = False) -> DataFrame:
     """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys), shingles (sorted 32-bit hashes, packed) or digest (of the set of shingles) of each row.
 
-    Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash.
+    Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash. With digests all
+    columns are of the set of shingles; without, a shingle counts in the fingerprint as often as it occurs.
     """
 
     def make():
@@ -127,13 +128,15 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = F
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
                     hashes = shingle_hashes(text, words)
+                    if digests:
+                        hashes = np.unique(hashes)
                     prints.append([np.uint64(majority(hashes if not k else mix(hashes + np.uint64(k)))).astype(np.int64) for k in range(lanes)])
                     if keys:
                         blocks.append(minima(np.unique(hashes)))
                     if shingles:
                         sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
                     if digests:
-                        names.append(hashlib.blake2b(np.unique(hashes).astype("<u8").tobytes(), digest_size=16).digest())
+                        names.append(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
             out = {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
             out |= {"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}
             out |= {"shingles": pa.array(sets, pa.binary())} if shingles else {}

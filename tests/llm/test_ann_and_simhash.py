@@ -211,3 +211,14 @@ def test_equal_fingerprints_of_different_sets_do_not_link(spark):
     texts.append((7, texts[2][1]))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(texts, "doc_id long, text string"), 5, similarity=0.8).collect()}
     assert got == {i: i for i in range(6)} | {7: 2}
+
+
+def test_repeated_passages_do_not_part_near_copies(spark):
+    draw = random.Random(10)
+    rows = []
+    for i in range(12):
+        words = [f"w{draw.randrange(10**9)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[-10:] * 20))]
+    assert all(_jaccard(rows[2 * i][1], rows[2 * i + 1][1]) == 0.96 for i in range(12))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
