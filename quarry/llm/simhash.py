@@ -26,6 +26,11 @@ Two ways to make blocks:
   probability of 0.997. Here fingerprints only choose pairs: those that survive are
   verified by the similarity of their sets of shingles (as 32-bit hashes), exactly.
 
+With a similarity these blocks and the radius are only the quick way to most links. A second pass finds all
+others: all sets are put in one order of shingles, those common in a sample last, and two sets of
+n shingles that are alike by s share one of the first n - ceil(s n) + 1 of each. Each such shingle is a block, unless all its
+texts are in one component already; blocks of the same texts are one. Their pairs are verified without a radius.
+
 Null text counts as empty. Texts without words have fingerprint zero and link
 like any other. Rows with equal fingerprints (with a similarity: with equal sets of shingles, known by a
 128-bit digest) are collapsed before blocks are made, so copies cost nothing. An empty table gives an empty result. Rows that
@@ -55,6 +60,10 @@ BITS = 8 << 20
 ROWS, BANDS = 3, 8
 #: Fingerprint lanes of 64 bits for the similarity form: wide enough to tell 0.8 from 0.5.
 LANES = 4
+#: Rows of the sample whose common shingles come last in the order, and how many of these are known.
+SAMPLE, OFTEN = 10_000, 1 << 18
+#: Shingles of the second pass that one bucket holds, and one task before it deals them.
+ENTRIES = 1 << 20
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -115,16 +124,28 @@ def minima(hashes: np.ndarray) -> list[int]:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False, digests: bool = False) -> DataFrame:
-    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys), shingles (sorted 32-bit hashes, packed) or digest (of the set of shingles) of each row.
+def first_in_order(hashes: np.ndarray, similarity: float, often: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of a set of shingles those of which any set alike by ``similarity`` has one among its own first; ``often`` (sorted) come last."""
+    n = len(hashes)
+    first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    rank = np.zeros(n, np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        rank = np.where(often[at] == hashes, count[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:first]].astype("<u8")
+
+
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False, digests: bool = False, rare=None) -> DataFrame:
+    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys), shingles (sorted 32-bit hashes, packed), digest (of the set of shingles) or rare (``first_in_order``) of each row.
 
     Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash. With digests all
     columns are of the set of shingles; without, a shingle counts in the fingerprint as often as it occurs.
+    ``rare`` is a similarity and the broadcast table of common shingles; it needs digests.
     """
 
     def make():
         def work(batch):
-            prints, blocks, sets, names = [], [], [], []
+            prints, blocks, sets, names, early = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
                     hashes = shingle_hashes(text, words)
@@ -137,14 +158,17 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = F
                         sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
                     if digests:
                         names.append(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
+                    if rare:
+                        early.append(first_in_order(hashes, rare[0], *rare[1].value).tobytes())
             out = {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
             out |= {"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}
             out |= {"shingles": pa.array(sets, pa.binary())} if shingles else {}
+            out |= {"rare": pa.array(early, pa.binary())} if rare else {}
             return out | ({"digest": pa.array(names, pa.binary())} if digests else {})
 
         return work
 
-    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles + ", digest binary" * digests
+    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles + ", rare binary" * bool(rare) + ", digest binary" * digests
     return common.map_steps(common.doc_texts(docs), make, schema)
 
 
@@ -217,16 +241,21 @@ class Common:
         return both
 
 
-def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.ndarray, radius: int, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.ndarray, radius: int, sets: list[bytes] | None = None, similarity: float = 0.0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within each unit; rows are sorted by unit.
 
     In a unit of two tiles (``own`` differs) only pairs across them count; pairs inside have their own units.
-    With ``sets``, a pair links if its similarity is ``similarity`` or more besides.
+    With ``sets``, a pair links if its similarity is ``similarity`` or more besides. Rows of
+    a ``group`` are linked already.
     """
     n = len(unit)
     table = pivot_distances(prints)
     common_shingles = Common(sets) if sets is not None else None
     root = np.arange(n)
+    if group is not None and n:
+        order = np.lexsort((group, unit))
+        starts = np.flatnonzero(np.r_[True, (unit[order][1:] != unit[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        root[order] = np.repeat(order[starts], np.diff(np.r_[starts, n]))
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     stop = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
     crossing = np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first)
@@ -245,6 +274,10 @@ def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.nd
             a, b = a[close], b[close]
         near = _popcount(prints[a] ^ prints[b]).sum(axis=1) <= radius
         a, b = a[near], b[near]
+        if common_shingles and len(a):
+            sizes = common_shingles.sizes
+            fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+            a, b = a[fits], b[fits]
         if common_shingles and len(a):
             alike = common_shingles.pairs(a, b) >= similarity
             a, b = a[alike], b[alike]
@@ -264,7 +297,7 @@ def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.nd
                     break
                 root = higher
         lag += 1
-    linked = root != np.arange(n)
+    linked = root != np.arange(n) if group is None else group[root] != group
     return rep[root[linked]], rep[linked]
 
 
@@ -280,7 +313,8 @@ def _edges(units: DataFrame, radius: int, lanes: int, similarity: float | None =
             cols = [table[k].to_numpy() for k in keys]
             unit = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if len(table) else np.zeros(0, int)
             sets = None if similarity is None else table["shingles"].to_pylist()
-            src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius, sets, similarity or 0.0)
+            group = table["component"].to_numpy() if "component" in table.column_names else None
+            src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius, sets, similarity or 0.0, group)
             return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
         size = 0
@@ -310,10 +344,10 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
     """doc_id, prints, component_id (the smallest doc_id that links lead to) for each row of ``docs``.
 
     Without ``similarity``: all links of fingerprints at most ``radius`` (3 or fewer) bits apart, exactly.
-    With it: texts whose sets of shingles have that Jaccard similarity or more link, checked exactly; the
-    fingerprint that chooses pairs then has LANES lanes, and the radius follows from the similarity (``radius_for``).
+    With it: texts whose sets of shingles have that Jaccard similarity or more link, all of them and no others; the
+    fingerprint that chooses most pairs then has LANES lanes, and its radius follows from the similarity (``radius_for``).
     """
-    common.prepare(docs.sparkSession)
+    spark = common.prepare(docs.sparkSession)
     lanes, same = (1, "prints") if similarity is None else (LANES, "digest")
     if similarity is None:
         prints = common.written(fingerprints(docs, words), "simhash")
@@ -322,21 +356,101 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
         rows = _pigeonhole(distinct, radius, distinct.count())
     else:
         radius = radius_for(similarity)
-        prints = common.written(fingerprints(docs, words, LANES, keys=True, digests=True), "simhash")
-        distinct = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("prints").alias("prints"), F.min("keys").alias("keys"))
+        rare = (similarity, spark.sparkContext.broadcast(_often(docs, words)))
+        prints = common.written(fingerprints(docs, words, LANES, keys=True, digests=True, rare=rare), "simhash")
+        distinct = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("prints").alias("prints"), F.min("keys").alias("keys"), F.min("rare").alias("rare"))
         distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
         rows = distinct.select("rep", "digest", "prints", F.posexplode("keys").alias("n", "key")).select("rep", "digest", "prints", F.xxhash64("n", "key").alias("block"))
     units = _tiled(rows)
     if similarity is not None:
-        units = common.written(units, "simhash-units")
-        sets = common.written(_sets(docs, units.select("rep").distinct(), words), "simhash-shingles")
-        units = units.join(sets, ["rep", "digest"])
+        units = _with_sets(units, docs, words)
     edges = common.written(_edges(units, radius, lanes, similarity), "simhash-links").distinct()
     classes = components(edges)
+    if similarity is not None:
+        rest = common.written(_edges(_with_sets(_tiled(_shared_rare(distinct, classes)), docs, words), 64 * LANES, LANES, similarity), "simhash-rest").distinct()
+        classes = components(edges.union(rest))
     named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select(same, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, same, "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) of over one text of a sample, and the number of texts; the OFTEN most common at most."""
+    texts = common.doc_texts(docs)
+    step = max(1, docs.count() // SAMPLE)
+
+    def make():
+        def work(batch):
+            hashes, count = np.unique(np.concatenate([np.unique(shingle_hashes(t, words)) for t in common.text_bytes(batch)]), return_counts=True)
+            return {"hash": pa.array(hashes.view(np.int64)), "count": pa.array(count)}
+
+        return work
+
+    some = common.map_steps(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0), make, "hash long, count long")
+    found = some.groupBy("hash").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "hash").limit(OFTEN).toArrow()
+    hashes = found["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["count"].to_numpy()[order]
+
+
+def _shared_rare(distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """block, rep, digest, prints, component: texts of different components that share one of their ``rare`` shingles.
+
+    Shingles travel packed, a row for each bucket of a task. A block is named after its texts, so that shingles of the same texts give one block.
+    """
+    placed = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("rep", "digest", "prints", "rare", F.coalesce("component", "rep").alias("component"), F.xxhash64("digest").alias("name"))
+    total = distinct.agg(F.sum(F.length("rare"))).first()[0] or 0
+    buckets = max(16, total // 8 // ENTRIES + 1)
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            hashes, names, classes = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                part = order[edge[b] : edge[b + 1]]
+                if len(part):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "hashes": [hashes[part].tobytes()], "names": [names[part].tobytes()], "classes": [classes[part].tobytes()]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rare = batch.column(0).to_pylist()
+            n = [len(x) // 8 for x in rare]
+            held.append((np.frombuffer(b"".join(rare), "<u8"), np.repeat(batch.column(1).to_numpy(), n), np.repeat(batch.column(2).to_numpy(), n)))
+            size += sum(n)
+            if size >= ENTRIES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def shared(table: pa.Table) -> pa.Table:
+        hashes, names, classes = (np.frombuffer(b"".join(table[k].to_pylist()), kind) for k, kind in (("hashes", "<u8"), ("names", "<u8"), ("classes", "<i8")))
+        order = np.argsort(hashes, kind="stable")
+        hashes, names, classes = hashes[order], names[order], classes[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        several = np.flatnonzero(np.minimum.reduceat(classes, first) != np.maximum.reduceat(classes, first))
+        with np.errstate(over="ignore"):
+            block, at = np.unique(np.add.reduceat(mix(names), first)[several], return_index=True)
+        n = np.diff(np.r_[first, len(hashes)])[several[at]]
+        rows = np.repeat(first[several[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return pa.table({"block": pa.array(np.repeat(block, n).view(np.int64)), "name": pa.array(names[rows].view(np.int64))})
+
+    dealt = placed.select("rare", "name", "component").mapInArrow(deal, "bucket int, hashes binary, names binary, classes binary")
+    blocks = dealt.groupBy("bucket").applyInArrow(shared, "block long, name long").distinct()
+    return common.written(blocks.join(placed.drop("rare"), "name").drop("name"), "simhash-rare")
+
+
+def _with_sets(units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The units with the shingles of their rows."""
+    units = common.written(units, "simhash-units")
+    sets = common.written(_sets(docs, units.select("rep").distinct(), words), "simhash-shingles")
+    return units.join(sets, ["rep", "digest"])
+
+
 def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """rep, digest, shingles of the texts that share a block with another: the others' sets aren't made."""
     texts = common.doc_texts(docs)

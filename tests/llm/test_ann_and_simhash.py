@@ -222,3 +222,16 @@ def test_repeated_passages_do_not_part_near_copies(spark):
     assert all(_jaccard(rows[2 * i][1], rows[2 * i + 1][1]) == 0.96 for i in range(12))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8).collect()}
     assert got == {i: i - i % 2 for i in range(24)}
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    draw = random.Random(11)
+    rows, shapes = [], [(8, 1), (16, 3), (44, 10)]  # words, and words added at the end: a similarity of 0.8 each
+    for i in range(450):
+        words, more = shapes[i % 3]
+        text = [f"w{draw.randrange(10**9)}" for _ in range(words + more)]
+        rows += [(2 * i, " ".join(text[:words])), (2 * i + 1, " ".join(text))]
+    assert all(_jaccard(rows[2 * i][1], rows[2 * i + 1][1]) == 0.8 for i in range(450))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8).collect()}
+    lost = [i for i in range(450) if got[2 * i + 1] != 2 * i]
+    assert not lost, f"{len(lost)} of 450 lost"
