@@ -25,7 +25,7 @@ def op3_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.formatted(rows))
+    return chat.digests(chat.formatted(rows, window=chat.WINDOW))
 
 
 def op4_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:

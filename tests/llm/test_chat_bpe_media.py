@@ -32,10 +32,46 @@ def test_long_and_odd_conversations(spark):
     rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} \\</turn>### <") for k in range(300)]
     rows += [(2, 0, "user", None), (2, 0, "user", None), (2, 0, None, "x"), (3, 0, "we:ird\\", ""), (4, 5, "assistant", "y" * 200_000)]
     docs = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, start string")
-    turns = chat.formatted(docs)
+    turns = chat.formatted(docs, window=chat.WINDOW)
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in chat.digests(turns).collect()}
     assert got == _expected(rows)
     assert turns.where("rewrites").count() == 0 and chat.digests(chat.formatted(docs.limit(0))).count() == 0
+    some = docs.where("conv_id <> 1 or turn < 40")
+    whole = sorted(map(tuple, chat.formatted(some).collect()), key=repr)
+    assert whole == sorted(map(tuple, chat.formatted(some, window=chat.WINDOW).collect()), key=repr) and len(whole) == 45
+
+
+TEMPLATES = {
+    "numbered": lambda turns: "".join(f"[{k}|{r}]{t}\n" for k, (r, t) in enumerate(turns)),
+    "first named": lambda turns: "".join(f"<{turns[0][1]}|{r}>{t}\n" for r, t in turns),
+    "end mark": lambda turns: "BOS" + "".join(f"<{r}>{t}</>" for r, t in turns) + "<END>",
+    "trims after ten": lambda turns: "".join(f"<{r}>{t if len(turns) - k <= 10 else t[:2]}</>" for k, (r, t) in enumerate(turns)),
+    "forgets": lambda turns: "".join(f"<{r}>{t}</>" for r, t in turns[-6:]),
+    "counts": lambda turns: f"{len(turns)} turns:" + "".join(f"<{r}>{t}</>" for r, t in turns),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+@pytest.mark.parametrize("n", [12, 300])
+def test_whole_output_of_any_template(name, n):
+    renderer = TEMPLATES[name]
+    turns = [("assistant" if k % 2 else "user", f"{'ab<'[k % 3]} text {k} {'x' * (k % 5)}") for k in range(n)]
+    whole, found = chat.spans(renderer, turns)
+    assert whole == renderer(turns) == "".join(whole[a:b] for a, b, *_ in found)
+    assert any(x[-1] for x in found) == (name not in ("numbered", "first named"))
+    if name not in ("trims after ten", "forgets"):
+        assert [whole[c:d] for _, _, c, d, _ in found] == [t for _, t in turns]
+    else:
+        assert [whole[c:d] for _, _, c, d, _ in found[-6:]] == [t for _, t in turns[-6:]]
+        assert all(found[k][-1] for k in range(10, n))
+
+
+def test_a_window_must_be_true(spark):
+    rows = spark.createDataFrame([(1, k, "user", f"turn {k}") for k in range(40)], "conv_id long, turn long, role string, text string")
+    for name in ("numbered", "end mark", "trims after ten"):
+        with pytest.raises(Exception, match="window|looks back"):
+            chat.formatted(rows, TEMPLATES[name], window=8).collect()
+    assert "".join(r["formatted"] for r in chat.formatted(rows, TEMPLATES["end mark"]).orderBy("turn").collect()) == TEMPLATES["end mark"]([("user", f"turn {k}") for k in range(40)])
 
 
 def test_templates_that_rewrite_are_found():
