@@ -24,15 +24,30 @@ def test_op1_oracle(spark, duck):
     assert got["n_removed"].sum() > 0
 
 
+@pytest.mark.parametrize("few", [0, linededup.FEW])
 @pytest.mark.parametrize("sites", [2, 4, 6])
-def test_lines_near_the_threshold_are_exact(spark, sites):
+def test_lines_near_the_threshold_are_exact(spark, monkeypatch, sites, few):
+    monkeypatch.setattr(linededup, "FEW", few)  # both ways to the same rows
     rows = [(100 * n + k, f"own {n} {k}\n  shared by {n}\t\n\nshared by {n}", f"s{k}") for n in range(1, 9) for k in range(n)] + [(9000, None, None), (9001, "", "s1"), (9002, "shared by 8", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {(r["doc_id"], r["text"]) for r in linededup.without_boilerplate(docs, sites).collect()}
     assert got == set(_brute_lines(rows, sites))
 
 
-def test_lines_odd_and_empty(spark, odd, nothing):
+@pytest.mark.parametrize("few", [0, linededup.FEW])
+def test_clashing_names(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    rows = [(k, "shared\nown", f"s{k}", 7, "b", 3, "x") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int, __bad string, bad_0 int, key string")
+    out = linededup.without_boilerplate(docs, 3, count=None)
+    assert out.columns == docs.columns and {tuple(r)[1:2] + tuple(r)[3:] for r in out.collect()} == {("", 7, "b", 3, "x")}
+    counted = linededup.without_boilerplate(docs, 3)
+    assert counted.columns == [*(c for c in docs.columns if c != "n_removed"), "n_removed"] and {r["n_removed"] for r in counted.collect()} == {2}
+
+
+@pytest.mark.parametrize("few", [0, linededup.FEW])
+def test_lines_odd_and_empty(spark, monkeypatch, odd, nothing, few):
+    monkeypatch.setattr(linededup, "FEW", few)
     out = linededup.without_boilerplate(odd, 2)
     assert out.columns == [*odd.columns, "n_removed"] and out.count() == odd.count()
     texts = {(r["doc_id"], r["source"]): r["text"] for r in out.collect()}
