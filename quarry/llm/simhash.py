@@ -28,14 +28,16 @@ Two ways to make blocks:
 
 With a similarity these blocks and the radius are only the quick way to most links. A second pass finds all
 others: all sets are put in one order of shingles, those common in a sample last, and two sets of
-n shingles that are alike by s share one of the first n - ceil(s n) + 1 of each. Each such shingle is a block, unless all its
-texts are in one component already; blocks of the same texts are one. Their pairs are verified without a radius.
+n shingles that are alike by s share one of the first n - ceil(s n) + 1 of each. Each such shingle is a block of the texts
+that hold it and have another beside them of like size and of another component. Of each pair in a block the overlap is bounded from
+above by the counts of shingles in hash classes (about four shingles in a class), which is exact and costs a
+sixteenth of the sets; only rows of pairs that the bound leaves are verified, without a radius.
 
 Null text counts as empty. Texts without words have fingerprint zero and link
 like any other. Rows with equal fingerprints (with a similarity: with equal sets of shingles, known by a
 128-bit digest) are collapsed before blocks are made, so copies cost nothing. An empty table gives an empty result. Rows that
-share a doc_id each get their own fingerprint and component; the id stands for
-all of them.
+share a doc_id each get their own fingerprint; without a similarity the id stands for all of them, with one each
+row has the component of its own text. A null doc_id comes after all others.
 """
 
 from __future__ import annotations
@@ -62,8 +64,10 @@ ROWS, BANDS = 3, 8
 LANES = 4
 #: Rows of the sample whose common shingles come last in the order, and how many of these are known.
 SAMPLE, OFTEN = 10_000, 1 << 18
-#: Shingles of the second pass that one bucket holds, and one task before it deals them.
+#: Entries (shingle, text) of the second pass in a partition, and entries of one shingle that are looked at together.
 ENTRIES = 1 << 20
+#: Shingles in a hash class, on average, of the bound of a pair's overlap.
+IN_CLASS = 4
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -135,41 +139,63 @@ def first_in_order(hashes: np.ndarray, similarity: float, often: np.ndarray, cou
     return hashes[np.lexsort((hashes, rank))[:first]].astype("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keys: bool = False, shingles: bool = False, digests: bool = False, rare=None) -> DataFrame:
-    """doc_id, prints (array of ``lanes`` longs) and, if asked for, keys (array of block keys), shingles (sorted 32-bit hashes, packed), digest (of the set of shingles) or rare (``first_in_order``) of each row.
+def classes_of(hashes: np.ndarray) -> bytes:
+    """How many shingles lie in each class of hashes; the number of classes is a power of two that grows with the set. A class of 255 stands for any number."""
+    many = 1 << max(3, (len(hashes) // IN_CLASS).bit_length())
+    counts = np.bincount((hashes >> np.uint64(32)) & np.uint64(many - 1), minlength=many)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    Lane 0 is the fingerprint of the plain XXH64; further lanes take a bijection of each hash. With digests all
-    columns are of the set of shingles; without, a shingle counts in the fingerprint as often as it occurs.
-    ``rare`` is a similarity and the broadcast table of common shingles; it needs digests.
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, prints (array of one long) of each row: the fingerprint of the plain XXH64, a shingle as often as it occurs."""
+
+    def make():
+        def work(batch):
+            prints = [[np.uint64(majority(shingle_hashes(text, words))).astype(np.int64)] for text in common.text_bytes(batch)]
+            return {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
+
+        return work
+
+    return common.map_steps(common.doc_texts(docs), make, "doc_id long, prints array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and text_key, a digest of the text."""
+    return common.doc_texts(docs).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+
+
+SET_SCHEMA = "doc_id long, text_key string, digest binary, prints array<long>, keys array<long>, rare array<long>, size int, classes binary"
+
+
+def set_prints(texts: DataFrame, words: int, similarity: float, often) -> DataFrame:
+    """Of each row's set of shingles: digest, prints (LANES longs; lanes beyond 0 take a bijection of each hash), block keys, ``first_in_order``, size and ``classes_of``.
+
+    ``texts`` is ``_keyed``; ``often``: the broadcast table of common shingles.
     """
 
     def make():
         def work(batch):
-            prints, blocks, sets, names, early = [], [], [], [], []
+            out: dict[str, list] = {x.split()[0]: [] for x in SET_SCHEMA.split(", ")[2:]}
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
-                    hashes = shingle_hashes(text, words)
-                    if digests:
-                        hashes = np.unique(hashes)
-                    prints.append([np.uint64(majority(hashes if not k else mix(hashes + np.uint64(k)))).astype(np.int64) for k in range(lanes)])
-                    if keys:
-                        blocks.append(minima(np.unique(hashes)))
-                    if shingles:
-                        sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
-                    if digests:
-                        names.append(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
-                    if rare:
-                        early.append(first_in_order(hashes, rare[0], *rare[1].value).tobytes())
-            out = {"doc_id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64()))}
-            out |= {"keys": pa.array(blocks, pa.list_(pa.int64()))} if keys else {}
-            out |= {"shingles": pa.array(sets, pa.binary())} if shingles else {}
-            out |= {"rare": pa.array(early, pa.binary())} if rare else {}
-            return out | ({"digest": pa.array(names, pa.binary())} if digests else {})
+                    hashes = np.unique(shingle_hashes(text, words))
+                    out["digest"].append(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
+                    out["prints"].append(set_lanes(hashes))
+                    out["keys"].append(minima(hashes))
+                    out["rare"].append(first_in_order(hashes, similarity, *often.value).view(np.int64))
+                    out["size"].append(len(hashes))
+                    out["classes"].append(classes_of(hashes))
+            kinds = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}
+            given = {"doc_id": batch.column(0), "text_key": batch.column(2)}
+            return given | {k: pa.array(out[k], kinds[t]) for k, t in (x.split() for x in SET_SCHEMA.split(", ")[2:])}
 
         return work
 
-    schema = "doc_id long, prints array<long>" + ", keys array<long>" * keys + ", shingles binary" * shingles + ", rare binary" * bool(rare) + ", digest binary" * digests
-    return common.map_steps(common.doc_texts(docs), make, schema)
+    return common.map_steps(texts, make, SET_SCHEMA)
+
+
+def set_lanes(hashes: np.ndarray) -> list[np.int64]:
+    return [np.uint64(majority(hashes if not k else mix(hashes + np.uint64(k)))).astype(np.int64) for k in range(LANES)]
 
 
 def _pigeonhole(distinct: DataFrame, radius: int, count: int):
@@ -304,40 +330,14 @@ def link_batch(unit: np.ndarray, own: np.ndarray, rep: np.ndarray, prints: np.nd
 def _edges(units: DataFrame, radius: int, lanes: int, similarity: float | None = None) -> DataFrame:
     """src, dst: representatives that link, a forest for each unit. With ``similarity``, units have shingles."""
 
-    def task(batches):
-        held, rows = None, 0
-        keys = ("block", "low", "high")
-
-        def work(table: pa.Table):
-            prints = table["prints"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            cols = [table[k].to_numpy() for k in keys]
-            unit = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if len(table) else np.zeros(0, int)
-            sets = None if similarity is None else table["shingles"].to_pylist()
-            group = table["component"].to_numpy() if "component" in table.column_names else None
-            src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius, sets, similarity or 0.0, group)
-            return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
-
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            rows, size = rows + batch.num_rows, size + batch.nbytes
-            if rows < 4 * TILE and size < 4 * BITS:
-                continue
-            cols = [held[k].to_numpy() for k in keys]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
-            if len(change):
-                cut = int(change[-1]) + 1  # the last unit may go on in the next batch
-                yield work(held.slice(0, cut))
-                held = held.slice(cut).combine_chunks()
-                rows, size = held.num_rows, held.nbytes
-        if held is not None and held.num_rows:
-            yield work(held)
+    def work(table: pa.Table, unit: np.ndarray):
+        prints = table["prints"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+        sets = None if similarity is None else table["shingles"].to_pylist()
+        group = table["component"].to_numpy() if "component" in table.column_names else None
+        src, dst = link_batch(unit, table["own"].to_numpy(), table["rep"].to_numpy(), prints, radius, sets, similarity or 0.0, group)
+        return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    dealt = units.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "prints")
-    return dealt.mapInArrow(task, "src long, dst long")
+    return _by_unit(units, work, "src long, dst long", ("prints",))
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
@@ -347,36 +347,53 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
     With it: texts whose sets of shingles have that Jaccard similarity or more link, all of them and no others; the
     fingerprint that chooses most pairs then has LANES lanes, and its radius follows from the similarity (``radius_for``).
     """
-    spark = common.prepare(docs.sparkSession)
-    lanes, same = (1, "prints") if similarity is None else (LANES, "digest")
-    if similarity is None:
-        prints = common.written(fingerprints(docs, words), "simhash")
-        distinct = prints.groupBy("prints").agg(F.min("doc_id").alias("rep"))
-        distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
-        rows = _pigeonhole(distinct, radius, distinct.count())
-    else:
-        radius = radius_for(similarity)
-        rare = (similarity, spark.sparkContext.broadcast(_often(docs, words)))
-        prints = common.written(fingerprints(docs, words, LANES, keys=True, digests=True, rare=rare), "simhash")
-        distinct = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("prints").alias("prints"), F.min("keys").alias("keys"), F.min("rare").alias("rare"))
-        distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
-        rows = distinct.select("rep", "digest", "prints", F.posexplode("keys").alias("n", "key")).select("rep", "digest", "prints", F.xxhash64("n", "key").alias("block"))
-    units = _tiled(rows)
     if similarity is not None:
-        units = _with_sets(units, docs, words)
-    edges = common.written(_edges(units, radius, lanes, similarity), "simhash-links").distinct()
+        prints, distinct, classes = _alike(docs, words, similarity)
+        named = _placed(distinct, classes)
+        first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = named.join(first, "component").select("digest", "component_id")
+        return prints.join(named, "digest", "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
+    common.prepare(docs.sparkSession)
+    prints = common.written(fingerprints(docs, words), "simhash")
+    distinct = prints.groupBy("prints").agg(F.min("doc_id").alias("rep"))
+    distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
+    edges = common.written(_edges(_tiled(_pigeonhole(distinct, radius, distinct.count())), radius, 1), "simhash-links")
+    classes = components(edges.distinct())
+    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("prints", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "prints", "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _alike(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``set_prints`` of each row without what only pairs need; each distinct set under a number ``rep``, with the row it is read from; node, component of numbers that link)."""
+    spark = common.prepare(docs.sparkSession)
+    texts = _keyed(docs)
+    often = spark.sparkContext.broadcast(_often(texts, words))  # OFTEN numbers
+    every = common.written(set_prints(texts, words, similarity, often), "simhash")
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key")
+    distinct = every.groupBy("digest").agg(F.min(place).alias("place"), *(F.min(c).alias(c) for c in ("keys", "rare", "size", "classes")))
+    at = (F.nullif("place.id", F.lit(2**63 - 1)).alias("doc_id"), F.col("place.text_key").alias("text_key"))
+    distinct = common.written(distinct.select(F.monotonically_increasing_id().alias("rep"), "digest", *at, "keys", "rare", "size", "classes"), "simhash-distinct")
+    keyed = distinct.select("rep", F.posexplode("keys").alias("n", "key")).select("rep", F.xxhash64("n", "key").alias("block"))
+    edges = _verified(_tiled(keyed), distinct, texts, words, radius_for(similarity), similarity)
     classes = components(edges)
-    if similarity is not None:
-        rest = common.written(_edges(_with_sets(_tiled(_shared_rare(distinct, classes)), docs, words), 64 * LANES, LANES, similarity), "simhash-rest").distinct()
+    blocks = _shared_rare(_placed(distinct, classes), similarity)
+    units = common.written(_tiled(blocks).join(_placed(distinct, classes).select("rep", "component", "size", "classes"), "rep"), "simhash-bounds")
+    rest = _verified(_promising(units, similarity), distinct, texts, words, 64 * LANES, similarity)
+    for table in (blocks, units):
+        common.forget(table)
+    if not rest.isEmpty():
         classes = components(edges.union(rest))
-    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select(same, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, same, "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.select("doc_id", "text_key", "digest", "prints"), distinct.select("rep", "digest", "doc_id", "text_key"), classes
 
 
-def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _placed(distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct sets with their component (their own number, if they link to none)."""
+    return distinct.join(classes, distinct["rep"] == classes["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _often(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) of over one text of a sample, and the number of texts; the OFTEN most common at most."""
-    texts = common.doc_texts(docs)
-    step = max(1, docs.count() // SAMPLE)
+    step = max(1, texts.count() // SAMPLE)
 
     def make():
         def work(batch):
@@ -385,78 +402,182 @@ def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
         return work
 
-    some = common.map_steps(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0), make, "hash long, count long")
+    some = common.map_steps(texts.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(step)) == 0), make, "hash long, count long")
     found = some.groupBy("hash").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "hash").limit(OFTEN).toArrow()
     hashes = found["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found["count"].to_numpy()[order]
 
 
-def _shared_rare(distinct: DataFrame, classes: DataFrame) -> DataFrame:
-    """block, rep, digest, prints, component: texts of different components that share one of their ``rare`` shingles.
+def _groups(column: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
 
-    Shingles travel packed, a row for each bucket of a task. A block is named after its texts, so that shingles of the same texts give one block.
-    """
-    placed = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("rep", "digest", "prints", "rare", F.coalesce("component", "rep").alias("component"), F.xxhash64("digest").alias("name"))
-    total = distinct.agg(F.sum(F.length("rare"))).first()[0] or 0
-    buckets = max(16, total // 8 // ENTRIES + 1)
-
-    def deal(batches):
-        held, size = [], 0
-
-        def flush():
-            hashes, names, classes = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = order[edge[b] : edge[b + 1]]
-                if len(part):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "hashes": [hashes[part].tobytes()], "names": [names[part].tobytes()], "classes": [classes[part].tobytes()]})
+
+def like_sizes(hashes: np.ndarray, sizes: np.ndarray, components: np.ndarray, similarity: float) -> np.ndarray:
+    """Which entries, sorted by hash and size, may have a partner: one of the hash's entries of a size near enough, where the hash has several components."""
+    if not len(hashes):
+        return np.zeros(0, bool)
+    near = (hashes[1:] == hashes[:-1]) & (sizes[:-1] >= similarity * sizes[1:] - 1e-9)
+    keep = np.r_[near, False] | np.r_[False, near]
+    first = _groups(hashes)
+    several = np.minimum.reduceat(components, first) != np.maximum.reduceat(components, first)
+    return keep & np.repeat(several, np.diff(np.r_[first, len(hashes)]))
+
+
+def _shared_rare(placed: DataFrame, similarity: float) -> DataFrame:
+    """block, rep: texts of different components that share one of their ``rare`` shingles. A block is named after its texts, so that shingles of the same texts give one block."""
+    total = placed.agg(F.sum(F.size("rare"))).first()[0] or 0
+    entries = placed.select(F.explode("rare").alias("hash"), "size", "rep", "component")
+    dealt = entries.repartition(max(16, total // ENTRIES + 1), "hash").sortWithinPartitions("hash", "size")
+
+    def task(batches):
+        held: list[np.ndarray] = []
+
+        def blocks(hashes, sizes, reps, components, named=True):
+            keep = like_sizes(hashes, sizes, components, similarity)
+            hashes, reps = hashes[keep], reps[keep]
+            if not len(hashes):
+                return
+            first = _groups(hashes)
+            n = np.diff(np.r_[first, len(hashes)])
+            with np.errstate(over="ignore"):
+                block = np.add.reduceat(mix(reps.view(np.uint64)), first).view(np.int64) if named else hashes[first]
+            _, at = np.unique(block, return_index=True)
+            rows = np.repeat(first[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat(block[at], n[at])), "rep": pa.array(reps[rows])})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rare = batch.column(0).to_pylist()
-            n = [len(x) // 8 for x in rare]
-            held.append((np.frombuffer(b"".join(rare), "<u8"), np.repeat(batch.column(1).to_numpy(), n), np.repeat(batch.column(2).to_numpy(), n)))
-            size += sum(n)
-            if size >= ENTRIES:
-                yield from flush()
-                held, size = [], 0
+            now = [batch.column(k).to_numpy() for k in range(4)]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            cut = int(_groups(held[0])[-1])  # the last hash may go on in the next batch
+            if cut:
+                yield from blocks(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+            elif len(held[0]) > ENTRIES and held[3].min() != held[3].max():  # one hash of very many texts: all but the last, beside which the next stands
+                yield from blocks(*(x[:-1] for x in held), named=False)
+                held = [np.r_[x[:1], x[-1:]] if k == 3 else x[-2:] for k, x in enumerate(held)]
         if held:
-            yield from flush()
-
-    def shared(table: pa.Table) -> pa.Table:
-        hashes, names, classes = (np.frombuffer(b"".join(table[k].to_pylist()), kind) for k, kind in (("hashes", "<u8"), ("names", "<u8"), ("classes", "<i8")))
-        order = np.argsort(hashes, kind="stable")
-        hashes, names, classes = hashes[order], names[order], classes[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        several = np.flatnonzero(np.minimum.reduceat(classes, first) != np.maximum.reduceat(classes, first))
+            yield from blocks(*held)
+
+    return common.written(dealt.mapInArrow(task, "block long, rep long").distinct(), "simhash-rare")
+
+
+def promising(unit: np.ndarray, own: np.ndarray, group: np.ndarray, sizes: np.ndarray, classes: list[bytes], similarity: float) -> np.ndarray:
+    """Which rows, sorted by unit, are in a pair of their unit and of two groups whose overlap may reach ``similarity``, by the bound of their classes' counts."""
+    n = len(unit)
+    width = np.fromiter(map(len, classes), np.int64, n)
+    at = np.cumsum(width) - width
+    flat = np.frombuffer(b"".join(classes), np.uint8)
+    full = np.fromiter((b"\xff" in x for x in classes), bool, n)
+    first = _groups(unit)
+    stop = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
+    crossing = np.repeat(np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first), np.diff(np.r_[first, n]))
+    found = np.zeros(n, bool)
+    active, lag = np.arange(n), 1
+
+    def folded(rows: np.ndarray, wide: int, many: int) -> np.ndarray:
+        return flat[at[rows][:, None] + np.arange(wide)].astype(np.int16).reshape(len(rows), wide // many, many).sum(axis=1)
+
+    while len(active := active[active + lag < stop[active]]):
+        a, b = active, active + lag
+        fits = (group[a] != group[b]) & (~crossing[a] | (own[a] != own[b])) & ~(found[a] & found[b])
+        a, b = a[fits], b[fits]
+        fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+        a, b = a[fits], b[fits]
+        kind = width[a] * (1 << 32) + width[b]
+        for k in np.unique(kind).tolist():
+            some = np.flatnonzero(kind == k)
+            x, y, many = k >> 32, k & ((1 << 32) - 1), min(k >> 32, k & ((1 << 32) - 1))
+            for low in range(0, len(some), step := max(1, BITS // (8 * max(x, y)))):
+                p, q = a[some[low : low + step]], b[some[low : low + step]]
+                most = np.minimum(folded(p, x, many), folded(q, y, many)).sum(axis=1, dtype=np.int64)
+                hit = (most >= similarity / (1 + similarity) * (sizes[p] + sizes[q]) - 1e-6) | full[p] | full[q]
+                found[p[hit]] = found[q[hit]] = True
+        lag += 1
+    return found
+
+
+_UNIT = ("block", "low", "high")
+
+
+def _by_unit(units: DataFrame, work, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` (of a table of whole units and the number of each row's unit) over all units, several at once."""
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        cols = [table[k].to_numpy() for k in _UNIT]
+        return np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if len(table) else np.zeros(0, int)
+
+    def task(batches):
+        held, size = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            size += batch.nbytes
+            if held.num_rows < 4 * TILE and size < 4 * BITS:
+                continue
+            change = _groups(numbers(held))
+            if len(change) > 1:
+                cut = int(change[-1])  # the last unit may go on in the next batch
+                part = held.slice(0, cut).combine_chunks()
+                yield work(part, numbers(part))
+                held = held.slice(cut).combine_chunks()
+                size = held.nbytes
+        if held is not None and held.num_rows:
+            held = held.combine_chunks()
+            yield work(held, numbers(held))
+
+    return units.repartition(*_UNIT).sortWithinPartitions(*_UNIT, *order).mapInArrow(task, schema)
+
+
+def _promising(units: DataFrame, similarity: float) -> DataFrame:
+    """The units' rows that are in a promising pair, each unit named after them, so that units of the same rows are one."""
+
+    def work(table: pa.Table, unit: np.ndarray):
+        own, rep, group = (table[k].to_numpy() for k in ("own", "rep", "component"))
+        keep = promising(unit, own, group, table["size"].to_numpy(), table["classes"].to_pylist(), similarity)
+        unit, rep, group = unit[keep], rep[keep], group[keep]
+        if not len(unit):
+            none = pa.array([], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none.cast("int32"), none.cast("int32"), none.cast("int32"), none, none], names=[*_UNIT, "own", "rep", "component"])
+        high = (own > table["low"].to_numpy())[keep].astype(np.int32)  # of two tiles the second
+        first = _groups(unit)
+        n = np.diff(np.r_[first, len(unit)])
         with np.errstate(over="ignore"):
-            block, at = np.unique(np.add.reduceat(mix(names), first)[several], return_index=True)
-        n = np.diff(np.r_[first, len(hashes)])[several[at]]
-        rows = np.repeat(first[several[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return pa.table({"block": pa.array(np.repeat(block, n).view(np.int64)), "name": pa.array(names[rows].view(np.int64))})
+            block = np.repeat(np.add.reduceat(mix(rep.view(np.uint64) * np.uint64(2) + high.astype(np.uint64)), first).view(np.int64), n)
+        both = np.repeat(np.maximum.reduceat(high, first), n)
+        return pa.RecordBatch.from_pydict({"block": block, "low": np.zeros(len(block), np.int32), "high": both, "own": high, "rep": rep, "component": group})
 
-    dealt = placed.select("rare", "name", "component").mapInArrow(deal, "bucket int, hashes binary, names binary, classes binary")
-    blocks = dealt.groupBy("bucket").applyInArrow(shared, "block long, name long").distinct()
-    return common.written(blocks.join(placed.drop("rare"), "name").drop("name"), "simhash-rare")
+    return _by_unit(units, work, "block long, low int, high int, own int, rep long, component long").distinct()
 
 
-def _with_sets(units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The units with the shingles of their rows."""
+def _verified(units: DataFrame, distinct: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """src, dst: the links within the units, a forest for each, by the sets of their rows; sets are made anew for the texts that share a unit with another."""
     units = common.written(units, "simhash-units")
-    sets = common.written(_sets(docs, units.select("rep").distinct(), words), "simhash-shingles")
-    return units.join(sets, ["rep", "digest"])
+    members = distinct.join(units.select("rep").distinct(), "rep").select("rep", "digest", F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
+    some = texts.join(members, texts["doc_id"].eqNullSafe(members["own_id"]) & (texts["text_key"] == members["own_key"])).select("rep", "text")
 
+    def make():
+        def work(batch):
+            prints, sets = [], []
+            with np.errstate(over="ignore"):
+                for text in common.text_bytes(batch):
+                    hashes = np.unique(shingle_hashes(text, words))
+                    prints.append(set_lanes(hashes))
+                    sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
+            return {"rep": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())}
+
+        return work
 
-def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """rep, digest, shingles of the texts that share a block with another: the others' sets aren't made."""
-    texts = common.doc_texts(docs)
-    some = texts.join(members, texts["doc_id"] == members["rep"], "left_semi")
-    rows = fingerprints(some, words, LANES, shingles=True, digests=True)
-    return rows.select(F.col("doc_id").alias("rep"), "digest", "shingles").dropDuplicates(["rep", "digest"])
+    sets = common.written(common.map_steps(some, make, "rep long, prints array<long>, shingles binary").dropDuplicates(["rep"]), "simhash-shingles")
+    edges = common.written(_edges(units.join(sets, "rep"), radius, LANES, similarity).distinct(), "simhash-links")
+    for table in (units, sets):
+        common.forget(table)
+    return edges
 
 
 def radius_for(similarity: float) -> int:
@@ -473,10 +594,23 @@ def hex_print(column: str = "prints"):
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, rows with the smallest doc_id stay.
-
-    Rows whose doc_id is null stay.
+    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays (null after all others; of rows
+    with one id, the smallest digest of the text; of rows with one id and one text, any one).
     """
-    found = near_components(docs, words, similarity=similarity)
-    dropped = common.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    prints, distinct, classes = _alike(docs, words, similarity)
+    component = _placed(distinct, classes).select("digest", "component")
+    rows = prints.join(component, "digest").select("component", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key")
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    counted = rows.groupBy("component", "id", "text_key").agg(F.count("*").alias("n"))
+    judged = counted.join(first, "component").select("id", "text_key", "n", (F.struct("id", "text_key") == F.col("first")).alias("stays"))
+    judged = common.written(judged.where("not stays or n > 1"), "simhash-dropped")
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    row_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1))
+    same = lambda table: (row_id == table["id"]) & (key == table["text_key"])
+    gone = judged.where("not stays")
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return left
+    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once)
