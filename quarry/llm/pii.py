@@ -3,7 +3,7 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; their spans always
 stay. The field adds spans that patterns miss (keys and tokens, numbers that look like
 cards or phones but break a rule): kinds ``x_email``, ``x_ip``, ``x_card``, ``x_phone`` and
-``secret``, where no pattern's span covers them.
+``secret``, where no pattern's span covers them. Unbroken digits that fail the card test are no cards.
 
 The field's labels are LABELS. Its features of a word are indicators of the word's shape
 (counts of digits, letters and signs, in steps); its weights are fitted by gradient
@@ -11,7 +11,8 @@ ascent on the likelihood of a small labelled table (``labelled``). Whole texts a
 decoded by Viterbi in numpy, all words of a batch at once: a word whose
 "none" no two transitions could outweigh has that label in the best path, so
 the chain falls apart there, exactly, into short runs. Runs are decoded
-side by side, one step of all runs at a time.
+side by side, one step of all runs at a time. Words are marked, and may have another label, by a digit, @, = or +, or by
+LONG bytes or more with CHANGES capitals after small letters; of a field that does not hold the others free, all words of a text are one run.
 
 Offsets are code points, end exclusive. Null text counts as empty and has no
 spans. Repeated rows give a row each; an empty table gives an empty result.
@@ -20,7 +21,9 @@ spans. Repeated rows give a row each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,9 @@ _CLASSES = {
     "upper": bytes(range(65, 91)), "at": b"@", "dot": b".", "dash": b"-_", "plus": b"+", "paren": b"()", "equal": b"=:", "quote": b"\"'`",
 }
 _STEPS = {"digit": (1, 2, 3, 4, 5, 8, 12, 16, 17, 20), "hex": (1, 4, 8, 16), "letter": (1, 2, 4, 8, 16, 32), "upper": (1, 4, 8, 12), "at": (1,), "dot": (1, 2, 3, 4), "dash": (1, 2), "plus": (1,), "paren": (1, 2), "equal": (1,), "quote": (1, 2)}
+#: Words without a marked byte that are marked nevertheless: bytes, and capitals after small letters, at least.
+LONG, CHANGES = 16, 3
+_STEPS["change"] = (1, 2, 3, 4, 6, 9)
 _MARKED = np.zeros(256, bool)
 _MARKED[list(b"0123456789@=+")] = True
 _WIDTHS = {name: len(steps) + 1 for name, steps in _STEPS.items()}
@@ -99,11 +105,16 @@ FEATURES = 1 + sum(_WIDTHS.values()) + _WIDTHS["digit"] * _WIDTHS["letter"]
 
 
 def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which words are marked, feature ids of those: n x k); words without a marked byte have feature 0 alone."""
+    """(which words are marked, feature ids of those: n x k); other words have feature 0 alone."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros((0, len(_STEPS) + 1), np.int64)
     signs = np.flatnonzero(_MARKED[data])
-    marked = np.flatnonzero(np.searchsorted(signs, end) > np.searchsorted(signs, start))
+    capital = (data >= 65) & (data <= 90)
+    capital[1:] &= (data[:-1] >= 97) & (data[:-1] <= 122)
+    capital[:1] = False
+    changes = np.flatnonzero(capital)
+    turns = np.searchsorted(changes, end) - np.searchsorted(changes, start)
+    marked = np.flatnonzero((np.searchsorted(signs, end) > np.searchsorted(signs, start)) | ((end - start >= LONG) & (turns >= CHANGES)))
     a, b = start[marked], end[marked]
     length = b - a
     if not len(marked):
@@ -117,6 +128,8 @@ def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
         level[name] = np.searchsorted(_STEPS[name], np.add.reduceat(table[inside], offset), side="right")
         columns.append(base + level[name])
         base += _WIDTHS[name]
+    columns.append(base + np.searchsorted(_STEPS["change"], turns[marked], side="right"))
+    base += _WIDTHS["change"]
     columns.append(base + level["digit"] * _WIDTHS["letter"] + level["letter"])
     return marked, np.column_stack(columns)
 
@@ -138,17 +151,18 @@ def labelled() -> list[tuple[str, list[str]]]:
     hexes = lambda n: "".join(draw.choice(list("0123456789abcdef"), n))
     # Words around personal data, and numbers that are none.
     plain = "the of and to in is was on for with call write my number mail card address at from until who said that here der die und ist la de et los".split()
-    harmless = ["1", "12", "3.", "4.0", "2.0.", "1999", "2024", "(2)", "10:30", "3.14", "100%", "1,000", "v1.2.3", "no.7", "2024-01-31", "$15", "x=1", "a=b", "+5", "@home", "50-60", "12:", "ISO-8601", "CC-BY-4.0", "3rd", "[12]", "mp3", "section2", "COVID-19", "TABLE3", "abandonment7", "UNDERSTANDING!!2", "chapter10:", "H2O"]
+    harmless = ["1", "12", "3.", "4.0", "2.0.", "1999", "2024", "(2)", "10:30", "3.14", "100%", "1,000", "v1.2.3", "no.7", "2024-01-31", "$15", "x=1", "a=b", "+5", "@home", "50-60", "12:", "ISO-8601", "CC-BY-4.0", "3rd", "[12]", "mp3", "section2", "COVID-19", "AbstractFactoryBeanProvider", "JavaScriptObjectNotation", "GitHubStackOverflowYouTube", "OneTwoThreeFourFive", "TABLE3", "abandonment7", "UNDERSTANDING!!2", "chapter10:", "H2O"]
     mixed = lambda letters, n: "".join(draw.choice(list(letters + "0123456789"), n))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     secrets = [
         lambda: f'"{hexes(40)}"', lambda: hexes(int(draw.choice([32, 40, 64]))).upper(), lambda: hexes(int(draw.choice([16, 32, 40]))), lambda: "sk-" + hexes(32), lambda: "key=" + hexes(16),
         lambda: mixed(upper, 20), lambda: mixed(upper, int(draw.integers(16, 30))), lambda: mixed(upper + lower, int(draw.integers(20, 41))), lambda: "pw=" + mixed(lower, 18),
+        lambda: "".join(draw.choice(list(upper + lower), int(draw.integers(24, 41)))),
     ]
     kinds = {
         "x_email": lambda: [f"{draw.choice(plain)}{digits(2)}@{draw.choice(plain)}{draw.choice(['', '.local', '.example.org'])}"],
         "x_ip": lambda: [".".join(digits(int(draw.integers(1, 4))) for _ in range(4))],
-        "x_card": lambda: draw.choice([digits(16), digits(15), digits(19), digits(14)], 1).tolist() if draw.random() < 0.6 else [digits(4) for _ in range(4)],
+        "x_card": lambda: [str(draw.choice(list("._"))).join(digits(4) for _ in range(4))] if draw.random() < 0.4 else [digits(4) for _ in range(4)],
         "x_phone": lambda: draw.choice(["555-" + digits(4), f"({digits(3)})-{digits(3)}-{digits(4)}", "0" + digits(9), f"{digits(3)}-{digits(3)}-{digits(4)}"], 1).tolist() if draw.random() < 0.6 else [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"],
         "secret": lambda: [str(draw.choice(secrets)())],
     }
@@ -165,7 +179,8 @@ def labelled() -> list[tuple[str, list[str]]]:
                 if draw.random() < 0.3:
                     more[-1] += str(draw.choice(list(".,;!")))
             else:
-                kind, more = "none", [str(draw.choice(harmless))]
+                # an unbroken run of digits that is a card is found by the patterns; others are numbers of another kind
+                kind, more = "none", [digits(int(draw.integers(10, 20))) if draw.random() < 0.15 else str(draw.choice(harmless))]
             words += more
             labels += [kind] * len(more)
         out.append((" ".join(words), labels))
@@ -232,10 +247,12 @@ def train(table: list[tuple[str, list[str]]] | None = None, rounds: int = 150, r
 def decode(field: Field, words: wordbatch.Words) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers, label numbers) of the words whose label in the best path of their text isn't "none"."""
     marked, emit = _emissions(field, words)
-    if not len(marked):
+    if not len(marked) and (surely_free(field) or not len(words.start)):
         return marked, marked
     if not surely_free(field):
-        raise ValueError("words without marks are not surely free; fit the field anew")
+        every = np.tile(field.emit[0], (len(words.start), 1))
+        every[marked] = emit
+        marked, emit = np.arange(len(words.start)), every
     # Only marked words can have a label; each run of them in a text is a chain between sure words or text ends.
     joined = np.zeros(len(marked), bool)
     joined[1:] = (marked[1:] == marked[:-1] + 1) & (words.owner[marked[1:]] == words.owner[marked[:-1]])
@@ -271,12 +288,22 @@ def surely_free(field: Field) -> bool:
     return bool((field.emit[0, 0] - field.emit[0, 1:] > (before + after)[1:]).all())
 
 
+def _code_points(raw: bytes, at: list[int]) -> list[int]:
+    """The number of code points before each of the byte offsets ``at``, in time in proportion to the text."""
+    if not at or raw.isascii():
+        return at
+    places, back = np.unique(np.array(at, np.int64), return_inverse=True)
+    begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    parts = np.add.reduceat(np.r_[begins, False], np.r_[0, places], dtype=np.int64)
+    parts = np.where(np.r_[0, places] < np.r_[places, len(raw)], parts, 0)
+    return np.cumsum(parts[:-1])[back].tolist()
+
+
 def all_spans(field: Field, texts: list[bytes]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, spans the field adds) of each text."""
     words = wordbatch.split(texts, lower=False)
     number, label = decode(field, words)
-    strings = [t.decode() for t in texts]
-    out = [(base_spans(s), []) for s in strings]
+    out = [(base_spans(t.decode()), []) for t in texts]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(lengths) - lengths
     runs: list[list[int]] = []
@@ -285,6 +312,7 @@ def all_spans(field: Field, texts: list[bytes]) -> list[tuple[list[tuple[str, in
             runs[-1][1] = w
         else:
             runs.append([w, w, k])
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for low, high, k in runs:
         doc = int(words.owner[low])
         a, b = int(words.start[low] - begin[doc]), int(words.end[high] - begin[doc])
@@ -293,10 +321,16 @@ def all_spans(field: Field, texts: list[bytes]) -> list[tuple[list[tuple[str, in
             b -= 1
         while a < b and raw[a] in b"\"'([":
             a += 1
-        start = len(raw[:a].decode("utf-8", "ignore"))
-        end = start + len(raw[a:b].decode("utf-8", "ignore"))
-        if a < b and not any(x <= start and end <= y for _, x, y in out[doc][0]):
-            out[doc][1].append((LABELS[k], start, end))
+        if a < b:
+            found.setdefault(doc, []).append((k, a, b))
+    for doc, spans in found.items():
+        points = _code_points(texts[doc], [x for _, a, b in spans for x in (a, b)])
+        base = sorted((x, y) for _, x, y in out[doc][0])
+        starts, furthest = [x for x, _ in base], list(accumulate((y for _, y in base), max))
+        for (k, _, _), start, end in zip(spans, points[::2], points[1::2], strict=True):
+            before = bisect_right(starts, start)
+            if not before or furthest[before - 1] < end:
+                out[doc][1].append((LABELS[k], start, end))
     return out
 
 

@@ -174,6 +174,46 @@ def test_decoding_is_viterbi(field):
     assert (got == gold).mean() > 0.98
 
 
+def test_a_field_without_free_words_is_decoded_in_full(field):
+    loose = pii.Field(field.emit * 0.05, field.move + np.random.default_rng(1).normal(0, 3, field.move.shape), field.begin)
+    assert pii.surely_free(field) and not pii.surely_free(loose)
+    words = wordbatch.split([*(t.encode() for t, _ in pii.labelled()[:200]), b"", b"no marks at all", b" "], lower=False)
+    number, label = pii.decode(loose, words)
+    got = np.zeros(len(words.start), int)
+    got[number] = label
+    assert (got == _viterbi(loose, words)).all() and (got > 0).any()
+
+
+def test_spans_take_time_in_proportion(field):
+    import time
+
+    def seconds(times):
+        text = ("mail a.b@c.de key 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde \u00e9 and so on then more words follow here for it " * times).encode()
+        began = time.process_time()
+        base, more = pii.all_spans(field, [text])[0]
+        assert len(base) == len(more) == times
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(38_000) < 8 * max(seconds(9500), 0.05)
+
+
+def test_code_points():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(draw.choice(list("a\u00e9\u6f22\U0001f600 "), int(draw.integers(0, 30))))
+        raw = text.encode()
+        at = [len(text[:k].encode()) for k in draw.integers(0, len(text) + 1, int(draw.integers(0, 9))).tolist()]
+        assert pii._code_points(raw, at) == [len(raw[:x].decode()) for x in at]
+
+
+def test_keys_of_letters_and_numbers_that_are_no_cards(field):
+    found = lambda t: [k for k, _, _ in pii.all_spans(field, [t.encode()])[0][1]]
+    assert found("the key QwErTyUiOpAsDfGhJkLzXcVbNmQwErTyUiOp is out") == ["secret"]
+    assert found("of Donaudampfschifffahrtsgesellschaft and internationalization and AbstractFactoryBeanProvider") == []
+    assert found("order 5927243074273351 of batch 344490572523764 came") == []
+
+
 def test_op10(spark, odd, nothing, field):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     import hashlib
