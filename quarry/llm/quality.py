@@ -10,8 +10,9 @@ Weights are fitted by proximal AdaGrad with an L1 penalty: features that say
 nothing keep weight zero, so that long texts do not gather noise. Selection is by
 the tail probability of the best grade.
 
-The fit takes at most ``sample`` labelled rows, the first by a hash of their id; this is the
-documented bound. Every document is scored, over its whole text.
+The fit takes at most ``sample`` labelled ids, the first by a hash of the id, one text for each (of texts that share an id the
+smallest by digest), and of these so many as have IDS features together: the documented bounds of what
+comes to the driver. Features are made and stored by the executors. Every document is scored, over its whole text.
 
 Null text counts as empty; such a text has no features and gets the thresholds' own
 probabilities. With no labels, or labels of one grade only, the thresholds follow the
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from quarry.llm import common, wordbatch
 
 SAMPLE = 12_000
+#: Features of the sample that the driver holds at most, four bytes each.
+IDS = 40_000_000
 BITS = 20
 GRADES = 3
 #: A text is selected if the best grade has this probability.
@@ -121,10 +124,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits the model to at most ``sample`` rows of ``ratings`` (doc_id, grade) that have a document."""
+    """Fits the model to at most ``sample`` ids of ``ratings`` (doc_id, grade) that have a document, and to at most IDS features."""
     common.prepare(docs.sparkSession)
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = common.doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # bounded by ``sample``
+    labelled = common.doc_texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
+    picked = common.written(labelled.select("doc_id", "grade", F.md5(F.col("text").cast("binary")).alias("key"), "text"), "quality-sample")
+    first = picked.groupBy("doc_id").agg(F.min("key").alias("key"))
+    texts = picked.join(F.broadcast(first), ["doc_id", "key"]).select("doc_id", "grade", "text")  # ``sample`` rows again
 
     def make():
         def work(batch):
@@ -135,8 +141,16 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
 
         return work
 
-    rows = common.map_steps(texts, make, "doc_id long, grade int, ids binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(x, "<u4") for x in rows["ids"].to_pylist()], rows["grade"].to_numpy().astype(np.int64))
+    made = common.written(common.map_steps(texts, make, "doc_id long, grade int, ids binary").dropDuplicates(["doc_id"]).withColumn("place", F.xxhash64("doc_id")), "quality-features")
+    sizes = made.select("place", "doc_id", (F.length("ids") / 4).cast("long").alias("n")).orderBy("place", "doc_id").toArrow()  # ``sample`` rows
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), IDS, side="right"))
+    if fits < sizes.num_rows:
+        made = made.where((F.col("place") < sizes["place"][fits].as_py()) | ((F.col("place") == sizes["place"][fits].as_py()) & (F.col("doc_id") < sizes["doc_id"][fits].as_py())))
+    rows = made.select("doc_id", "grade", "ids").toArrow().sort_by("doc_id")
+    model = fit([np.frombuffer(x, "<u4") for x in rows["ids"].to_pylist()], rows["grade"].to_numpy().astype(np.int64))
+    common.forget(picked)
+    common.forget(made)
+    return model
 
 
 def probabilities(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -108,6 +108,82 @@ def test_quality_odd_and_empty(spark, odd, nothing):
         assert quality.scored(odd, quality.train(odd, quality.graded(few))).count() == odd.count()
 
 
+def test_repeated_ids_and_the_bound_of_features(spark, monkeypatch):
+    rows = [(i, f"word{i} and more words of text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    once = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = quality.train(spark.createDataFrame(rows * 7, "doc_id long, text string"), labels)
+    assert (once.weights == many.weights).all() and (once.thresholds == many.thresholds).all()
+    seen = []
+    kept = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda ids, grades, **k: seen.append(ids) or kept(ids, grades, **k))
+    monkeypatch.setattr(quality, "IDS", 500)
+    quality.train(spark.createDataFrame(rows * 3, "doc_id long, text string"), labels)
+    assert 10 <= len(seen[0]) < 60 and sum(map(len, seen[0])) <= 500
+
+
+def _plain_features(text):
+    """The documented features of one text, word by word."""
+    salted = lambda value, salt: int(wordbatch.mix(np.array([value], np.uint64) + np.uint64(salt))[0])
+    span = lambda w: int(wordbatch.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw.lower())
+    out = set()
+    for w in words:
+        out |= {span(w), salted(span(w[:4]), 11), salted(span(w[:5]), 12), salted(span(w[-2:]), 13)}
+    n = max(len(words), 1)
+    capitals, signs = sum(65 <= b <= 90 for b in raw), sum(bool(quality._SIGNS[b]) for b in raw)
+    shares = (sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, capitals / (len(raw) + 1), signs / (len(raw) + 1), math.log2(n) / 16)
+    out |= {salted(int(min(s * 8, 7)), 1000 * (k + 1)) for k, s in enumerate(shares)}
+    return sorted(x % (1 << quality.BITS) for x in out)
+
+
+def test_op8_equals_brute_force(spark, monkeypatch):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    held = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda *a, **k: held.append(real(*a, **k)) or held[-1])
+    got = {r["doc_id"]: r for r in queries.op8_ordinal_quality(spark, SMALL).collect()}
+    model = held[0]
+    assert got.keys() == docs.keys()
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i, text in docs.items():
+        score = sum(float(model.weights[k]) for k in set(_plain_features(text)))
+        tail = [sigmoid(score - t) for t in model.thresholds]
+        r = got[i]
+        assert (r["score"], r["p_poor_or_better"], r["p_good"], r["expected_grade"]) == pytest.approx((score, *tail, sum(tail)), rel=1e-9, abs=1e-9)
+        assert r["keep"] == (r["p_good"] >= quality.KEEP)
+
+
+def test_fit_follows_its_definition():
+    draw = np.random.default_rng(2)
+    rows = [np.unique(draw.integers(0, 30, 8)).astype("<u4") for _ in range(90)]
+    grades = np.array([min(2, int((r < 10).sum() // 2)) for r in rows])
+    x = np.zeros((90, 30))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    at_least = [(np.sum(grades >= k) + 0.5) / 91 for k in (1, 2)]
+    w, t = np.zeros(30), np.maximum.accumulate([-math.log(p / (1 - p)) for p in at_least])
+    sw, st = np.full(30, 1e-10), np.full(2, 1e-10)
+    penalty = 0.06 / math.sqrt(90)
+
+    def loss(w, t):
+        tail = np.column_stack([np.ones(90), *(1 / (1 + np.exp(-(x @ w - a))) for a in t), np.zeros(90)])
+        return -np.log(tail[np.arange(90), grades] - tail[np.arange(90), grades + 1]).mean()
+
+    def slope(f, at):
+        return np.array([(f(at + h) - f(at - h)) / 2e-6 for h in np.eye(len(at)) * 1e-6])
+
+    for _ in range(20):
+        gw, gt = slope(lambda v: loss(v, t), w), slope(lambda v: loss(w, v), t)
+        sw, st = sw + gw**2, st + gt**2
+        w = w - 0.1 / np.sqrt(sw) * gw
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.1 / np.sqrt(sw) * penalty, 0)
+        t = np.maximum.accumulate(t - 0.1 / np.sqrt(st) * gt)
+    model = quality.fit(rows, grades, rounds=20)
+    assert model.weights[:30] == pytest.approx(w, abs=2e-3) and model.thresholds == pytest.approx(t, abs=2e-3)
+
+
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
