@@ -46,7 +46,8 @@ def test_op4_recall(spark, folder):
 
 
 def test_common_vector_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "UNIT", 200)  # so that the common vector's cell is cut
+    monkeypatch.setattr(ann, "UNIT", (100, 200))  # so that the common vector's cell is cut
+    monkeypatch.setattr(ann, "QUERIES", 4)  # and units are copied
     draw = np.random.default_rng(3)
     same = draw.normal(size=8).tolist()
     rows = [(i, same if i % 3 == 0 else draw.normal(size=8).tolist()) for i in range(1500)]
@@ -58,6 +59,50 @@ def test_common_vector_and_odd_vectors(spark, monkeypatch):
     assert got[0] == want[0] and [i for i, _ in got[0]] == [3, 6, 9, 12, 15]
 
 
+def _shaped(kind, draw, n=2000, d=32):
+    if kind == "uniform":
+        return draw.normal(size=(n, d))
+    centres = draw.normal(size=(40, d))
+    clustered = centres[draw.integers(0, 40, n)] + draw.normal(size=(n, d)) * 0.02
+    if kind == "mixed":
+        clustered[: n // 3] = draw.normal(size=(n // 3, d))
+    if kind == "outliers":
+        clustered = np.concatenate([clustered, draw.normal(size=(40, d))])
+    return clustered
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "mixed", "outliers"])
+def test_recall_of_the_final_five(spark, kind, seed):
+    x = _shaped(kind, np.random.default_rng(seed))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = _found(ann.search(df, df.where("vec_id % 10 = 0"))), _exact(rows, wanted=lambda i: i % 10 == 0)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert _recall(got, want) >= 0.95
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FLAT", 20)
+    x = _shaped("mixed", np.random.default_rng(5), 4000, 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = _found(ann.search(df, df.where("vec_id % 50 = 0"))), _exact(rows, wanted=lambda i: i % 50 == 0)
+    assert _recall(got, want) >= 0.95
+    assert ann.cells_for(10**8, 10**6) == 10**4 and ann.cells_for(10**12, 10**6) == ann.CELLS
+
+
+def test_five_rows_although_cells_are_empty(spark):
+    draw = np.random.default_rng(6)
+    far = np.eye(16)[:10] * np.arange(1, 11)[:, None]  # each alone in its cell
+    x = np.concatenate([draw.normal(size=(1, 16)) + draw.normal(size=(3000, 16)) * 0.01, far])
+    rows = [(50 * i if i >= 3000 else 50 * i + 1, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[-1]] * 6  # an id that is repeated
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = _found(ann.search(df, df.where("vec_id % 50 = 0")))
+    assert len(got) == 10 and all(len(v) == 5 for v in got.values())
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = _found(ann.search(df, df.where("vec_id % 50 = 0")))
