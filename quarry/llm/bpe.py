@@ -7,7 +7,8 @@ order from a heap; all occurrences of a pair merge at once, and the pairs that a
 vanish next to them update the lists (vanished ones are noticed when their list is
 read). Each word's ids are then kept for the task's later texts.
 
-Special tokens of the vocabulary are found in a text first, as the tokenizers library does.
+Special tokens of the vocabulary are found in a text first, as the tokenizers library does. A vocabulary file that asks
+for other rules (a normalizer, another way to cut words, prefixes of subwords) is left to that library.
 
 Null text counts as empty and has no ids. Every row is encoded; rows that share
 a doc_id each give a row. An empty table gives an empty result.
@@ -38,6 +39,9 @@ class Encoder:
 
         v = vocab.load(path)
         self.vocabulary = v
+        self.library = None if v.plain else vocab.library(path)
+        if self.library:
+            return
         order = np.argsort((v.left << SHIFT) | v.right)
         self.pair = ((v.left << SHIFT) | v.right)[order]
         self.pair_rank = order
@@ -121,6 +125,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.library:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > KEPT:
             self.known.clear()
         for token, i in self.vocabulary.special.items():
@@ -136,6 +142,8 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+        if self.library:
+            return self.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
         table = self.vocabulary.token_bytes
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 

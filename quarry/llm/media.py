@@ -78,31 +78,36 @@ def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if len(kinds) and kinds.max() > 4:
         raise ValueError("unknown filter")
+    if len(kinds) and kinds.max() > 2:
+        return _by_waves(kinds, rows, step)
     subbed = np.flatnonzero(kinds == 1)
     if len(subbed):
         n = rows.shape[1]
         wide = rows[subbed].reshape(len(subbed), n // step, step)
         rows[subbed] = np.cumsum(wide, axis=1, dtype=np.uint8).reshape(len(subbed), n)
-    above = np.zeros(rows.shape[1], np.uint8)
-    for k in np.flatnonzero(kinds >= 2).tolist():
-        before = rows[k - 1] if k else above
-        if kinds[k] == 2:
-            rows[k] += before
-            continue
-        row, prior = rows[k].astype(np.int32), before.astype(np.int32)
-        for x in range(len(row)):
-            a = row[x - step] if x >= step else 0
-            if kinds[k] == 3:
-                guess = (a + prior[x]) >> 1
-            else:
-                b, c = prior[x], prior[x - step] if x >= step else 0
-                p = a + b - c
-                guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            row[x] = (row[x] + guess) & 255
-        rows[k] = row
+    for k in np.flatnonzero(kinds == 2).tolist():
+        if k:
+            rows[k] += rows[k - 1]
     return rows
 
 
+def _by_waves(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """All five filters: pixels of one diagonal need earlier diagonals only, so each is undone at once."""
+    high, wide = len(rows), rows.shape[1] // step
+    given = rows.reshape(high, wide, step).astype(np.int16)
+    out = np.zeros((high + 1, wide + 1, step), np.int16)
+    for d in range(high + wide - 1):
+        k = np.arange(max(0, d - wide + 1), min(high, d + 1))
+        x = d - k
+        left, above, corner = out[k + 1, x], out[k, x + 1], out[k, x]
+        p = left + above - corner
+        far = np.stack([np.abs(p - left), np.abs(p - above), np.abs(p - corner)])
+        nearest = np.choose(far.argmin(axis=0), [left, above, corner])
+        guess = np.choose(kinds[k].astype(np.int64)[:, None], [np.zeros_like(left), left, above, (left + above) >> 1, nearest])
+        out[k + 1, x + 1] = (given[k, x] + guess) & 255
+    return out[1:, 1:].reshape(high, -1).astype(np.uint8)
+
+
 def read_png(data: bytes) -> np.ndarray:
     """The samples (height x bytes of a row) of an 8-bit RGB or grey PNG."""
     parts = chunks(data)

@@ -30,16 +30,44 @@ class Vocabulary:
     right: np.ndarray
     merged: np.ndarray
     special: dict[str, int]
+    plain: bool
 
     def ranks_are_ids(self) -> bool:
         """Whether ids grow with ranks, as tiktoken wants it."""
         return bool((np.diff(self.merged) > 0).all() and (self.byte_ids.max() < self.merged.min() if len(self.merged) else True))
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether the file asks for just what this package does itself: byte-level words by the fixed pattern, merges, special tokens as they stand."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    return (
+        spec.get("normalizer") is None
+        and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        and set(byte_letters()) <= set(model["vocab"])
+    )
+
+
+def library(path: str):
+    """The tokenizers library's own encoder, without truncation and padding."""
+    import tokenizers
+
+    slow = tokenizers.Tokenizer.from_file(path)
+    slow.no_truncation()
+    slow.no_padding()
+    return slow
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
+    """Of a file that isn't plain only that is told; such files are left to the library."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not is_plain(spec):
+        none = np.zeros(0, np.int64)
+        return Vocabulary([], none, none, none, none, {}, False)
     value = {letter: b for b, letter in enumerate(byte_letters())}
     ids = spec["model"]["vocab"]
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -51,7 +79,7 @@ def load(path: str) -> Vocabulary:
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     left, right, merged = (np.fromiter(x, np.int64, len(merges)) for x in ((ids[a] for a, _ in merges), (ids[b] for _, b in merges), (ids[a + b] for a, b in merges)))
     byte_ids = np.array([ids[letter] for letter in byte_letters()], np.int64)
-    return Vocabulary(token_bytes, byte_ids, left, right, merged, special)
+    return Vocabulary(token_bytes, byte_ids, left, right, merged, special, True)
 
 
 #: Fixed value: how texts are cut into words before merges, with white space as Unicode has it.
@@ -62,14 +90,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 def fast_encoder(path: str):
     """text -> ids as a numpy array of unsigned 32-bit integers, by the same vocabulary in a faster library where its rules allow, else by tokenizers."""
     import tiktoken
-    import tokenizers
 
-    vocabulary = load(path)
-    slow = tokenizers.Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
+    vocabulary, slow = load(path), library(path)
     slowly = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    if not vocabulary.ranks_are_ids():
+    if not vocabulary.plain or not vocabulary.ranks_are_ids():
         return slowly
     ranks = {vocabulary.token_bytes[i]: int(i) for i in [*vocabulary.byte_ids, *vocabulary.merged]}
     fast = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=vocabulary.special)

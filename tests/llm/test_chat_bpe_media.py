@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 import zlib
 
@@ -119,6 +120,21 @@ def test_bpe_equals_the_library_on_any_text(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_vocabularies_are_left_to_the_library():
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    slow = tokenizers.Tokenizer.from_file(path)
+    encoder, fast = bpe.Encoder(path), vocab.fast_encoder(path)
+    texts = ["", "Some Words, it's 12!", "\u6f22\u5b57 \u00e9", "<|endoftext|> x"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        want = slow.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want == fast(text).tolist()
+        assert encoder.decode(ids) == slow.decode(want, skip_special_tokens=False)
+    assert vocab.load(vocab.default_path()).plain
+
+
 def test_op6(spark, odd, nothing):
     slow = _slow()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
@@ -168,6 +184,28 @@ def test_png_checks_and_filters():
     assert (media.read_png(png) == pixels).all()
 
 
+def _plain_hash(pixels):
+    """The documented feature, number by number."""
+    high = len(pixels)
+    grey = [[sum(int(v) for v in row[3 * x : 3 * x + 3]) / 3 for x in range(64)] for row in pixels]
+    small = []
+    for y in range(32):
+        low = int(y * high / 32)
+        part = grey[low : max(math.ceil(y * high / 32 + high / 32), low + 1)]
+        small.append([sum(r[2 * x] + r[2 * x + 1] for r in part) / (2 * len(part)) for x in range(32)])
+    wave = lambda u, x: math.cos(math.pi * (2 * x + 1) * u / 64)
+    waves = [sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(waves[1:])[31]
+    return f"{int(''.join('01'[k > 0 and w > middle] for k, w in enumerate(waves)), 2):016x}"
+
+
+def test_feature_by_its_definition():
+    draw = np.random.default_rng(8)
+    for text in (b"some words " * 900, bytes(range(256)) * 7, draw.integers(0, 256, 5000, dtype=np.uint8).tobytes()):
+        pixels = media.read_png(media.write_png(media.payload(text)))
+        assert media.cosine_hash(pixels) == _plain_hash(pixels)
+
+
 def test_hash_is_perceptual():
     a = media.read_png(media.write_png(media.payload(b"some text of words " * 400)))
     b = a.copy()
