@@ -36,23 +36,96 @@ def test_op5_base_and_gain(spark):
     assert table[False]["perplexity"] < 0.5 * table[False]["base_perplexity"]
 
 
-def test_scores_do_not_depend_on_what_is_common(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    texts = docs.limit(60)
-    one = {r["doc_id"]: r["score"] for r in pitman.scored(texts).collect()}
-    monkeypatch.setattr(pitman, "FREQUENT", 20)
-    two = {r["doc_id"]: r["score"] for r in pitman.scored(texts).collect()}
-    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-5) for i in one)
+@pytest.mark.parametrize("name, value", [("HOT", 20), ("HOT", 1), ("PAIRS", 5), ("PAIRS", 0), ("FAN", 3), ("BUCKET_BYTES", 4096)])
+def test_scores_hardly_depend_on_how_pairs_are_dealt(spark, monkeypatch, name, value):
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    monkeypatch.setattr(pitman, "BITS", (10, 10))
+    one = {r["doc_id"]: r for r in pitman.scored(texts).collect()}
+    monkeypatch.setattr(pitman, name, value)
+    two = {r["doc_id"]: r for r in pitman.scored(texts).collect()}
+    assert one.keys() == two.keys()
+    same = ("PAIRS", "FAN")  # what is seated where decides which random numbers it draws
+    for i in one:
+        assert one[i]["n_known"] == two[i]["n_known"] and one[i]["base_score"] == pytest.approx(two[i]["base_score"], rel=1e-9)
+        assert name not in same or one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-5, abs=1e-4)
+    assert sum(r["score"] for r in one.values()) == pytest.approx(sum(r["score"] for r in two.values()), rel=2e-3)
+
+
+def _state_of(fitted):
+    """word, context -> count, tables by sample; word -> customers and tables at the parent by sample."""
+    pairs, parents = {}, {}
+    for row in fitted.state.collect():
+        words, key, count = pitman._read_counts(row.asDict())
+        tables = [pitman._unpack(x, "<u4") for x in row["kept"]]
+        seats = [pitman._unpack(x, "<u4").reshape(-1, 2) for x in row["kept_parent"]]
+        for k, (key_, c) in enumerate(zip(key.tolist(), count.tolist(), strict=True)):
+            place = key_ >> fitted.deal.bits
+            word = int(fitted.deal.hot[place]) if place < fitted.deal.places else int(words[place - fitted.deal.places])
+            pairs[word, key_ & ((1 << fitted.deal.bits) - 1)] = (c, [int(t[k]) for t in tables])
+            parents[word] = [(int(s.hot_customers[place]), int(s.hot_parent[place])) if place < fitted.deal.places else tuple(p[place - fitted.deal.places].tolist()) for s, p in zip(fitted.samples, seats, strict=True)]
+    return pairs, parents
+
+
+@pytest.mark.parametrize("hot", [4, 16_384])
+def test_op5_scores_equal_brute_force(spark, monkeypatch, hot):
+    """Every token's probability by the formulas, from the seating that was kept."""
+    monkeypatch.setattr(pitman, "HOT", hot)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(80).select("doc_id", "text")
+    held, real = [], pitman.fit
+    monkeypatch.setattr(pitman, "fit", lambda *a, **k: held.append(real(*a, **k)) or held[-1])
+    got = {r["doc_id"]: r["score"] for r in pitman.scored(docs).collect()}
+    fitted = held[0]
+    pairs, parents = _state_of(fitted)
+    d, s = [x.discount for x in fitted.samples], pitman.STRENGTH
+    assert sum(c for c, _ in pairs.values()) == fitted.last.customers.sum() and len(parents) == fitted.last.words
+    for k, x in enumerate(fitted.samples):
+        by_context = Counter()
+        for (_, u), (_, t) in pairs.items():
+            by_context[u] += t[k]
+        assert all(x.tables[u] == n for u, n in by_context.items()) and x.tables.sum() == sum(by_context.values())
+        assert x.parent_tables == sum(p[k][1] for p in parents.values())
+        assert all(p[k][0] >= p[k][1] >= 1 for p in parents.values())
+    for r in docs.collect():
+        word, context, _ = pitman.tokens([(r["text"] or "").encode()], fitted.deal.bits)
+        total = 0.0
+        for w, u in zip(word.tolist(), context.tolist(), strict=True):
+            p = 0.0
+            for k, x in enumerate(fitted.samples):
+                c, t = pairs.get((w, u), (0, [0] * len(fitted.samples)))
+                customers, tables = parents[w][k] if w in parents else (0, 0)
+                above = (customers - d[k][0] * tables + (s[0] + d[k][0] * x.parent_tables) / (x.words + 1)) / (s[0] + x.tables.sum())
+                p += (c - d[k][1] * t[k] + (s[1] + d[k][1] * x.tables[u]) * above) / (s[1] + x.customers[u])
+            total += math.log10(p / len(fitted.samples))
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-5, abs=1e-4)
 
 
 def test_probabilities_sum_to_one(spark):
     rows = [(i, "a b c a b d a b c e f a") for i in range(20)] + [(100, "g h a"), (101, None)]
     df = pitman.common.doc_texts(spark.createDataFrame(rows, "doc_id long, text string"))
     fitted = pitman.fit(df.repartition(3))
-    keys, counts, table = pitman.common_words(fitted)
-    assert counts.sum() == fitted.last.customers.sum() and len(keys) == fitted.last.words
-    unseen = sum(s.probability(np.zeros(pitman.CONTEXTS), np.zeros(pitman.CONTEXTS), np.arange(pitman.CONTEXTS), s.parent_probability(0, 0)) for s in fitted.samples) / len(fitted.samples)
-    assert (10.0 ** table.astype(float)).sum(axis=0) + unseen == pytest.approx(np.ones(pitman.CONTEXTS), rel=1e-4)
+    pairs, parents = _state_of(fitted)
+    for u in {u for _, u in pairs} | {200}:
+        for k, x in enumerate(fitted.samples):
+            total = 0.0
+            for w in [*parents, None]:
+                c, t = pairs.get((w, u), (0, [0] * 2))
+                above = x.parent_probability(*(parents[w][k] if w else (0, 0)))
+                total += x.probability(c, t[k], u, above)
+            assert total == pytest.approx(1, rel=1e-9)
+
+
+@pytest.mark.parametrize("fan", [4, 2048])
+def test_rows_grow_with_the_input(spark, monkeypatch, fan):
+    monkeypatch.setattr(pitman, "FAN", fan)
+    monkeypatch.setattr(pitman, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(pitman, "BUCKET_BYTES", 2000)
+    rows = {}
+    for parts in (4, 8, 16):
+        texts = [(k, " ".join(f"w{(k * 131 + j * j) % 5000}" for j in range(60))) for k in range(25 * parts)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        rows[parts] = pitman.counted(docs, pitman.dealing(docs)).count()
+    if fan == 4:
+        assert rows[16] < 2.5 * rows[8] < 6.25 * rows[4]
 
 
 def test_seating_follows_the_restaurant_rule():
