@@ -1,4 +1,4 @@
-"""Vector top-k: exact, for one query or a block of queries, and by product quantisation and inverted lists."""
+"""Vector top-k: exact, for one query or many, and the choice between this and the stored index (``vector_index``)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
 from quarry.operators.keyword import top
+from quarry.operators.vector_index import kept_index, matrix
 
-#: Queries that one pass over the rows carries.
-QUERY_BLOCK = 4096
+#: Queries that go to all tasks at once, and rows that queries are streamed past.
+QUERY_BLOCK, ROW_BLOCK = 4096, 8192
 
 
 def scored(rows: DataFrame, query: list[float], measure: str = "cosine") -> DataFrame:
@@ -34,159 +35,102 @@ def vector_of(rows: DataFrame, key: int) -> list[float]:
     return [float(x) for x in found[0][0]] if found else []
 
 
-def multi_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score for each row of ``queries`` (id, embedding), by matrix products over Arrow batches.
+def multi_topk(rows: DataFrame, queries: DataFrame, k: int, earlier: bool = False) -> DataFrame:
+    """query_id, rank, id, score for each row of ``queries`` (id, embedding), by matrix products over Arrow batches; with ``earlier`` only among rows of smaller ids.
 
-    Queries are taken in blocks of QUERY_BLOCK; each batch of rows gives k rows for a query at most.
+    Up to QUERY_BLOCK queries (counted) go to all tasks, in one scan of the rows. More are streamed past blocks of ROW_BLOCK rows: queries are copied to the
+    blocks, rows are not. Each batch or block gives k rows for a query at most.
     """
     session = rows.sparkSession
     asked = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    count = asked.count()
-    parts = []
-    for block in range(max(1, -(-count // QUERY_BLOCK))):
-        blocks = -(-count // QUERY_BLOCK) or 1
-        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow() if blocks > 1 else asked.toArrow()
-        ids = table["id"].to_numpy()
-        matrix = np.array(table["embedding"].to_pylist(), float).reshape(len(ids), -1)
-        length = np.sqrt((matrix**2).sum(axis=1))
-        shared = session.sparkContext.broadcast((ids, matrix, length))  # QUERY_BLOCK rows
-
-        def task(batches, shared=shared):
-            ids, matrix, length = shared.value
+    found = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = "query_id long, id long, score double"
+
+    def best(ids, x, own, y):
+        """The k best of the rows (own, y) for each query (ids, x)."""
+        if not len(ids) or not len(own):
+            return pa.RecordBatch.from_pydict({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        both = np.sqrt((x**2).sum(axis=1))[:, None] * np.sqrt((y**2).sum(axis=1))[None, :]
+        score = np.divide(x @ y.T, both, out=np.zeros_like(both), where=both > 0)
+        if earlier:
+            score[own[None, :] >= ids[:, None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+        n = order.shape[1]
+        query, hit, value = np.repeat(ids, n), own[order].ravel(), np.take_along_axis(score, order, 1).ravel()
+        real = value > -np.inf
+        return pa.RecordBatch.from_pydict({"query_id": query[real], "id": hit[real], "score": value[real]})
+
+    if asked.count() <= QUERY_BLOCK:
+        table = asked.toArrow()
+        shared = session.sparkContext.broadcast((table["id"].to_numpy(), matrix(table["embedding"])))  # QUERY_BLOCK rows
+
+        def task(batches):
             for batch in batches:
-                if not batch.num_rows or not len(ids):
+                if batch.num_rows:
+                    yield best(*shared.value, batch.column(0).to_numpy(), matrix(batch.column(1)))
+
+        scored = found.mapInArrow(task, schema)
+    else:
+        blocks = max(1, -(-found.count() // ROW_BLOCK))
+        own = found.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "id", "embedding")
+        copied = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "id", "embedding")
+
+        def streamed(batches):
+            now, ids, held = None, [], []
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), float)
-                size = np.sqrt((x**2).sum(axis=1))
-                both = length[:, None] * size[None, :]
-                score = np.divide(matrix @ x.T, both, out=np.zeros_like(both), where=both > 0)
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, n), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-        parts.append(rows.select("id", F.col("embedding").cast("array<double>")).mapInArrow(task, "query_id long, id long, score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+                keys = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+                cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                    part, (block, kind) = batch.slice(a, b - a), keys[a].tolist()
+                    if block != now:
+                        now, ids, held = block, [], []
+                    if kind == 0:
+                        ids.append(part.column(2).to_numpy())
+                        held.append(matrix(part.column(3)))
+                    elif held:
+                        yield best(part.column(2).to_numpy(), matrix(part.column(3)), np.concatenate(ids), np.concatenate(held))
+
+        scored = own.unionByName(copied).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(streamed, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def distances(rows: DataFrame, queries: DataFrame, measure: str = "l2") -> DataFrame:
-    """query_id, id, distance of every pair; queries must be few (a stated set)."""
+    """query_id, id, distance of every row to each of a stated set of queries: QUERY_BLOCK at most, else ValueError."""
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"a distance matrix takes {QUERY_BLOCK} queries at most")
     fn = {"cosine": V.cosine, "dot": V.dot, "l2": V.l2}[measure]
-    return rows.crossJoin(q).select("query_id", "id", fn(F.col("embedding"), F.col("query")).alias("distance"))
-
-
-# --- inverted lists and product quantisation -------------------------------
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def train_lists(rows: DataFrame, lists: int, rounds: int = 15, sample: int = 8192) -> np.ndarray:
-    """Centroids by k-means on a bounded sample (the first rows by a hash of the id), evenly spaced starts."""
-    table = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-    x = _unit(np.array(table["embedding"].to_pylist(), float))
-    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
-    for _ in range(rounds):
-        near = (x @ _unit(centres).T).argmax(axis=1)
-        moved = np.stack([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres
-
-
-def air_score(v: np.ndarray, centres: np.ndarray, direction: np.ndarray) -> np.ndarray:
-    """0.7 x cosine with the centroid + 0.3 x cosine of the residual with the direction."""
-    cos = _unit(v) @ _unit(centres).T
-    rest = v[:, None, :] - centres[None]
-    along = np.einsum("ncd,nd->nc", rest, _unit(direction)) / np.maximum(np.linalg.norm(rest, axis=2), 1e-12)
-    return 0.7 * cos + 0.3 * along
-
-
-def assigned(rows: DataFrame, centres: np.ndarray, copies: int = 1) -> DataFrame:
-    """id, embedding, list: each row in its nearest list, and in the next best ones up to ``copies``."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-
-    def task(batches):
-        c = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), float)
-            best = np.argsort(-(_unit(x) @ _unit(c).T), axis=1, kind="stable")
-            if copies > 1:
-                score = air_score(x, c, x)
-                np.put_along_axis(score, best[:, :1], np.inf, axis=1)
-                best = np.argsort(-score, axis=1, kind="stable")
-            best = best[:, :copies]
-            at = np.repeat(np.arange(len(x)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(best.ravel().astype(np.int32))], names=["id", "embedding", "list"])
-
-    return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(task, "id long, embedding array<double>, list int")
-
-
-def ivf_search(rows: DataFrame, query: list[float], k: int, lists: int = 16, probes: int = 4, copies: int = 1) -> DataFrame:
-    """Exact scores inside the lists nearest to the query; a row that is in several lists counts once."""
-    centres = train_lists(rows, lists)
-    order = np.argsort(-(_unit(centres) @ (np.array(query) / max(np.linalg.norm(query), 1e-12))), kind="stable")[:probes]
-    inside = assigned(rows, centres, copies).where(F.col("list").isin([int(x) for x in order]))
-    return flat_topk(inside.dropDuplicates(["id"]) if copies > 1 else inside, query, k)
-
-
-def list_balance(rows: DataFrame, lists: int = 16) -> DataFrame:
-    """largest, mean and whether the largest list is at most three times the mean."""
-    sizes = assigned(rows, train_lists(rows, lists)).groupBy("list").count()
-    return sizes.agg(F.max("count").alias("largest"), F.avg("count").alias("mean")).withColumn("balanced", F.col("largest") <= 3 * F.col("mean"))
-
-
-def train_codebooks(rows: DataFrame, parts: int = 8, words: int = 64, rounds: int = 10, sample: int = 4096) -> np.ndarray:
-    """Codewords of each part by k-means; the first vectors are the starts."""
-    table = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-    x = np.array(table["embedding"].to_pylist(), float)
-    books = []
-    for part in np.split(x, parts, axis=1):
-        c = part[: min(words, len(part))].copy()
-        for _ in range(rounds):
-            near = ((part[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            c = np.stack([part[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
-        books.append(c)
-    return np.stack(books)
-
-
-def pq_search(rows: DataFrame, query: list[float], k: int, candidates: int = 100, parts: int = 8) -> DataFrame:
-    """Candidates by summed distances of codes to the query, then exact cosine."""
-    books = train_codebooks(rows, parts)
-    q = np.array(query).reshape(parts, -1)
-    table = ((books - q[:, None, :]) ** 2).sum(axis=2)
-    shared = rows.sparkSession.sparkContext.broadcast((books, table))
-
-    def task(batches):
-        books, table = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, len(books), -1)
-            codes = np.stack([((x[:, p, None, :] - books[p][None]) ** 2).sum(axis=2).argmin(axis=1) for p in range(len(books))], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table[np.arange(len(books)), codes].sum(axis=1))], names=["id", "embedding", "distance"])
-
-    coded = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(task, "id long, embedding array<double>, distance double")
-    return flat_topk(coded.orderBy("distance", "id").limit(candidates), query, k)
-
-
-def ivfpq_search(rows: DataFrame, query: list[float], k: int, lists: int = 16, probes: int = 6, candidates: int = 100) -> DataFrame:
-    """Lists nearest to the query, candidates by codes, exact cosine."""
-    centres = train_lists(rows, lists)
-    order = np.argsort(-(_unit(centres) @ np.array(query)), kind="stable")[:probes]
-    inside = assigned(rows, centres).where(F.col("list").isin([int(x) for x in order])).drop("list")
-    return pq_search(inside, query, k, candidates)
+    return rows.join(F.broadcast(q), F.lit(True)).select("query_id", "id", fn(F.col("embedding"), F.col("query")).alias("distance"))
 
 
 def choose_strategy(count: int) -> str:
-    """Which search suits a number of rows."""
+    """Which search suits a number of rows: all rows as they are, by norms made once, or the stored index with codes."""
     return "flat" if count < 10_000 else "prenormalised" if count <= 100_000 else "ivfpq"
+
+
+def with_norms(rows: DataFrame) -> DataFrame:
+    """The rows (id, embedding) with their length, to be stored."""
+    return rows.select("id", "embedding", V.norm(F.col("embedding")).alias("norm"))
+
+
+def prenormalised_topk(rows: DataFrame, query: list[float], k: int) -> DataFrame:
+    """Exact cosine search over rows that have their ``norm``."""
+    length = float(np.sqrt(np.square(np.array(query, float)).sum()))
+    if not length:
+        return rows.select("id", F.lit(0.0).alias("score")).limit(0)
+    q = F.array(*(F.lit(float(x)) for x in query))
+    score = F.when(F.col("norm") > 0, V.dot(F.col("embedding"), q) / (F.col("norm") * length)).otherwise(0.0)
+    return top(rows.select("id", score.alias("score")), k)
+
+
+def search(rows: DataFrame, query: list[float], k: int, strategy: str | None = None) -> DataFrame:
+    """id, score by the strategy that suits the number of rows, or by the one named."""
+    strategy = strategy or choose_strategy(rows.count())
+    if strategy == "flat":
+        return flat_topk(rows, query, k)
+    if strategy == "prenormalised":
+        return prenormalised_topk(with_norms(rows), query, k)
+    return kept_index(rows).search(query, k, codes=True)

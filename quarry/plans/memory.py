@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
 from quarry.functions.text import contains_any
-from quarry.operators import entities, graph, guards, lifecycle, markdown, temporal
+from quarry.operators import entities, graph, guards, lifecycle, markdown, temporal, vector_search
 from quarry.plans.registry import query, rounded, seconds
 from quarry.plans.retrieval import GATE, _NORMAL
 from quarry.sources import tables
@@ -232,13 +232,10 @@ def importance_score(spark, d):
 @query("""SELECT q.vec_id AS id, round(least(greatest(1 - coalesce(max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 0), 0), 1), 6) AS surprise
         FROM embeddings q LEFT JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id""")
 def surprise_score(spark, d):
-    from quarry.functions import vector as V
-
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    known = rows.select(F.col("id").alias("known_id"), F.col("embedding").alias("known"))
-    pairs = rows.where("id % 100 = 0").join(known, F.col("known_id") < F.col("id"), "left")  # a stated query set
-    best = pairs.groupBy("id").agg(F.max(V.cosine(F.col("embedding"), F.col("known"))).alias("best"))
-    return rounded(best.select("id", lifecycle.surprise(F.col("best")).alias("surprise")), "surprise")
+    asked = rows.where("id % 100 = 0")  # a stated query set
+    best = vector_search.multi_topk(rows, asked, 1, earlier=True).select(F.col("query_id").alias("id"), F.col("score").alias("best"))
+    return rounded(asked.select("id").join(best, "id", "left").select("id", lifecycle.surprise(F.col("best")).alias("surprise")), "surprise")
 
 
 @query(f"WITH {_MEM} SELECT id, round(importance * (access + 1) * exp(-ln(2) / 604800 * greatest(1000000.0 - last_ts, 0)), 6) AS decay FROM mem")
@@ -381,12 +378,9 @@ def strategy_correction(spark, d):
 @query("""WITH s AS (SELECT q.vec_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS best FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id)
         SELECT vec_id AS id, CASE WHEN best > 0.4 THEN 'duplicate' ELSE 'save' END AS decision FROM s""")
 def strategy_semantic_shift(spark, d):
-    from quarry.functions import vector as V
-
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q"))
-    best = rows.join(asked, F.col("id") < F.col("q_id")).groupBy("q_id").agg(F.max(V.cosine(F.col("embedding"), F.col("q"))).alias("best"))
-    return best.select(F.col("q_id").alias("id"), F.when(F.col("best") > 0.4, "duplicate").otherwise("save").alias("decision"))
+    best = vector_search.multi_topk(rows, rows.where("id % 100 = 0"), 1, earlier=True)
+    return best.select(F.col("query_id").alias("id"), F.when(F.col("score") > 0.4, "duplicate").otherwise("save").alias("decision"))
 
 
 @query(f"WITH {_EXCHANGES} SELECT conv_id, turn, user_text, agent_text FROM exchanges")

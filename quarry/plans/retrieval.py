@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.operators import fusion, keyword, vector_search
+from quarry.operators import fusion, keyword, vector_index, vector_search
 from quarry.plans.registry import query, rounded
+from quarry.sources.shared import shared_dir
 from quarry.sources.tables import table
 
 WORDS = "apache license version the the"
@@ -221,30 +225,77 @@ def query_expand(spark, d):
     return T.expanded(asked)
 
 
-@query()
+_NEAREST = f"WITH {_COSINE_SQL} SELECT id, round(score, 6) AS score FROM cosine{{}} ORDER BY cosine.score DESC, id LIMIT 10"
+
+
+@query(_NEAREST.format(""))
 def ivf_search(spark, d):
     rows = _vectors(spark, d)
-    return vector_search.ivf_search(rows, vector_search.vector_of(rows, 7), 10)
+    return rounded(vector_index.kept_index(rows).search(vector_search.vector_of(rows, 7), 10), "score")
 
 
-@query()
+@query(_NEAREST.format(""))
 def rairs_search(spark, d):
     rows = _vectors(spark, d)
-    return vector_search.ivf_search(rows, vector_search.vector_of(rows, 7), 10, copies=2)
+    return rounded(vector_index.kept_index(rows, copies=2).search(vector_search.vector_of(rows, 7), 10), "score")
 
 
-@query()
+@query(_NEAREST.format(""))
 def pq_search(spark, d):
     rows = _vectors(spark, d)
-    return vector_search.pq_search(rows, vector_search.vector_of(rows, 7), 10)
+    return rounded(vector_index.kept_index(rows, lists=1).search(vector_search.vector_of(rows, 7), 10, codes=True), "score")
 
 
-@query()
+@query(_NEAREST.format(""))
 def ivfpq_rerank(spark, d):
     rows = _vectors(spark, d)
-    return vector_search.ivfpq_search(rows, vector_search.vector_of(rows, 7), 10)
+    return rounded(vector_index.kept_index(rows).search(vector_search.vector_of(rows, 7), 10, probes=6, codes=True), "score")
 
 
 @query()
 def ivf_balance(spark, d):
-    return vector_search.list_balance(_vectors(spark, d))
+    return vector_index.kept_index(_vectors(spark, d)).balance()
+
+
+def _fresh(spark):
+    return f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+
+
+@query(_NEAREST.format(" WHERE id % 3 <> 1 OR id % 2 = 0"))
+def index_insert_delete(spark, d):
+    """An index of half the vectors, to which the others are added, and of which some are deleted."""
+    rows = _vectors(spark, d)
+    index = vector_index.VectorIndex.build(rows.where("id % 2 = 0"), _fresh(spark))
+    index.insert(rows.where("id % 2 = 1"))
+    index.delete(rows.where("id % 3 = 1 and id % 2 = 1"))
+    return rounded(vector_index.VectorIndex.open(spark, index.folder).search(vector_search.vector_of(rows, 7), 10, codes=True), "score")
+
+
+@query("SELECT CAST(count_if(vec_id % 5 <> 0) AS BIGINT) AS active, CAST(0 AS BIGINT) AS deleted, 64 AS dimension FROM embeddings")
+def index_compact(spark, d):
+    """Counts of an index without the rows that were deleted from it."""
+    rows = _vectors(spark, d)
+    index = vector_index.VectorIndex.build(rows, _fresh(spark))
+    index.delete(rows.where("id % 5 = 0"))
+    return index.compact(_fresh(spark)).stats().select("active", "deleted", "dimension")
+
+
+@query("SELECT count(*) AS n, count(*) AS last_end, TRUE AS joined FROM embeddings")
+def index_offsets(spark, d):
+    """Lists laid end to end: their sizes sum up to the rows, and each begins where the one before ends."""
+    table_ = vector_index.kept_index(_vectors(spark, d)).offsets()
+    before = F.lag(F.col("start") + F.col("n"), 1, 0).over(Window.orderBy("list"))  # a row for each list
+    return table_.withColumn("before", before).agg(F.sum("n").alias("n"), F.max(F.col("start") + F.col("n")).alias("last_end"), F.min(F.col("before") == F.col("start")).alias("joined"))
+
+
+@query(_NEAREST.format(""))
+def strategy_search(spark, d):
+    """The search that suits the number of rows; by any strategy the rows are the same."""
+    rows = _vectors(spark, d)
+    return rounded(vector_search.search(rows, vector_search.vector_of(rows, 7), 10), "score")
+
+
+@query(_NEAREST.format(""))
+def prenormalised_search(spark, d):
+    rows = _vectors(spark, d)
+    return rounded(vector_search.search(rows, vector_search.vector_of(rows, 7), 10, "prenormalised"), "score")

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, else the context's checkpoint folder; only where neither is set, as in tests on one machine, a local folder."""
+    """The folder in ``spark.checkpoint.dir``, else the context's checkpoint folder. Where neither is set: with a local master, as in tests on one
+    machine, a local folder; on a cluster a RuntimeError, as its machines would each write to their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = given.get() if given.isDefined() else None
-    return found or f"file:///tmp/quarry-{os.getuid()}-{spark.sparkContext.applicationId}"
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = f"file:///tmp/quarry-{os.getuid()}-{spark.sparkContext.applicationId}"
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.operators import arrays, entities, fusion, graph, guards, integrity, keyword, lifecycle, markdown, migrate, temporal, vector_search
+from quarry.operators import arrays, entities, fusion, graph, guards, integrity, keyword, lifecycle, markdown, migrate, temporal, vector_index, vector_search
 from quarry.sources import tables
 
 
@@ -34,14 +34,73 @@ def test_zero_query_finds_nothing(spark):
     assert vector_search.flat_topk(rows, [0.0, 0.0], 3).count() == 0
 
 
-def test_approximate_searches_agree_with_exact(spark):
+def _points(kind, draw, n=600, width=16):
+    if kind == "uniform":
+        return [[draw.gauss(0, 1) for _ in range(width)] for _ in range(n)]
+    centres = [[draw.gauss(0, 1) for _ in range(width)] for _ in range(12)]
+    return [[x + draw.gauss(0, 0.02) for x in centres[i % 12]] if i % 50 else [draw.gauss(0, 1) for _ in range(width)] for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_index_searches_are_exact_at_their_defaults(spark, tmp_path, kind):
     draw = random.Random(1)
-    rows = spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(16)]) for i in range(400)], "id long, embedding array<double>")
-    q = vector_search.vector_of(rows, 5)
-    exact = {r["id"] for r in vector_search.flat_topk(rows, q, 10).collect()}
-    for found in (vector_search.ivf_search(rows, q, 10, probes=12), vector_search.ivf_search(rows, q, 10, probes=12, copies=2), vector_search.pq_search(rows, q, 10), vector_search.ivfpq_search(rows, q, 10, probes=14)):
-        ids = [r["id"] for r in found.collect()]
-        assert len(ids) == len(set(ids)) and len(exact & set(ids)) >= 7
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(_points(kind, draw))] + [(9000, [0.0] * 16)], "id long, embedding array<double>")
+    plain = vector_index.VectorIndex.build(rows, f"file://{tmp_path}/a")
+    several = vector_index.VectorIndex.build(rows, f"file://{tmp_path}/b", copies=2)
+    for key in (5, 50, 77):
+        q = vector_search.vector_of(rows, key)
+        want = [(r["id"], pytest.approx(r["score"])) for r in vector_search.flat_topk(rows, q, 10).collect()]
+        for found in (plain.search(q, 10), several.search(q, 10), plain.search(q, 10, codes=True), several.search(q, 10, codes=True, candidates=20)):
+            assert [(r["id"], r["score"]) for r in found.collect()] == want
+    if kind == "clustered":  # clustered rows are read in part
+        q = vector_search.vector_of(rows, 5)
+        read = []
+        plain._inside, inside = lambda lists: read.append(len(lists)) or inside(lists), plain._inside
+        plain.search(q, 10).collect()
+        assert max(read) < len(plain.lists())
+
+
+def test_index_is_kept_grows_and_shrinks(spark, tmp_path):
+    draw = random.Random(2)
+    points = _points("uniform", draw, 300)
+    rows = spark.createDataFrame(list(enumerate(points)), "id long, embedding array<double>")
+    index = vector_index.VectorIndex.build(rows.where("id < 200"), f"file://{tmp_path}/i", lists=9)
+    index.insert(rows.where("id >= 200"))
+    index.delete(rows.where("id % 4 = 0"))
+    q = points[8]
+    want = [r["id"] for r in vector_search.flat_topk(rows.where("id % 4 <> 0"), q, 12).collect()]
+    again = vector_index.VectorIndex.open(spark, f"file://{tmp_path}/i")
+    small = again.compact(f"file://{tmp_path}/j")
+    for x in (index, again, small):
+        assert [r["id"] for r in x.search(q, 12, codes=True).collect()] == want
+    assert tuple(again.stats().first())[:2] == (225, 75) and tuple(small.stats().first())[:2] == (225, 0)
+    table = small.offsets().orderBy("list").collect()
+    assert sum(r["n"] for r in table) == 225 and all(b["start"] == a["start"] + a["n"] for a, b in zip(table, table[1:], strict=False))
+    largest, mean, balanced = small.balance().first()
+    assert largest == max(r["n"] for r in table) and mean == 225 / 9 and balanced == (largest <= 3 * mean)
+
+
+def test_strategies_agree(spark, monkeypatch):
+    assert [vector_search.choose_strategy(n) for n in (10, 9_999, 10_000, 100_000, 100_001)] == ["flat", "flat", "prenormalised", "prenormalised", "ivfpq"]
+    draw = random.Random(3)
+    rows = spark.createDataFrame(list(enumerate(_points("uniform", draw, 200))), "id long, embedding array<double>")
+    q = vector_search.vector_of(rows, 3)
+    found = [[r["id"] for r in vector_search.search(rows, q, 7, s).collect()] for s in ("flat", "prenormalised", "ivfpq", None)]
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_many_queries_by_blocks(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = spark.createDataFrame(list(enumerate(_points("uniform", draw, 150))) + [(900, [0.0] * 16)], "id long, embedding array<double>")
+    for earlier in (False, True):
+        once = sorted(map(tuple, vector_search.multi_topk(rows, rows, 3, earlier).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(vector_search, "QUERY_BLOCK", 10)
+            m.setattr(vector_search, "ROW_BLOCK", 32)
+            blocks = sorted(map(tuple, vector_search.multi_topk(rows, rows, 3, earlier).collect()))
+            with pytest.raises(ValueError, match="10 queries"):
+                vector_search.distances(rows, rows)
+        assert [r[:3] for r in once] == [r[:3] for r in blocks] and [r[3] for r in once] == pytest.approx([r[3] for r in blocks])
 
 
 def test_minmax_of_equal_scores_is_zero(spark):
