@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType, TimestampType
 
 #: Spark's type for each numeric type; unsigned ones take the next wider, 64-bit unsigned a decimal.
 SPARK_TYPES = {"i1": "byte", "i2": "short", "i4": "int", "i8": "long", "u1": "short", "u2": "int", "u4": "long", "u8": "decimal(20,0)", "f2": "float", "f4": "float", "f8": "double"}
@@ -97,3 +100,29 @@ def encrypted(data: Column, key: Column, about: Column) -> Column:
 def decrypted(data: Column, key: Column, about: Column) -> Column:
     """What was encrypted; null where key or ``about`` is another."""
     return F.try_aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), about)
+
+
+def type_size(kind: str) -> int:
+    """Bytes of a number of a type in SPARK_TYPES."""
+    return int(kind[1:])
+
+
+def described(schema: StructType) -> str:
+    """A table's type as text, from which ``undescribed`` makes it again."""
+    return schema.json()
+
+
+def undescribed(text: str) -> StructType:
+    return StructType.fromJson(json.loads(text))
+
+
+def row_size(schema: StructType) -> int | None:
+    """Bytes of a row of fixed-size columns; None where a column has no fixed size."""
+    sizes = {ByteType: 1, BooleanType: 1, ShortType: 2, IntegerType: 4, FloatType: 4, DateType: 4, LongType: 8, DoubleType: 8, TimestampType: 8}
+    total = 0
+    for f in schema.fields:
+        size = row_size(f.dataType) if isinstance(f.dataType, StructType) else sizes.get(type(f.dataType))
+        if size is None:
+            return None
+        total += size
+    return total

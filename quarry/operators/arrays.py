@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,6 +52,35 @@ class Hyperslab:
         return reduce(lambda x, y: x & y, parts)
 
 
+def decoded_selection(data: bytes) -> tuple[str, Hyperslab | None, int]:
+    """(all, none or hyperslab, the hyperslab, bytes read) of a serialized selection; regular hyperslabs of version 3 only, else ValueError."""
+    if len(data) < 8:
+        raise ValueError("cut short")
+    kind, version = struct.unpack_from("<II", data)
+    if kind in (0, 3):
+        if len(data) < 16:
+            raise ValueError("cut short")
+        return ("all" if kind == 3 else "none"), None, 16
+    if kind != 2 or version != 3 or len(data) < 14:
+        raise ValueError("only whole, empty and regular selections of version 3 are known")
+    regular, width, rank = struct.unpack_from("<BBI", data, 8)
+    if not regular & 1 or width not in (2, 4, 8) or rank > 32:
+        raise ValueError("an irregular selection, or one of unknown width or rank")
+    end = 14 + 4 * rank * width
+    if len(data) < end:
+        raise ValueError("cut short")
+    numbers = [int.from_bytes(data[k : k + width], "little") for k in range(14, end, width)]
+    return "hyperslab", Hyperslab(*(tuple(numbers[k::4]) for k in range(4))), end
+
+
+def encoded_selection(selection: Hyperslab | None, everything: bool = True) -> bytes:
+    """The serialized form that ``decoded_selection`` reads, with coordinates of 8 bytes."""
+    if selection is None:
+        return struct.pack("<IIII", 3 if everything else 0, 1, 0, 0)
+    each = zip(selection.start, selection.stride, selection.count, selection.block, strict=True)
+    return struct.pack("<IIBBI", 2, 3, 1, 8, len(selection.start)) + b"".join(struct.pack("<QQQQ", *x) for x in each)
+
+
 def points(cells: DataFrame, wanted: list[tuple[int, ...]], columns: list[str]) -> DataFrame:
     """Cells at a list of points, through a join."""
     spark = cells.sparkSession

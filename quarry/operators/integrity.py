@@ -39,10 +39,41 @@ def levels(leaves: DataFrame, count: int, least: int = 1) -> DataFrame:
     return out
 
 
+def paired(left: str, right: str) -> str:
+    """The pair hash of two hex hashes, outside Spark."""
+    return hashlib.sha256(b"\x01" + bytes.fromhex(left) + bytes.fromhex(right)).hexdigest()
+
+
+#: Levels that are folded within one row, 2**FOLD hashes each.
+FOLD = 8
+
+
 def root(leaves: DataFrame, count: int, least: int = 1) -> DataFrame:
-    """hash of the tree's root."""
-    tree = levels(leaves, count, least)
-    return tree.orderBy(F.desc("level")).limit(1).select("hash")
+    """hash of the tree's root, without the nodes between: FOLD levels at a time are folded inside a row, so there is one shuffle for each."""
+    size = 1
+    while size < max(count, least):
+        size *= 2
+    fillers = [NULL_HASH]
+    now, level, depth = leaves.select(F.col("idx").cast("long").alias("idx"), "hash"), 0, size.bit_length() - 1
+    while level < depth:
+        step = min(FOLD, depth - level)
+        now = now.groupBy(F.floor(F.col("idx") / (1 << step)).alias("up")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("idx", F.lit(1 << step)).cast("int").alias("k"), "hash"))).alias("held"))
+        hashes = F.transform(F.sequence(F.lit(0), F.lit((1 << step) - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(fillers[-1])))
+        for k in range(step):
+            pairs = F.sequence(F.lit(0), F.lit((1 << (step - k - 1)) - 1))
+            now = now.withColumn("held_hashes", hashes)
+            hashes = F.transform(pairs, lambda i: pair_hash(F.col("held_hashes")[i * 2], F.col("held_hashes")[i * 2 + 1]))
+            fillers.append(paired(fillers[-1], fillers[-1]))
+        now, level = now.select(F.col("up").alias("idx"), hashes[0].alias("hash")), level + step
+    # A group without leaves is a filler; only leaves' groups have rows, and the last one is the root.
+    return now.select("hash") if count else leaves.sparkSession.range(1).select(F.lit(_filler(depth)).alias("hash"))
+
+
+def _filler(depth: int) -> str:
+    h = NULL_HASH
+    for _ in range(depth):
+        h = paired(h, h)
+    return h
 
 
 def proof(tree: DataFrame, leaf: int, depth: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.operators.guards import fnv1a64
 
 
 def under_path(channel: Column, path: str) -> Column:
@@ -14,10 +18,37 @@ def under_path(channel: Column, path: str) -> Column:
 
 
 def line_slice(rows: DataFrame, start: int, count: int) -> DataFrame:
-    """path, text: ``count`` lines from line ``start`` (from 0) of each path's chunks, joined in order of id."""
-    parts = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("parts"))
-    lines = F.split(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), "\n")
-    return parts.select("path", F.array_join(F.slice(lines, start + 1, count), "\n").alias("text"))
+    """path, text: ``count`` lines from line ``start`` (from 0) of each path's chunks, joined in order of id.
+
+    Chunks of a path are read as a sorted stream: no more than the slice is held.
+    """
+    dealt = rows.select("path", "id", "text").repartition("path").sortWithinPartitions("path", "id")
+
+    def task(batches):
+        path, seen, held, begun = None, 0, [], False
+        out: tuple[list, list] = ([], [])
+
+        def close():
+            out[0].append(path)
+            out[1].append("\n".join(held))
+
+        for batch in batches:
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or p != path:
+                    if begun:
+                        close()
+                    path, seen, held, begun = p, 0, [], True
+                if text is not None and seen < start + count:
+                    lines = text.split("\n")
+                    held += lines[max(0, start - seen) : start + count - seen]
+                    seen += len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string())], names=["path", "text"])
+            out = ([], [])
+        if begun:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string())], names=["path", "text"])
+
+    return dealt.mapInArrow(task, f"path {rows.schema['path'].dataType.simpleString()}, text string")
 
 
 def modality_scores(records: DataFrame, query: list[float], modality: str | None = None) -> DataFrame:
@@ -45,10 +76,42 @@ def read_profile(reads: DataFrame) -> DataFrame:
 def chained(rows: DataFrame, key: str, order: str, data: str) -> DataFrame:
     """key, head: each log's chain of SHA-256, every link over the one before and the next entry.
 
-    A chain is serial by nature; logs are worked on side by side.
+    A chain is serial by nature: a log is read as a sorted stream, of which one digest is held; logs are worked on side by side.
     """
-    log = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, data))).alias("log"))
-    return log.select(key, F.aggregate(F.transform("log", lambda x: x[data]), F.lit(""), lambda h, x: F.sha2(F.concat(h, x), 256)).alias("head"))
+    dealt = rows.select(key, order, data).repartition(key).sortWithinPartitions(key, order)
+
+    def task(batches):
+        now, head, begun, kind = None, "", False, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            out: tuple[list, list] = ([], [])
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        out[0].append(now)
+                        out[1].append(head)
+                    now, head, begun = k, "", True
+                head = hashlib.sha256((head + (x or "")).encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string())], names=[key, "head"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([head], pa.string())], names=[key, "head"])
+
+    return dealt.mapInArrow(task, f"{key} {rows.schema[key].dataType.simpleString()}, head string")
+
+
+def media_ref(kind: str, value: Column, mime_type: Column | str) -> Column:
+    """struct of ref_type (path, url, inline), value, mime_type, size_bytes (of inline data only) and checksum (FNV-1a of the bytes or of the string)."""
+    if kind not in ("path", "url", "inline"):
+        raise ValueError(f"no media reference of kind {kind}")
+    mime = F.lit(mime_type) if isinstance(mime_type, str) else mime_type
+    size = F.octet_length(value).cast("long") if kind == "inline" else F.lit(None).cast("long")
+    return F.struct(F.lit(kind).alias("ref_type"), value.cast("binary").alias("value"), mime.alias("mime_type"), size.alias("size_bytes"), fnv1a64(value).alias("checksum"))
+
+
+def observation(raw: Column, interpretation: Column, confidence: Column, modality: Column) -> Column:
+    """struct of what was perceived, what was made of it, how surely (held between 0 and 1) and by which sense."""
+    sure = F.least(F.greatest(confidence.cast("double"), F.lit(0.0)), F.lit(1.0))
+    return F.struct(raw.alias("raw_perception"), interpretation.alias("interpretation"), sure.alias("confidence"), modality.alias("modality"))
 
 
 def resolved_paths(links: DataFrame, paths: list[str], root: int = 0) -> DataFrame:

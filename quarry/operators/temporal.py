@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import forget, written
+
 DAY = 86_400.0
 
 
@@ -61,17 +63,27 @@ def asof_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("value", carried).where("side = 1").select(key, "id", "ts", "value")
 
 
-def session_chain(sessions: DataFrame, leaf: int, most: int = 64) -> DataFrame:
-    """depth, session_id from the root to ``leaf`` along parent_session; a cycle ends the walk."""
-    spark = sessions.sparkSession
-    path, at = [], leaf
-    while at is not None and at not in path and len(path) < most:  # one point lookup for each step
-        found = sessions.where(F.col("session_id") == at).select("parent_session").limit(1).collect()
-        if not found:
-            break
-        path.append(at)
-        at = found[0][0]
-    return spark.createDataFrame([(k, s) for k, s in enumerate(reversed(path))], "depth int, session_id long")
+def session_chain(sessions: DataFrame, leaf: int) -> DataFrame:
+    """depth, session_id from the root to ``leaf`` along parent_session; a cycle ends the walk.
+
+    Steps double: each round joins the ancestors found with a table of jumps twice as far as before, so a chain of n sessions takes about log2(n) rounds.
+    """
+    up = sessions.select(F.col("session_id").cast("long").alias("a"), F.col("parent_session").cast("long").alias("b"))
+    there = up.select("a").distinct()
+    jumps = up.join(there.withColumnRenamed("a", "b"), "b", "left_semi").groupBy("a").agg(F.min("b").alias("b"))
+    found = written(there.where(F.col("a") == leaf).select("a", F.lit(0).cast("long").alias("up")), "chain")
+    jumps, far, before = written(jumps, "jumps"), 1, 0
+    while (now := found.count()) != before:
+        before = now
+        more = found.join(jumps, "a").select(F.col("b").alias("a"), (F.col("up") + far).alias("up"))
+        grown = written(found.unionByName(more).groupBy("a").agg(F.min("up").alias("up")), "chain")
+        further = written(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "jumps")
+        for table in (found, jumps):
+            forget(table)
+        found, jumps, far = grown, further, 2 * far
+    forget(jumps)
+    last = found.agg(F.max("up").alias("last"))
+    return found.join(F.broadcast(last), F.lit(True)).select((F.col("last") - F.col("up")).cast("int").alias("depth"), F.col("a").alias("session_id"))
 
 
 def children(sessions: DataFrame, parent: int) -> DataFrame:

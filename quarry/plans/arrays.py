@@ -138,9 +138,13 @@ def dimension_match(spark, d):
     return arrays.dimension_names(v, dims)
 
 
-@query()
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
+_KINDS = "CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'FLOAT[]' THEN 'array<float>' WHEN data_type = 'DOUBLE[]' THEN 'array<double>' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE lower(data_type) END"
+
+
+@query(f"SELECT table_name AS dataset, column_name AS \"column\", {_KINDS} AS type FROM information_schema.columns WHERE table_name IN {tuple(_TABLES)}")
 def table_metadata(spark, d):
-    return tables.metadata(spark, d, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"])
+    return tables.metadata(spark, d, _TABLES).withColumn("type", F.replace("type", F.lit("timestamp_ntz"), F.lit("timestamp")))
 
 
 # --- integrity -------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -413,9 +415,18 @@ def fnv1a_hash(spark, d):
 _NOTES = [(1, "intro line\n# One\nbody a\nbody b\n## Two\n\n# Three\nlast"), (2, "# Only\ntext"), (3, "no heading at all"), (4, "\n\n#NotHeading\n### Deep\nx")]
 
 
-@query()
+_NOTES_SQL = "(VALUES " + ", ".join(f"({i}, '" + t + "')" for i, t in _NOTES) + ") n(id, text)"
+
+
+@query(f"""WITH d AS (SELECT CAST(id AS BIGINT) AS id, text FROM {_NOTES_SQL} UNION ALL SELECT 1000 + doc_id, '# ' || source || chr(10) || replace(text, '. ', '.' || chr(10) || '## ') FROM documents),
+        l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM d), h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s') AS head FROM l),
+        s AS (SELECT *, sum(CAST(head OR n = 0 AS INT)) OVER (PARTITION BY id ORDER BY n) AS section FROM h),
+        g AS (SELECT id, min(n) AS first_line, arg_min(line, n) AS line, arg_min(head, n) AS head, trim(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), ''), ' ') AS body FROM s GROUP BY id, section)
+        SELECT id, CAST(first_line AS INT) AS first_line, CASE WHEN head THEN trim(regexp_replace(line, '^#+\\s+', ''), ' ') END AS heading, CAST(CASE WHEN head THEN len(regexp_extract(line, '^(#+)', 1)) ELSE 0 END AS INT) AS level, body
+        FROM g WHERE head OR body <> ''""")
 def markdown_sections(spark, d):
-    return markdown.sections(spark.createDataFrame(_NOTES, "id long, text string"))
+    docs = table(spark, d, "documents").select((1000 + F.col("doc_id")).alias("id"), F.concat(F.lit("# "), "source", F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n## "))).alias("text"))
+    return markdown.sections(spark.createDataFrame(_NOTES, "id long, text string").unionByName(docs))
 
 
 @query("SELECT event_id, regexp_extract(s, '\\d{4}-\\d{2}-\\d{2}') AS day FROM (SELECT event_id, 'on ' || strftime(ts, '%Y-%m-%d') || ' it ran' AS s FROM events)")
@@ -424,9 +435,17 @@ def iso_date_extract(spark, d):
     return e.select("event_id", F.regexp_extract("s", r"\d{4}-\d{2}-\d{2}", 0).alias("day"))
 
 
-@query("SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(Apache|Linux|Python|Java|Rust|Docker|Git)\\b')) AS term FROM documents) GROUP BY ALL")
+_TECHNOLOGIES = "|".join(re.sub(r"([.+#])", r"[\1]", t) for t in sorted(entities.TECHNOLOGIES, key=len, reverse=True))
+_WITH_TERMS = "SELECT doc_id, text || ' ' || list_extract([" + ", ".join(f"'{t}'" for t in entities.TECHNOLOGIES) + f"], CAST(doc_id % {len(entities.TECHNOLOGIES)} + 1 AS BIGINT)) || ' and gRPC' AS text FROM documents"
+
+
+@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])({_TECHNOLOGIES})(?:[^A-Za-z0-9]|$)', 1)) AS term FROM ({_WITH_TERMS})) GROUP BY ALL")
 def technology_extract(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(Apache|Linux|Python|Java|Rust|Docker|Git)\b"), F.lit(0))).alias("term"))
+    """Names of technologies in the documents, to each of which two are added."""
+    names = F.array(*map(F.lit, entities.TECHNOLOGIES))
+    text = F.concat("text", F.lit(" "), F.element_at(names, (F.col("doc_id") % len(entities.TECHNOLOGIES) + 1).cast("int")), F.lit(" and gRPC"))
+    pattern = f"(?:^|[^A-Za-z0-9])({_TECHNOLOGIES})(?:[^A-Za-z0-9]|$)"
+    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("term"))
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -444,7 +463,7 @@ def wal_replay(spark, d):
     return rounded(tables.replayed(base, changed.unionByName(added)), "value")
 
 
-@query("SELECT CAST(count_if(contains(lower(text), 'no,') OR contains(lower(text), 'actually')) AS BIGINT) AS corrections, count(*) AS n FROM conversations WHERE role = 'user'")
+@query(f"SELECT CAST(count_if({_CUE.replace('user_text', 'text')}) AS BIGINT) AS corrections, count(*) AS n FROM conversations WHERE role = 'user'")
 def correction_cues(spark, d):
     users = table(spark, d, "conversations").where("role = 'user'")
-    return users.agg(F.count_if(contains_any(F.lower("text"), ["no,", "actually"])).alias("corrections"), F.count("*").alias("n"))
+    return users.agg(F.count_if(contains_any(F.lower("text"), K.CORRECTION_CUES)).alias("corrections"), F.count("*").alias("n"))

@@ -117,16 +117,28 @@ def numeric_decode(spark, d):
     return e.withColumn("back", coding.numbers(F.col("raw"), "i8", True)[0]).select("event_id", "back", coding.bits(F.col("back"), 2, 4).alias("middle"))
 
 
-@query()
+_RAW = "lang || CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN chr(0) || source WHEN 2 THEN chr(0) || chr(0) ELSE ' x ' || chr(0) END"
+
+
+@query(f"SELECT doc_id AS id, split_part({_RAW}, chr(0), 1) AS null_term, rtrim({_RAW}, chr(0)) AS null_pad, rtrim({_RAW}, ' ') AS space_pad FROM documents")
 def string_decode(spark, d):
-    rows = spark.createDataFrame([(1, "ab  "), (2, "\x00x"), (3, "a\x00b\x00\x00")], "id long, raw string")
+    """Fixed-length strings without their padding, by each of three rules."""
+    i = F.col("doc_id") % 4
+    raw = F.concat("lang", F.when(i == 0, "  ").when(i == 1, F.concat(F.lit("\0"), "source")).when(i == 2, "\0\0").otherwise(" x \0"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), raw.alias("raw"))
     return rows.select("id", *(coding.fixed_string(F.col("raw"), p).alias(p.replace("-", "_")) for p in ("null-term", "null-pad", "space-pad")))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), w AS (SELECT doc_id, list_transform(generate_series(1, len(h), 4), lambda i: CAST('0x' || rpad(substr(h, i, 4), 4, '0') AS BIGINT)) AS words FROM b),
+        s AS (SELECT doc_id, list_sum(words) AS one, list_sum(list_transform(words, lambda x, i: x * (len(words) - i + 1))) AS two FROM w)
+        SELECT doc_id, CAST(coalesce(two, 0) % 65535 * 65536 + coalesce(one, 0) % 65535 AS BIGINT) AS fletcher32 FROM s""")
 def checksums(spark, d):
-    raw = F.col("text").cast("binary")
-    return table(spark, d, "documents").select("doc_id", F.crc32(raw).alias("crc32"), coding.fletcher32(raw).alias("fletcher32"))
+    return table(spark, d, "documents").select("doc_id", coding.fletcher32(F.col("text").cast("binary")).alias("fletcher32"))
+
+
+@query()
+def crc_checksums(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
 
 @query("SELECT doc_id, TRUE AS same FROM documents")
@@ -171,11 +183,15 @@ def relation_labels(spark, d):
     return rows.select("raw", graph.relation_label(F.col("raw")).alias("label"))
 
 
-@query()
+@query("""WITH n AS (SELECT lower(n_name) AS name, lower(r_name) AS other FROM nation JOIN region ON n_regionkey = r_regionkey),
+        q(query_id, text) AS (SELECT 1, 'trade of nation_7 and rust' UNION ALL SELECT 2, 'nothing here' UNION ALL SELECT 100 + o_orderkey, o_orderpriority || ' for Nation_' || (o_orderkey % 30) FROM orders WHERE o_orderkey % 100 = 0)
+        SELECT CAST(query_id AS BIGINT) AS query_id, replace(lower(text), name, other) AS variant, 0.85 AS weight FROM q JOIN n ON contains(lower(text), name)""")
 def knowledge_expand(spark, d):
     """Variants of a query with a nation replaced by its neighbours in the graph."""
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("name"), F.lower("r_name").alias("other"))
     asked = spark.createDataFrame([(1, "trade of nation_7 and rust"), (2, "nothing here")], "query_id long, text string")
+    orders = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    asked = asked.unionByName(orders.select((100 + F.col("o_orderkey")).alias("query_id"), F.concat("o_orderpriority", F.lit(" for Nation_"), F.col("o_orderkey") % 30).alias("text")))
     hits = asked.join(nations, F.contains(F.lower("text"), F.col("name")))
     return hits.select("query_id", F.replace(F.lower("text"), F.col("name"), F.col("other")).alias("variant"), F.lit(0.85).alias("weight"))
 

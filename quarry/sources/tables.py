@@ -17,6 +17,16 @@ def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Data
     return {n: table(spark, folder, n) for n in names}
 
 
+def external(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
+    """The table that a link (name, folder, target) leads to, in another folder; a missing name is a KeyError, several are a ValueError."""
+    found = links.where(F.col("name") == name).select("folder", "target").limit(2).collect()
+    if not found:
+        raise KeyError(name)
+    if len(found) > 1:
+        raise ValueError(f"several links of name {name}")
+    return table(spark, found[0]["folder"], found[0]["target"])
+
+
 def virtual(parts: list[tuple[DataFrame, int]], index: str) -> DataFrame:
     """One dataset out of several, each shifted along ``index``: composed at plan time, nothing is copied."""
     out = None
