@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import constants as K
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.operators import fusion, keyword, vector_index, vector_search
+from quarry.operators import fusion, keyword, keyword_index, vector_index, vector_search
 from quarry.plans.registry import query, rounded
 from quarry.sources.shared import shared_dir
 from quarry.sources.tables import table
@@ -48,6 +48,13 @@ def bm25_topk(spark, d):
     return rounded(keyword.top(keyword.bm25(_docs(spark, d), WORDS), 10).withColumnRenamed("id", "doc_id"), "score")
 
 
+@query(f"WITH {_bm25_sql()} SELECT id AS doc_id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 10")
+def bm25_index_topk(spark, d):
+    """The same from a stored index, whose blocks that cannot reach the top are not read."""
+    index = keyword_index.KeywordIndex.build(_docs(spark, d), f"{shared_dir(spark).rstrip('/')}/keywords-{uuid.uuid4().hex}")
+    return rounded(keyword_index.KeywordIndex.open(spark, index.folder).search(WORDS, 10).withColumnRenamed("id", "doc_id"), "score")
+
+
 @query(f"WITH {_bm25_sql('doc_id % 10 <> 0')} SELECT id AS doc_id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 10")
 def bm25_topk_active(spark, d):
     return rounded(keyword.top(keyword.bm25(_docs(spark, d).where("id % 10 <> 0"), WORDS), 10).withColumnRenamed("id", "doc_id"), "score")
@@ -219,10 +226,14 @@ def decision_gate(spark, d):
     return turns.unionByName(more).select("id", F.coalesce(T.gate_reason(F.col("text")), F.lit("save")).alias("decision"))
 
 
+ASKED = [(-1, "find the API bug"), (-2, "what changed recently"), (-3, "searching operations quickly"), (-4, "SQL and CI errors"), (-5, "nothing here")]
+
+
 @query()
 def query_expand(spark, d):
-    asked = spark.createDataFrame([(1, "find the API bug"), (2, "what changed recently"), (3, "searching operations quickly"), (4, "SQL and CI errors"), (5, "nothing here")], "query_id long, text string")
-    return T.expanded(asked)
+    """Variants of all users' turns, and of a few sentences more."""
+    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return T.expanded(turns.unionByName(spark.createDataFrame(ASKED, "query_id long, text string")))
 
 
 _NEAREST = f"WITH {_COSINE_SQL} SELECT id, round(score, 6) AS score FROM cosine{{}} ORDER BY cosine.score DESC, id LIMIT 10"
