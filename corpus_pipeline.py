@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", quality_filter), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("pii", redact), ("packing", pack)]
-#: SQL cannot express the classifier, the fingerprints or the tokens; tests hold each stage against a brute-force version.
+#: SQL cannot express the classifier, the fingerprints or the tokens; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

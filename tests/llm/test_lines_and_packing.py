@@ -56,7 +56,8 @@ def test_lines_odd_and_empty(spark, monkeypatch, odd, nothing, few):
 
 
 def _check_pieces(rows, texts):
-    encode = vocab.fast_encoder(vocab.default_path())
+    slow = vocab.library(vocab.default_path())
+    encode = lambda text: slow.encode(text, add_special_tokens=False).ids
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
         by_sequence[r["sequence_id"]].append(r)
@@ -104,6 +105,47 @@ def test_plan_is_balanced():
     assert full.std() / full.mean() < 0.1
 
 
+def _plain_plan(lengths, size):
+    """The documented rule, one document at a time: whole sequences, then descending to the cheapest with room, then what fits nowhere into the gaps of the cheapest first."""
+    pieces, count = [], 0
+    for doc, n in enumerate(lengths):
+        for k in range(n // size):
+            pieces.append((doc, k * size, size, count, 0))
+            count += 1
+    rest = [(n % size, doc, n - n % size) for doc, n in enumerate(lengths) if n % size]
+    total = sum(n for n, _, _ in rest)
+    held = [[] for _ in range(total // size)]
+    spent = lambda s: sum(packing.cost(n) for n in s)
+    waiting = []
+    for n, doc, start in sorted(rest, key=lambda r: (-r[0], r[1])):
+        able = [(spent(s), k) for k, s in enumerate(held) if sum(s) + n <= size]
+        if not able:
+            waiting.append((doc, start, n))
+            continue
+        k = min(able)[1]
+        pieces.append((doc, start, n, count + k, sum(held[k])))
+        held[k].append(n)
+    return pieces, waiting, {count + k: size - sum(s) for k, s in enumerate(held)}
+
+
+@pytest.mark.parametrize("size", [16, 1024])
+def test_plan_follows_its_rule(size):
+    draw = np.random.default_rng(size)
+    for _ in range(20):
+        lengths = draw.integers(1, 3 * size, int(draw.integers(1, 60)))
+        pieces = packing.plan(lengths, size)
+        want, waiting, room = _plain_plan(lengths.tolist(), size)
+        assert pieces[: len(want)] == want
+        rest = pieces[len(want) :]
+        assert sum(p[2] for p in rest) == sum(n for _, _, n in waiting)
+        filled = defaultdict(int)
+        for _, _, n, sequence, _ in rest:
+            filled[sequence] += n
+        assert all(filled[k] == n for k, n in room.items())  # no gap is left
+        tail = [n for k, n in filled.items() if k not in room]
+        assert all(n & (n - 1) == 0 for n in tail) and len(tail) == len(set(tail))
+
+
 def test_long_white_space_and_special_tokens():
     import tokenizers
 
