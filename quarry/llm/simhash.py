@@ -65,7 +65,7 @@ LANES = 4
 #: Rows of the sample whose common shingles come last in the order, and how many of these are known.
 SAMPLE, OFTEN = 10_000, 1 << 18
 #: Entries (shingle, text) of the second pass in a partition, and entries of one shingle that are looked at together.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
 #: Shingles in a hash class, on average, of the bound of a pair's overlap.
 IN_CLASS = 4
 
@@ -598,14 +598,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     with one id, the smallest digest of the text; of rows with one id and one text, any one).
     """
     prints, distinct, classes = _alike(docs, words, similarity)
-    component = _placed(distinct, classes).select("digest", "component")
-    rows = prints.join(component, "digest").select("component", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key")
-    first = rows.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("first"))
-    counted = rows.groupBy("component", "id", "text_key").agg(F.count("*").alias("n"))
-    judged = counted.join(first, "component").select("id", "text_key", "n", (F.struct("id", "text_key") == F.col("first")).alias("stays"))
+    last = F.lit(2**63 - 1)
+    first = _placed(distinct, classes).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "text_key")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    counted = prints.groupBy(F.coalesce("doc_id", last).alias("id"), "text_key").agg(F.count("*").alias("n"))
+    judged = counted.join(first, ["id", "text_key"], "left").select("id", "text_key", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
     judged = common.written(judged.where("not stays or n > 1"), "simhash-dropped")
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    row_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1))
+    row_id = F.coalesce(docs["doc_id"].cast("long"), last)
     same = lambda table: (row_id == table["id"]) & (key == table["text_key"])
     gone = judged.where("not stays")
     left = docs.join(gone, same(gone), "left_anti")
