@@ -35,7 +35,8 @@ sixteenth of the sets; only rows of pairs that the bound leaves are verified, wi
 
 Null text counts as empty. Texts without words have fingerprint zero and link
 like any other. Rows with equal fingerprints (with a similarity: with equal sets of shingles, known by a
-128-bit digest) are collapsed before blocks are made, so copies cost nothing. An empty table gives an empty result. Rows that
+128-bit digest) are collapsed before blocks are made, so copies cost nothing. Blocks of very many rows are linked tile by tile first; then only rows outside of their
+largest component are compared with all others (with a similarity the second pass does that). An empty table gives an empty result. Rows that
 share a doc_id each get their own fingerprint; without a similarity the id stands for all of them, with one each
 row has the component of its own text. A null doc_id comes after all others.
 """
@@ -57,6 +58,8 @@ from quarry.llm.wordbatch import mix
 SEED = 42
 PIVOTS = 24
 TILE = 256
+#: Tiles of a block up to which all pairs of tiles are compared at once; larger blocks are first linked tile by tile.
+MOST_TILES = 16
 #: Bytes of the bit table that counts common shingles in a unit.
 BITS = 8 << 20
 ROWS, BANDS = 3, 8
@@ -208,20 +211,44 @@ def _pigeonhole(distinct: DataFrame, radius: int, count: int):
     return distinct.withColumn("block", F.explode(F.array(*(F.xxhash64(F.lit(n), *(run[k] for k in chosen)) for n, chosen in enumerate(choices)))))
 
 
-def _tiled(rows: DataFrame) -> DataFrame:
-    """Gives each row of a block the units of work it belongs to: (block, low tile, high tile); other columns stay."""
+def _tiled(rows: DataFrame, within: int | None = None) -> DataFrame:
+    """Gives each row of a block the units of work it belongs to: (block, low tile, high tile); other columns stay.
+
+    Blocks of over ``within`` tiles only get the units of each tile with itself.
+    """
     kept = [c for c in rows.columns if c != "block"]
     sizes = rows.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("rep", "block"), F.col("tiles")).cast("int")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
     return (
         rows.join(sizes, "block")
         .withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumn("other", F.explode(every if within is None else F.when(F.col("tiles") > within, F.array("own")).otherwise(every)))
         .select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *kept)
     )
 
 
+def _rest_of_hot(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Units, with components, of the pairs that ``_tiled`` left out of blocks of over MOST_TILES tiles.
+
+    Rows of a block's largest component are linked already: they only meet the block's other rows, which also meet one another.
+    A block of n near copies, all of one component but m, so gives about n m / TILE rows.
+    """
+    kept = [c for c in rows.columns if c != "block"]
+    hot = rows.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > MOST_TILES * TILE).select("block")
+    placed = rows.join(hot, "block").join(classes, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    placed = common.written(placed, "simhash-hot")
+    per = placed.groupBy("block", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    main = main.where("n_all > n_main").withColumns({"others": F.ceil((F.col("n_all") - F.col("n_main")) / TILE).cast("int"), "mains": F.ceil(F.col("n_main") / TILE).cast("int")})
+    both = placed.join(main.drop("n_main", "n_all"), "block").withColumn("inside", F.col("component") == F.col("main"))
+    own = F.when(F.col("inside"), F.col("others") + F.pmod(F.xxhash64("rep", "block"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep", "block"), F.col("others"))).cast("int")
+    to = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    out = both.withColumn("own", own).withColumn("other", F.explode(to))
+    return out.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", *kept)
+
+
 class Common:
     """Jaccard similarities of pairs of rows, from their sets of 32-bit hashes."""
 
@@ -357,8 +384,12 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, similarity
     prints = common.written(fingerprints(docs, words), "simhash")
     distinct = prints.groupBy("prints").agg(F.min("doc_id").alias("rep"))
     distinct = common.written(distinct.where("rep is not null"), "simhash-distinct")
-    edges = common.written(_edges(_tiled(_pigeonhole(distinct, radius, distinct.count())), radius, 1), "simhash-links")
-    classes = components(edges.distinct())
+    keyed = _pigeonhole(distinct, radius, distinct.count())
+    edges = common.written(_edges(_tiled(keyed, MOST_TILES), radius, 1).distinct(), "simhash-links")
+    classes = components(edges)
+    if not keyed.groupBy("block").count().where(F.col("count") > MOST_TILES * TILE).isEmpty():
+        rest = common.written(_edges(_rest_of_hot(keyed, classes), radius, 1).distinct(), "simhash-rest")
+        classes = components(edges.union(rest))
     named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("prints", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "prints", "left").select("doc_id", "prints", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -374,7 +405,7 @@ def _alike(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, D
     at = (F.nullif("place.id", F.lit(2**63 - 1)).alias("doc_id"), F.col("place.text_key").alias("text_key"))
     distinct = common.written(distinct.select(F.monotonically_increasing_id().alias("rep"), "digest", *at, "keys", "rare", "size", "classes"), "simhash-distinct")
     keyed = distinct.select("rep", F.posexplode("keys").alias("n", "key")).select("rep", F.xxhash64("n", "key").alias("block"))
-    edges = _verified(_tiled(keyed), distinct, texts, words, radius_for(similarity), similarity)
+    edges = _verified(_tiled(keyed, MOST_TILES), distinct, texts, words, radius_for(similarity), similarity)
     classes = components(edges)
     blocks = _shared_rare(_placed(distinct, classes), similarity)
     units = common.written(_tiled(blocks).join(_placed(distinct, classes).select("rep", "component", "size", "classes"), "rep"), "simhash-bounds")

@@ -145,9 +145,10 @@ def test_op9_equals_brute_force(spark):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("tile", [16, 2048])
-def test_large_groups_of_near_copies(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, most", [(16, 16), (2048, 16), (8, 2), (4, 1)])
+def test_large_groups_of_near_copies(spark, monkeypatch, tile, most):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "MOST_TILES", most)
     draw = random.Random(5)
     base = [draw.choice("abcdefghijklmnop") * draw.randint(1, 5) for _ in range(120)]
     texts = []
@@ -207,9 +208,10 @@ def test_components_on_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-def test_similarity_form_is_exact_at_the_threshold(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, most", [(8, 16), (1024, 16), (4, 1)])
+def test_similarity_form_is_exact_at_the_threshold(spark, monkeypatch, tile, most):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "MOST_TILES", most)
     draw = random.Random(8)
     lexicon = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(900)]
     texts = {}
@@ -325,3 +327,17 @@ def test_one_shingle_in_very_many_texts(spark, monkeypatch):
             rows.append((2 * i + 1, " ".join([*words, "more"])))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), 5, similarity=0.8).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_rows_of_a_hot_block_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_TILES", 2)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    made = {}
+    for n in (400, 800):
+        prints = [(1 << (k % 20)) | (1 << (20 + k // 20 % 20)) | (1 << (40 + k // 400)) for k in range(n)]  # all within a few bits of zero
+        rows = spark.createDataFrame([(k, [p]) for k, p in enumerate(prints)], "rep long, prints array<long>")
+        keyed = simhash._pigeonhole(rows, 3, n)
+        first = simhash._tiled(keyed, 2)
+        classes = components(simhash._edges(first, 3, 1).distinct())
+        made[n] = first.count() + simhash._rest_of_hot(keyed, classes).count()
+    assert made[800] < 2.6 * made[400]
