@@ -114,18 +114,22 @@ def test_probabilities_sum_to_one(spark):
             assert total == pytest.approx(1, rel=1e-9)
 
 
-@pytest.mark.parametrize("fan", [4, 2048])
-def test_rows_grow_with_the_input(spark, monkeypatch, fan):
-    monkeypatch.setattr(pitman, "FAN", fan)
+def test_rows_grow_with_the_input(spark, monkeypatch):
+    """Twice the input in twice the partitions: about twice the rows, although buckets double too."""
+    monkeypatch.setattr(pitman, "FAN", 4)
     monkeypatch.setattr(pitman, "LEAST_BUCKETS", 1)
-    monkeypatch.setattr(pitman, "BUCKET_BYTES", 2000)
-    rows = {}
-    for parts in (4, 8, 16):
+    monkeypatch.setattr(pitman, "BUCKET_BYTES", 4000)
+    rows, sent, buckets = {}, {}, {}
+    for parts in (4, 8):
         texts = [(k, " ".join(f"w{(k * 131 + j * j) % 5000}" for j in range(60))) for k in range(25 * parts)]
         docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
-        rows[parts] = pitman.counted(docs, pitman.dealing(docs)).count()
-    if fan == 4:
-        assert rows[16] < 2.5 * rows[8] < 6.25 * rows[4]
+        deal = pitman.dealing(docs)
+        buckets[parts] = deal.buckets
+        rows[parts] = pitman.counted(docs, deal).count()
+        fitted = pitman.fit(docs)
+        sent[parts] = pitman.dealt(docs, pitman.common_pairs(fitted), fitted).count()
+    assert buckets[8] >= 1.8 * buckets[4] > 4
+    assert rows[8] <= 2.5 * rows[4] and sent[8] <= 2.5 * sent[4]
 
 
 def test_seating_follows_the_restaurant_rule():
