@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.temporal import carried
+
 NULL_HASH = hashlib.sha256(b"\x02null").hexdigest()
 
 
@@ -93,10 +95,11 @@ def verified(leaf: str, index: int, path: list[str], expected: str) -> bool:
     return h.hex() == expected
 
 
-def rollbacks(versions: DataFrame) -> DataFrame:
-    """The rows (chunk, seq, version) whose version is under one seen before for the chunk."""
-    seen = F.max("version").over(Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return versions.withColumn("seen", seen).where(F.col("version") < F.col("seen"))
+def rollbacks(versions: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """The rows (chunk, seq, version) whose version is under one seen before for the chunk. The highest version is carried over segments of ``width`` numbers of seq."""
+    rows = carried(versions, ["chunk"], ["seq"], F.col("version"), F.max, F.max, width)
+    inside = F.max("version").over(Window.partitionBy("chunk", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("seen", F.greatest(inside, "carry")).where(F.col("version") < F.col("seen")).drop("segment", "carry")
 
 
 def journal_latest(journal: DataFrame) -> DataFrame:

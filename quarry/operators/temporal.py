@@ -51,16 +51,36 @@ def state_asof(changes: DataFrame, ts: float) -> DataFrame:
     return changes.where(F.col("ts") <= ts).groupBy("entity_id", "key").agg(F.max_by("new", F.struct("ts", "seq")).alias("value"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def segments(order: Column, width: float) -> Column:
+    """The segment of an ordered column: rows of a key are worked on segment by segment, so that a key with very many rows is not one task's."""
+    return F.floor(order / width)
+
+
+def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, within, across, width: float) -> DataFrame:
+    """The rows with ``segment`` and ``carry``: what all earlier segments of the key come to.
+
+    ``value`` is summed up in each segment by ``within`` (an aggregate), and segments by ``across`` (of a column, over a window of segments, one row each).
+    """
+    from pyspark.sql import Window
+
+    cut = rows.withColumn("segment", segments(F.col(order[0]), width))
+    per = cut.groupBy(*keys, "segment").agg(within(value).alias("own"))
+    before = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(per.select(*keys, "segment", across(F.col("own")).over(before).alias("carry")), [*keys, "segment"])
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, width: float = 7 * DAY) -> DataFrame:
     """For each left row (key, id, ts) the value of the last right row (key, ts, value) at or before it.
 
-    Both sides go through one sort by key and time, and the last value is carried on: no pairs are made.
+    Both sides go through one sort by key, segment and time, and the last value is carried on, from segment to segment too: no pairs are made.
     """
     from pyspark.sql import Window
 
     rows = left.select(key, "ts", F.lit(1).alias("side"), "id", F.lit(None).cast("double").alias("value")).unionByName(right.select(key, "ts", F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.col("value").cast("double").alias("value")))
-    carried = F.last("value", ignorenulls=True).over(Window.partitionBy(key).orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("value", carried).where("side = 1").select(key, "id", "ts", "value")
+    last = lambda v: F.max_by(v, F.when(F.col("side") == 0, F.struct("ts", "value")))
+    rows = carried(rows, [key], ["ts"], F.col("value"), last, lambda c: F.last(c, ignorenulls=True), width)
+    inside = F.last("value", ignorenulls=True).over(Window.partitionBy(key, "segment").orderBy("ts", "side", "value").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("value", F.coalesce(inside, "carry")).where("side = 1").select(key, "id", "ts", "value")
 
 
 def session_chain(sessions: DataFrame, leaf: int) -> DataFrame:
@@ -100,11 +120,18 @@ def boost(ts: Column, mode: str, now: float, start: float = 0.0, end: float = 0.
     }[mode]
 
 
-def sessionised(events: DataFrame, gap: float) -> DataFrame:
-    """user_id, session_no, start_ts, end_ts, n: runs of a user's events (user_id, ts) with gaps of ``gap`` seconds at most."""
+def sessionised(events: DataFrame, gap: float, width: float = 7 * DAY) -> DataFrame:
+    """user_id, session_no, start_ts, end_ts, n: runs of a user's events (user_id, ts) with gaps of ``gap`` seconds at most.
+
+    Runs are found in each segment of time, then those that go on over a segment's end are joined: there are as many rows left as runs and segments.
+    """
     from pyspark.sql import Window
 
-    by_user = Window.partitionBy("user_id").orderBy("ts", "id")
-    fresh = (F.col("ts") - F.lag("ts").over(by_user) > gap) | F.lag("ts").over(by_user).isNull()
-    numbered = events.withColumn("fresh", fresh.cast("int")).withColumn("session_no", F.sum("fresh").over(by_user))
-    return numbered.groupBy("user_id", "session_no").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+    cut = events.select("user_id", "ts", "id", segments(F.col("ts"), width).alias("segment"))
+    inside = Window.partitionBy("user_id", "segment").orderBy("ts", "id")
+    fresh = (F.col("ts") - F.lag("ts").over(inside) > gap) | F.lag("ts").over(inside).isNull()
+    runs = cut.withColumn("run", F.sum(fresh.cast("int")).over(inside)).groupBy("user_id", "segment", "run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+    by_user = Window.partitionBy("user_id").orderBy("start_ts", "segment")
+    new = (F.col("start_ts") - F.lag("end_ts").over(by_user) > gap) | F.lag("end_ts").over(by_user).isNull()
+    numbered = runs.withColumn("fresh", new.cast("int")).withColumn("session_no", F.sum("fresh").over(by_user))
+    return numbered.groupBy("user_id", "session_no").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from quarry.functions import constants as K
-from quarry.operators import entities, keyword, keyword_index, temporal
+from quarry.operators import entities, integrity, keyword, keyword_index, temporal
 from quarry.plans import retrieval
 from quarry.plans.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL
@@ -136,3 +136,31 @@ def test_session_chains_of_any_length(spark, n):
     sessions = spark.createDataFrame(rows, "session_id long, parent_session long")
     walk = lambda leaf: [r["session_id"] for r in temporal.session_chain(sessions, leaf).orderBy("depth").collect()]
     assert walk(n - 1) == list(range(n)) and walk(9000) == [9001, 9000] and walk(9100) == [9100] and walk(-1) == []
+
+
+@pytest.mark.parametrize("width", [3, 10, 10**6])
+def test_segments_change_nothing(spark, width):
+    draw = random.Random(width)
+    left = [(draw.randrange(4), i, float(draw.randrange(60))) for i in range(200)]
+    right = [(draw.randrange(4), float(draw.randrange(60)), float(draw.randrange(1000))) for _ in range(60)]
+    got = {(r["k"], r["id"]): r["value"] for r in temporal.asof_join(spark.createDataFrame(left, "k int, id long, ts double"), spark.createDataFrame(right, "k int, ts double, value double"), "k", width).collect()}
+    want = {(k, i): max(((t, v) for q, t, v in right if q == k and t <= ts), default=(0, None))[1] for k, i, ts in left}
+    assert got == want
+
+    versions = [(draw.randrange(3), s, draw.randrange(50)) for s in range(150)]
+    got = {tuple(r)[:3] for r in integrity.rollbacks(spark.createDataFrame(versions, "chunk int, seq long, version int"), width).select("chunk", "seq", "version").collect()}
+    assert got == {(c, s, v) for c, s, v in versions if any(c2 == c and s2 < s and v2 > v for c2, s2, v2 in versions)}
+
+    events = [(draw.randrange(4), i, float(draw.randrange(200))) for i in range(120)]
+    got = sorted(tuple(r)[2:] + (r["user_id"],) for r in temporal.sessionised(spark.createDataFrame(events, "user_id int, id long, ts double"), 4.0, width).collect())
+    want = []
+    for user in range(4):
+        run = []
+        for t in sorted(t for u, _, t in events if u == user):
+            if run and t - run[-1] > 4:
+                want.append((run[0], run[-1], len(run), user))
+                run = []
+            run.append(t)
+        if run:
+            want.append((run[0], run[-1], len(run), user))
+    assert got == sorted(want)
