@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quarry.functions import coding
-from quarry.operators import arrays, lifecycle, markdown, migrate
+from quarry.operators import arrays, lifecycle, markdown, migrate, store, temporal
 from quarry.plans.arrays import _DENSE, _dense
 from quarry.plans.memory import EV, _events
 from quarry.plans.registry import query, rounded
@@ -293,3 +293,59 @@ def store_read_back(spark, d):
     path = _fresh(spark, "store")
     lifecycle.numbered(table(spark, d, "documents").select(F.col("doc_id").alias("id")), ["id"]).write.parquet(path)
     return spark.read.parquet(path)
+
+
+# --- tables that are changed ----------------------------------------------------
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ' renamed' ELSE n_name END AS name, CAST(count(r) AS BIGINT) AS relations, max(a) AS alias
+        FROM nation LEFT JOIN (SELECT n_nationkey AS k, 1 AS r FROM nation WHERE n_regionkey <> 1) ON k = n_nationkey LEFT JOIN (SELECT n_nationkey AS q, 'the ' || n_name AS a FROM nation WHERE n_nationkey % 2 = 1) ON q = n_nationkey
+        WHERE n_nationkey <> 7 GROUP BY n_nationkey, n_name""")
+def graph_store(spark, d):
+    """Entities, relations and aliases added, changed and taken away, then read."""
+    graph = store.graph_tables(spark, _fresh(spark, "graph"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("entity_type"), F.col("n_regionkey").cast("long").alias("tgt"))
+    graph["entities"].save(n)
+    graph["relations"].save(n.select(F.col("id").alias("src"), "tgt", F.lit("in").alias("relation"), F.lit(0.9).alias("weight")))
+    graph["aliases"].save(n.select(F.concat(F.lit("the "), "name").alias("alias"), "id"))
+    graph["entities"].save(n.where("id % 4 = 0").withColumn("name", F.concat("name", F.lit(" renamed"))))
+    graph["entities"].remove(n.where("id = 7"))
+    graph["relations"].remove(n.where("tgt = 1").select(F.col("id").alias("src"), "tgt", F.lit("in").alias("relation")))
+    graph["aliases"].remove(n.where("id % 2 = 0").select(F.concat(F.lit("the "), "name").alias("alias")))
+    for changed in graph.values():
+        changed.compact()
+    per = graph["relations"].rows().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("relations"))
+    out = graph["entities"].rows().join(per, "id", "left").join(graph["aliases"].rows(), "id", "left")
+    return out.select("id", "name", F.coalesce("relations", F.lit(0)).cast("long").alias("relations"), "alias")
+
+
+@query(f"WITH {EV} SELECT id, round(ts, 3) AS ts FROM (SELECT id, CASE WHEN id % 10 = 3 THEN ts + 3600 ELSE ts END AS ts FROM ev WHERE id % 6 <> 0) WHERE ts >= 1704412800 ORDER BY ts, id LIMIT 50")
+def temporal_insert_remove(spark, d):
+    """A time index to which records are added, of which some are removed and some moved; its first rows after a time."""
+    index = store.ChangeTable(spark, _fresh(spark, "times"), "id long, ts double", ("id",))
+    rows = _events(spark, d).select("id", "ts")
+    index.save(rows.where("id % 2 = 0"))
+    index.save(rows.where("id % 2 = 1"))
+    index.remove(rows.where("id % 6 = 0"))
+    index.save(rows.where("id % 10 = 3").withColumn("ts", F.col("ts") + 3600))
+    return rounded(temporal.earliest(index.rows().where("ts >= 1704412800"), 50), "ts", places=3)
+
+
+@query(f"WITH {EV}, h AS (SELECT user_id AS id, count(*) AS n, max(ts) AS latest FROM ev GROUP BY user_id) SELECT c_custkey AS id, CAST(1 + coalesce(n, 0) AS BIGINT) AS access, round(coalesce(latest, 0), 3) AS last_ts FROM customer LEFT JOIN h ON h.id = c_custkey")
+def memory_access(spark, d):
+    """Records whose accesses are counted from a log."""
+    memories = store.ChangeTable(spark, _fresh(spark, "memories"), "id long, access long, last_ts double", ("id",))
+    memories.save(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("access"), F.lit(0.0).alias("last_ts")))
+    store.accessed(memories, _events(spark, d).select(F.col("user_id").alias("id"), "ts"))
+    return rounded(memories.rows(), "last_ts", places=3)
+
+
+@query("SELECT conv_id AS session_id, count(*) AS records, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def session_records(spark, d):
+    """Records added by session, batch after batch, and what each session holds."""
+    kept = store.ChangeTable(spark, _fresh(spark, "sessions"), "session_id long, turn long, text string", ("session_id", "turn"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", "text")
+    for part in range(2):
+        kept.save(rows.where(F.col("turn") % 4 < 2 if part == 0 else F.col("turn") % 4 >= 2))
+    kept.save(rows.where("turn = 0"))
+    return kept.rows().groupBy("session_id").agg(F.count("*").alias("records"), F.max("turn").alias("last_turn"))
