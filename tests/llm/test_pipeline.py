@@ -57,6 +57,21 @@ def test_odd_and_empty_tables(spark, odd, nothing):
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
 
 
+def test_names_that_stages_use_themselves(spark):
+    names = ["id", "text_key", "n", "stays", "first", "component", "digest", "place", "bad_0", "bad_id_0", "n_removed", "__bad", "keep", "grade", "p_good", "spans", "bucket", "chunk", "salt", "size"]
+    rows = [(k, "some words that are shared by all\nown words of text " + " ".join(f"w{k * j}" for j in range(30)), f"s{k}", *range(len(names))) for k in (1, 2, 3, 3)] + [(9, None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        if name != "quality_classifier":  # made-up words are no good text
+            docs = common.written(stage(spark, docs, SMALL), name)
+        else:
+            stage(spark, docs, SMALL).collect()
+        assert docs.columns == columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in docs.collect())
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3, 9]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= 4
+
+
 def _plain_redaction(field, text):
     """Patterns as they are written, labels by Viterbi over all words, offsets by counting."""
     raw = text.encode()
