@@ -38,8 +38,8 @@ BITS = 20
 GRADES = 3
 #: A text is selected if the best grade has this probability.
 KEEP = 0.6
-#: Rows of the sample that a step of the fit works on at once.
-BLOCK = 2000
+#: Features of the sample that a step of the fit works on at once.
+BLOCK = 1 << 20
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b"!#$%&*+/<=>@[\\]^_`{|}~")] = True
@@ -73,7 +73,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         level = np.minimum(np.asarray(share) * 8, 7).astype(np.uint64)
         parts.append((wordbatch.mix(level + np.uint64(1000 * (k + 1))), np.arange(len(texts))))
     ids = np.concatenate([x for x, _ in parts]) & np.uint64((1 << BITS) - 1)
-    pairs = np.unique((np.concatenate([x for _, x in parts]).astype(np.uint64) << np.uint64(BITS)) | ids)
+    pairs = wordbatch.ordered_set((np.concatenate([x for _, x in parts]).astype(np.uint64) << np.uint64(BITS)) | ids)
     return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -90,33 +90,57 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 100, rate: flo
     thresholds = np.maximum.accumulate(thresholds)
     if len(np.unique(grades)) < 2:
         return Model(weights.astype(np.float32), thresholds)
-    blocks = [rows[k : k + BLOCK] for k in range(0, len(rows), BLOCK)]
-    ids = [np.concatenate(b).astype(np.uint32) for b in blocks]
-    owner = [np.repeat(np.arange(len(b)), [len(r) for r in b]).astype(np.uint16) for b in blocks]
-    squares, threshold_squares = np.full(1 << BITS, 1e-10), np.full(GRADES - 1, 1e-10)
+    # Only features that occur have weights; they are held by row and by feature, and sums run over either in order.
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    found, place = np.unique(np.concatenate(rows), return_inverse=True)
+    by_row = _cut(place.astype(np.uint32), lengths)
+    order = np.argsort(place, kind="stable")
+    owner = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) < 1 << 16 else np.uint32), lengths)[order]
+    by_feature = _cut(owner, np.bincount(place, minlength=len(found)))
+    del place, order, owner
+    small = np.zeros(len(found))
+    squares, threshold_squares = np.full(len(found), 1e-10), np.full(GRADES - 1, 1e-10)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     every = np.arange(len(rows))
     for _ in range(rounds):
-        score = np.concatenate([np.bincount(o, weights[i], minlength=len(b)) for o, i, b in zip(owner, ids, blocks, strict=True)])
+        score = _sums(by_row, small)
         tail = np.column_stack([np.ones(len(rows)), *(sigmoid(score - t) for t in thresholds), np.zeros(len(rows))])
         here = np.maximum(tail[every, grades] - tail[every, grades + 1], 1e-12)
         slope = tail * (1 - tail)
         by_score = -(slope[every, grades] - slope[every, grades + 1]) / here / len(rows)
-        gradient = np.zeros(1 << BITS)
-        for k, (o, i) in enumerate(zip(owner, ids, strict=True)):
-            gradient += np.bincount(i, by_score[k * BLOCK : (k + 1) * BLOCK][o], minlength=1 << BITS)
+        gradient = _sums(by_feature, by_score)
         squares += gradient**2
         pace = rate / np.sqrt(squares)
-        weights -= pace * gradient
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * penalty, 0)
+        small -= pace * gradient
+        small = np.sign(small) * np.maximum(np.abs(small) - pace * penalty, 0)
         for k in range(1, GRADES):
             g = (np.sum(slope[grades == k, k] / here[grades == k]) - np.sum(slope[grades == k - 1, k] / here[grades == k - 1])) / len(rows)
             threshold_squares[k - 1] += g**2
             thresholds[k - 1] -= rate / np.sqrt(threshold_squares[k - 1]) * g
         thresholds = np.maximum.accumulate(thresholds)
+    weights[found] = small
     return Model(weights.astype(np.float32), thresholds)
 
 
+def _cut(index: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, lengths) of runs of groups, about BLOCK indices at a time."""
+    ends = np.cumsum(lengths)
+    edges = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, int(ends[-1]) + BLOCK, BLOCK)) + 1, len(lengths)].clip(max=len(lengths)))
+    return [(index[(ends[a - 1] if a else 0) : ends[b - 1]], lengths[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+
+def _sums(cut: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray) -> np.ndarray:
+    """The sum of values[index] of each group."""
+    out = []
+    for index, lengths in cut:
+        total = np.zeros(len(lengths))
+        some = lengths > 0
+        if some.any():
+            total[some] = np.add.reduceat(values[index], (np.cumsum(lengths) - lengths)[some])
+        out.append(total)
+    return np.concatenate(out)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade: 0 toxic, 1 poor, 2 good."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)

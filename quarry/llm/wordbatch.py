@@ -40,6 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def ordered_set(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by one sort."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 @dataclass
 class Words:
     """Words of a batch in order; ``data`` holds all texts, lower-cased, each followed by a space."""
