@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common, vocab
+from quarry.llm.wordbatch import ordered_set
 
 BUFFER = 6 << 20
 #: Words whose ids a task keeps.
@@ -100,7 +101,7 @@ class Encoder:
         while heap:
             r = heapq.heappop(heap)
             found = lists.pop(r)
-            at = np.unique(np.concatenate(found))  # a pair can be listed from either side
+            at = ordered_set(np.concatenate(found))  # a pair can be listed from either side
             left, right, merged = int(v.left[r]), int(v.right[r]), int(v.merged[r])
             at = at[symbol[at] == left]
             at = at[symbol[following[at]] == right]
@@ -131,14 +132,15 @@ class Encoder:
             self.known.clear()
         for token, i in self.vocabulary.special.items():
             self.known[token] = i.to_bytes(4, "little")
+        cuts = [self.cut(text) for text in texts]
         new: set[str] = set()
-        for text in texts:
-            new.update(self.cut(text))
+        for words in cuts:
+            new.update(words)
         new.difference_update(self.known)
         if new:
             self.learn(sorted(new))
         known = self.known
-        return [b"".join([known[w] for w in self.cut(text)]) for text in texts]
+        return [b"".join([known[w] for w in words]) for words in cuts]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
