@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one. Coarse centroids (spherical k-means) and the
 codebooks of their residuals are fitted to a bounded sample: the first valid vectors
-by a hash of their id, SAMPLE of them, or PER_CELL for each cell where that is more. There are about as many cells as the square root of
+by a hash of their id, SAMPLE of them, or PER_CELL for each cell where that is more (SAMPLE_BYTES at most). There are about as many cells as the square root of
 the rows, CELLS at most; above FLAT they are fitted in two levels, groups first. Every row is indexed: assigned to its nearest
 centroid's cell (of the nearest group) and coded, and the length of what the code leaves out is kept. A query's asymmetric distance table holds its products with all codewords; a
 vector's approximate score is the centroid's product plus one table entry for
@@ -40,7 +40,9 @@ from pyspark.sql import types as T
 from quarry.llm import common
 
 SAMPLE, PER_CELL = 16_384, 8
-CELLS, FLAT = 65_536, 1024
+CELLS, FLAT = 32_768, 1024
+#: Bytes of the sample in double precision, and products of queries and centroids that a task holds, at most.
+SAMPLE_BYTES, PRODUCTS = 1 << 28, 1 << 21
 UNIT = (1024, 32_768)
 QUERIES = 16_384
 BARS = 4096
@@ -148,8 +150,10 @@ def fit(sample: np.ndarray, ids: np.ndarray, count: int, target: float = TARGET,
     scores = some[asked] @ some.T
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(some) - 1))]
-    rank = np.argsort(np.argsort(-(some[asked] @ centroids.T), axis=1), axis=1)
-    needed = np.take_along_axis(rank, near[:SAMPLE][best], axis=1).max(axis=1)
+    needed = np.zeros(len(asked))  # cells before that of the furthest neighbour
+    for i, q in enumerate(asked.tolist()):
+        products = centroids @ some[q]
+        needed[i] = (products > products[near[best[i]]].min()).sum()
     bar = bars_of(index, some[asked], ids[asked], k)
     index.edges = np.quantile(bar, np.arange(1, BANDS) / BANDS)
     band = np.searchsorted(index.edges, bar, side="right")
@@ -231,6 +235,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int =
         return session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = f"array<{rows.schema['vector'].dataType.elementType.simpleString()}>"
     wanted = max(sample, PER_CELL * min(CELLS, int(np.sqrt(count)))) if count > FLAT**2 else sample
+    wanted = max(1, min(wanted, SAMPLE_BYTES // (8 * len(rows.select("vector").first()["vector"]))))
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(wanted).toArrow()
     index = fit(unit(_matrix(taken["vector"])), taken["vec_id"].to_numpy(), count, target, k)
     asked = valid(queries, index.centroids.shape[1]).groupBy("vec_id").agg(F.min(F.col("vector").cast(kind)).alias("vector"), F.count("*").alias("copies"))
@@ -256,15 +261,18 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int =
             vectors, ids = unit(_matrix(batch.column(1))), batch.column(0).to_numpy()
             bar = bars_of(ix, vectors, ids, k)
             probes = ix.probes[np.searchsorted(ix.edges, bar, side="right")]
-            order = np.argsort(-(vectors @ ix.centroids.T), axis=1, kind="stable")
-            enough = (np.cumsum(held[order], axis=1) < k + batch.column(2).to_numpy()[:, None]).sum(axis=1) + 1
+            wanted = k + batch.column(2).to_numpy()
             out: list[tuple] = []
-            for i, n in enumerate(np.maximum(probes, enough).tolist()):
-                by_unit: dict[int, list[int]] = {}
-                for c in order[i, :n].tolist():
-                    for u in range(first.get(c, 0), first.get(c, 0) + parts.get(c, 0)):
-                        by_unit.setdefault(u, []).append(c)
-                out += [(u, i, cs) for u, cs in by_unit.items()]
+            step = max(1, PRODUCTS // len(ix.centroids))
+            for low in range(0, len(ids), step):
+                order = np.argsort(-(vectors[low : low + step] @ ix.centroids.T), axis=1, kind="stable")
+                enough = (np.cumsum(held[order], axis=1) < wanted[low : low + step, None]).sum(axis=1) + 1
+                for i, n in enumerate(np.maximum(probes[low : low + step], enough).tolist()):
+                    by_unit: dict[int, list[int]] = {}
+                    for c in order[i, :n].tolist():
+                        for u in range(first.get(c, 0), first.get(c, 0) + parts.get(c, 0)):
+                            by_unit.setdefault(u, []).append(c)
+                    out += [(u, low + i, cs) for u, cs in by_unit.items()]
             u, i, cs = zip(*out, strict=True) if out else ((), (), ())
             at = np.array(i, np.int64)
             return {"unit": pa.array(u, pa.int32()), "vec_id": pa.array(ids[at]), "vector": batch.column(1).take(pa.array(at)), "bar": pa.array(bar[at]), "cells": pa.array(cs, pa.list_(pa.int32()))}

@@ -84,6 +84,7 @@ def test_recall_of_the_final_five(spark, kind, seed):
 
 def test_two_levels_of_cells(spark, monkeypatch):
     monkeypatch.setattr(ann, "FLAT", 20)
+    monkeypatch.setattr(ann, "PRODUCTS", 200)
     x = _shaped("mixed", np.random.default_rng(5), 4000, 16)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
