@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 from quarry.llm.components import components
-from quarry.llm.wordbatch import mix
+from quarry.llm.wordbatch import mix, ordered_set
 
 SEED = 42
 PIVOTS = 24
@@ -106,15 +106,25 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, count)
 
 
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """Of each column of hashes (n x lanes) the 64 bits that are set in over half of them."""
+    lanes = hashes.shape[1]
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        block = np.ascontiguousarray(hashes[at : at + (1 << 13)], "<u8").view(np.uint8).reshape(-1, 8 * lanes)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def majority(hashes: np.ndarray) -> int:
     """The 64 bits that are set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        block = np.ascontiguousarray(hashes[at : at + (1 << 14)], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majorities(hashes[:, None])[0])
+
+
+with np.errstate(over="ignore"):
+    #: Multipliers and shifts of the permutations.
+    _TIMES = np.arange(1, 2 * ROWS * BANDS, 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    _PLUS = np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
 
 
 def minima(hashes: np.ndarray) -> list[int]:
@@ -122,11 +132,10 @@ def minima(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return [0] * BANDS
     low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 14):
-        block = hashes[at : at + (1 << 14)]
-        for k in range(ROWS * BANDS):
-            a, b = np.uint64(2 * k + 1) * np.uint64(0xD1342543DE82EF95), np.uint64(k + 1) * np.uint64(0x2545F4914F6CDD1D)
-            low[k] = min(low[k], ((block * a + b) ^ ((block * a + b) >> np.uint64(29))).min())
+    for at in range(0, len(hashes), 1 << 12):
+        moved = hashes[at : at + (1 << 12), None] * _TIMES + _PLUS
+        moved ^= moved >> np.uint64(29)
+        low = np.minimum(low, moved.min(axis=0))
     keys = mix(low.reshape(BANDS, ROWS) * np.arange(1, 2 * ROWS, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
@@ -181,7 +190,7 @@ def set_prints(texts: DataFrame, words: int, similarity: float, often) -> DataFr
             out: dict[str, list] = {x.split()[0]: [] for x in SET_SCHEMA.split(", ")[2:]}
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
-                    hashes = np.unique(shingle_hashes(text, words))
+                    hashes = ordered_set(shingle_hashes(text, words))
                     out["digest"].append(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
                     out["prints"].append(set_lanes(hashes))
                     out["keys"].append(minima(hashes))
@@ -197,8 +206,9 @@ def set_prints(texts: DataFrame, words: int, similarity: float, often) -> DataFr
     return common.map_steps(texts, make, SET_SCHEMA)
 
 
-def set_lanes(hashes: np.ndarray) -> list[np.int64]:
-    return [np.uint64(majority(hashes if not k else mix(hashes + np.uint64(k)))).astype(np.int64) for k in range(LANES)]
+def set_lanes(hashes: np.ndarray) -> list[int]:
+    """The fingerprint of LANES lanes, all of them at once."""
+    return majorities(np.column_stack([hashes, *(mix(hashes + np.uint64(k)) for k in range(1, LANES))])).view(np.int64).tolist()
 
 
 def _pigeonhole(distinct: DataFrame, radius: int, count: int):
@@ -428,7 +438,7 @@ def _often(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     def make():
         def work(batch):
-            hashes, count = np.unique(np.concatenate([np.unique(shingle_hashes(t, words)) for t in common.text_bytes(batch)]), return_counts=True)
+            hashes, count = np.unique(np.concatenate([ordered_set(shingle_hashes(t, words)) for t in common.text_bytes(batch)]), return_counts=True)
             return {"hash": pa.array(hashes.view(np.int64)), "count": pa.array(count)}
 
         return work
@@ -597,9 +607,9 @@ def _verified(units: DataFrame, distinct: DataFrame, texts: DataFrame, words: in
             prints, sets = [], []
             with np.errstate(over="ignore"):
                 for text in common.text_bytes(batch):
-                    hashes = np.unique(shingle_hashes(text, words))
+                    hashes = ordered_set(shingle_hashes(text, words))
                     prints.append(set_lanes(hashes))
-                    sets.append(np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes())
+                    sets.append(ordered_set(hashes >> np.uint64(32)).astype("<u4").tobytes())
             return {"rep": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())}
 
         return work
