@@ -52,6 +52,18 @@ class Hyperslab:
         return reduce(lambda x, y: x & y, parts)
 
 
+def local_ranges(slab: Hyperslab, chunk: tuple[int, ...], *coordinates: Column) -> list[tuple[Column, Column]]:
+    """For each dimension the range within a chunk (of that shape, at its coordinates) that holds its selected cells: first and past the last."""
+    out = []
+    for k, n, s, t, c, b in zip(coordinates, chunk, slab.start, slab.stride, slab.count, slab.block, strict=True):
+        low, high = F.greatest(F.lit(s).cast("long"), k * n), F.least(F.lit(s + (c - 1) * t + b).cast("long"), (k + 1) * n) - 1
+        over, under = F.pmod(low - s, F.lit(t)), F.pmod(high - s, F.lit(t))
+        first = F.when(over < b, low).otherwise(low + (t - over))
+        last = F.when(under < b, high).otherwise(high - under + (b - 1))
+        out.append((first - k * n, last + 1 - k * n))
+    return out
+
+
 def decoded_selection(data: bytes) -> tuple[str, Hyperslab | None, int]:
     """(all, none or hyperslab, the hyperslab, bytes read) of a serialized selection; regular hyperslabs of version 3 only, else ValueError."""
     if len(data) < 8:
@@ -190,11 +202,28 @@ def dimension_names(variables: DataFrame, dimensions: DataFrame) -> DataFrame:
     return v.join(d, ["size", "n"], "left").select("name", "axis", F.coalesce("dim", F.concat(F.lit("dim_"), F.col("size"))).alias("dim"))
 
 
-def verification_grid(shape: tuple[int, ...], element: int, target: int) -> tuple[int, ...]:
-    """A chunk shape of about ``target`` bytes: whole along the fastest dimensions, cut along the first that doesn't fit."""
-    left, out = max(1, target // element), []
-    for n in reversed(shape):
-        take = max(1, min(n, left))
-        out.append(take)
-        left = max(1, left // take)
-    return tuple(reversed(out))
+def verification_grid(shape: tuple[int, ...], element: int, target: int) -> tuple[int, ...] | None:
+    """The extents of a leaf of about ``target`` bytes that is one run of bytes; None where the whole, at most target times the root of two, is one leaf.
+
+    Dimensions are whole from the fastest on, as long as their run stays under target over the root of two; the one that exceeds it is cut into even parts, slower ones have extent 1.
+    """
+    if not shape or not target or not element or (math.prod(shape) * element) ** 2 <= 2 * target**2:
+        return None
+    run = element
+    for axis in range(len(shape) - 1, -1, -1):
+        whole = run * shape[axis]
+        if 2 * whole**2 > target**2:
+            return (*(1,) * axis, -(-shape[axis] // -(-whole // target)), *shape[axis + 1 :])
+        run = whole
+    return None
+
+
+def leaf_bytes(leaf: Column, shape: tuple[int, ...], grid: tuple[int, ...], element: int) -> tuple[Column, Column]:
+    """(first byte, bytes) of a leaf of a verification grid, leaves numbered in row-major order."""
+    start, size, rest, inner = F.lit(0).cast("long"), F.lit(element).cast("long"), leaf.cast("long"), element
+    for n, tile in zip(reversed(shape), reversed(grid), strict=True):
+        tiles = -(-n // tile)
+        at = F.pmod(rest, F.lit(tiles)) * tile
+        start, size = start + at * inner, size * F.least(F.lit(tile).cast("long"), n - at)
+        rest, inner = F.floor(rest / tiles), inner * n
+    return start, size

@@ -138,6 +138,26 @@ def dimension_match(spark, d):
     return arrays.dimension_names(v, dims)
 
 
+@query(f"WITH {_DENSE}, s AS (SELECT i0 // 16 AS chunk_i0, i1 // 16 AS chunk_i1, i0 % 16 AS a, i1 % 16 AS b FROM cells WHERE i0 >= 20 AND (i0 - 20) % 10 < 6 AND i0 < 20 + 3 * 10 + 6 AND i1 >= 5 AND i1 < 40) SELECT chunk_i0, chunk_i1, min(a) AS from_i0, max(a) + 1 AS to_i0, min(b) AS from_i1, max(b) + 1 AS to_i1 FROM s GROUP BY chunk_i0, chunk_i1")
+def chunk_local_ranges(spark, d):
+    """The part of each chunk that a selection covers, by arithmetic alone."""
+    slab = Hyperslab((20, 5), (10, 35), (4, 1), (6, 35))
+    chunks = _dense(spark, d).select(F.floor(F.col("i0") / 16).alias("chunk_i0"), F.floor(F.col("i1") / 16).alias("chunk_i1")).distinct()
+    (a, b), (c, e) = arrays.local_ranges(slab, (16, 16), F.col("chunk_i0"), F.col("chunk_i1"))
+    found = chunks.where(slab.touches((16, 16), F.col("chunk_i0"), F.col("chunk_i1"))).select("chunk_i0", "chunk_i1", a.alias("from_i0"), b.alias("to_i0"), c.alias("from_i1"), e.alias("to_i1"))
+    return found.where("from_i0 < to_i0 and from_i1 < to_i1")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT n, CAST(ceil(n / ceil(n * 256 / 4096.0)) AS BIGINT) AS tile FROM n), l AS (SELECT n, tile, unnest(range(0, CAST(ceil(n / tile) AS BIGINT))) AS leaf FROM g)
+        SELECT leaf, leaf * tile * 256 AS start, least(tile, n - leaf * tile) * 256 AS size FROM l""")
+def verification_leaves(spark, d):
+    """Byte ranges of the leaves of a contiguous array: the vectors, four bytes a component."""
+    shape = (table(spark, d, "embeddings").count(), 64)
+    grid = arrays.verification_grid(shape, 4, 4096)
+    start, size = arrays.leaf_bytes(F.col("id"), shape, grid, 4)
+    return spark.range(-(-shape[0] // grid[0])).select(F.col("id").alias("leaf"), start.alias("start"), size.alias("size"))
+
+
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
 _KINDS = "CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'FLOAT[]' THEN 'array<float>' WHEN data_type = 'DOUBLE[]' THEN 'array<double>' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE lower(data_type) END"
 

@@ -390,6 +390,13 @@ def exchange_pairs(spark, d):
     return guards.exchanges(table(spark, d, "conversations"))
 
 
+@query("SELECT event_type AS tag, min(event_id) AS id, round(arg_min(value, event_id), 6) AS value FROM events WHERE event_id % 10 <> 0 GROUP BY event_type")
+def tag_lookup(spark, d):
+    """The first active record of each tag."""
+    active = table(spark, d, "events").where("event_id % 10 <> 0")
+    return rounded(active.groupBy(F.col("event_type").alias("tag")).agg(F.min("event_id").alias("id"), F.min_by("value", "event_id").alias("value")), "value")
+
+
 @query("SELECT doc_id, source FROM documents WHERE source = 'src3' OR starts_with(source, 'src1')")
 def provenance_filter(spark, d):
     return table(spark, d, "documents").where((F.col("source") == "src3") | F.col("source").startswith("src1")).select("doc_id", "source")

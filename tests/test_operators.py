@@ -301,3 +301,28 @@ def test_merge_refuses_duplicates(spark):
     a = spark.createDataFrame([("x", 1)], "name string, n int")
     with pytest.raises(Exception, match="duplicate x"):
         tables.merged([a, a]).collect()
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=3), st.sampled_from([1, 4, 8]), st.integers(1, 2000))
+def test_verification_grid_follows_its_rule(shape, element, target):
+    grid = arrays.verification_grid(tuple(shape), element, target)
+    whole = math.prod(shape) * element
+    assert (grid is None) == (whole <= target * math.sqrt(2) or whole**2 <= 2 * target**2)
+    if grid:
+        cut = next(k for k, (n, g) in enumerate(zip(shape, grid, strict=True)) if g != 1 or n == 1 or k == len(shape) - 1)
+        assert all(g == 1 for g in grid[:cut]) or all(n == 1 for n in shape[:cut])
+        assert math.prod(grid) * element <= max(2 * target, element * 2)
+
+
+def test_leaves_lie_end_to_end(spark):
+    assert arrays.verification_grid((1000, 1000, 1000), 4, 1 << 20) == (1, 250, 1000)
+    shape = (7, 10, 4)
+    grid = arrays.verification_grid(shape, 4, 64)
+    tiles = math.prod(-(-n // g) for n, g in zip(shape, grid, strict=True))
+    start, size = arrays.leaf_bytes(F.col("id"), shape, grid, 4)
+    rows = [tuple(r) for r in spark.range(tiles).select(start, size).collect()]
+    at = 0
+    for a, n in sorted(rows):
+        assert a == at and n > 0
+        at += n
+    assert at == math.prod(shape) * 4 and rows == sorted(rows)
