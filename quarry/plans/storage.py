@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import uuid
 
@@ -31,7 +32,9 @@ def _local(spark, name: str) -> str:
     path = _fresh(spark, name)
     if not path.startswith(("file:", "/")):
         raise ValueError("plain files need a mounted shared folder")
-    return "/" + path.removeprefix("file:").lstrip("/")
+    path = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
 
 
 _CODECS = ["none", "snappy", "gzip", "zstd", "lz4"]
