@@ -256,7 +256,9 @@ def kept_index(rows: DataFrame, lists: int = 16, copies: int = 1) -> VectorIndex
     spark = rows.sparkSession
     about = json.dumps([sorted(rows.inputFiles()), rows.columns, lists, copies])
     folder = f"{shared_dir(spark).rstrip('/')}/vectors-{spark.sparkContext.applicationId}-{hashlib.sha256(about.encode()).hexdigest()[:16]}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows/_SUCCESS")
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path(f"{folder}/rows/_SUCCESS")):
         return VectorIndex.open(spark, folder)
+    files.delete(path(folder), True)  # what a build that failed has left
     return VectorIndex.build(rows, folder, lists, copies)
