@@ -455,12 +455,14 @@ def _groups(column: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
 
 
-def like_sizes(hashes: np.ndarray, sizes: np.ndarray, components: np.ndarray, similarity: float) -> np.ndarray:
-    """Which entries, sorted by hash and size, may have a partner: one of the hash's entries of a size near enough, where the hash has several components."""
+def like_sizes(hashes: np.ndarray, sizes: np.ndarray, components: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Which entries, sorted by hash and size, may have a partner: one of the hash's entries of a size near enough, where the hash has several components (None: it has)."""
     if not len(hashes):
         return np.zeros(0, bool)
     near = (hashes[1:] == hashes[:-1]) & (sizes[:-1] >= similarity * sizes[1:] - 1e-9)
     keep = np.r_[near, False] | np.r_[False, near]
+    if components is None:
+        return keep
     first = _groups(hashes)
     several = np.minimum.reduceat(components, first) != np.maximum.reduceat(components, first)
     return keep & np.repeat(several, np.diff(np.r_[first, len(hashes)]))
@@ -474,8 +476,14 @@ def _shared_rare(placed: DataFrame, similarity: float) -> DataFrame:
 
     def task(batches):
         held: list[np.ndarray] = []
-
-        def blocks(hashes, sizes, reps, components, named=True):
+        streamed = None  # a hash of very many texts, part of which has gone out: its block has the hash for a name
+
+        def blocks(hashes, sizes, reps, components):
+            if streamed is not None and len(hashes) and hashes[0] == streamed:
+                end = int(np.append(_groups(hashes), len(hashes))[1])
+                keep = like_sizes(hashes[:end], sizes[:end], None, similarity)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(hashes[:end][keep]), "rep": pa.array(reps[:end][keep])})
+                hashes, sizes, reps, components = hashes[end:], sizes[end:], reps[end:], components[end:]
             keep = like_sizes(hashes, sizes, components, similarity)
             hashes, reps = hashes[keep], reps[keep]
             if not len(hashes):
@@ -483,7 +491,7 @@ def _shared_rare(placed: DataFrame, similarity: float) -> DataFrame:
             first = _groups(hashes)
             n = np.diff(np.r_[first, len(hashes)])
             with np.errstate(over="ignore"):
-                block = np.add.reduceat(mix(reps.view(np.uint64)), first).view(np.int64) if named else hashes[first]
+                block = np.add.reduceat(mix(reps.view(np.uint64)), first).view(np.int64)
             _, at = np.unique(block, return_index=True)
             rows = np.repeat(first[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
             yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat(block[at], n[at])), "rep": pa.array(reps[rows])})
@@ -496,10 +504,11 @@ def _shared_rare(placed: DataFrame, similarity: float) -> DataFrame:
             cut = int(_groups(held[0])[-1])  # the last hash may go on in the next batch
             if cut:
                 yield from blocks(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-            elif len(held[0]) > ENTRIES and held[3].min() != held[3].max():  # one hash of very many texts: all but the last, beside which the next stands
-                yield from blocks(*(x[:-1] for x in held), named=False)
-                held = [np.r_[x[:1], x[-1:]] if k == 3 else x[-2:] for k, x in enumerate(held)]
+                held, streamed = [x[cut:] for x in held], None
+            if len(held[0]) > ENTRIES and (streamed is not None or held[3].min() != held[3].max() or len(held[0]) > 64 * ENTRIES):
+                streamed = held[0][0]
+                yield from blocks(*held)
+                held = [x[-1:] for x in held]  # beside the last stands the next
         if held:
             yield from blocks(*held)
 

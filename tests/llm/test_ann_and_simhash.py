@@ -342,3 +342,16 @@ def test_rows_of_a_hot_block_grow_with_its_size(spark, monkeypatch):
         classes = components(simhash._edges(first, 3, 1).distinct())
         made[n] = first.count() + simhash._rest_of_hot(keyed, classes).count()
     assert made[800] < 2.6 * made[400]
+
+
+@pytest.mark.parametrize("entries", [7, 50, 1 << 18])
+def test_a_hash_of_many_texts_is_one_block(spark, monkeypatch, entries):
+    monkeypatch.setattr(simhash, "ENTRIES", entries)
+    rows = [(k, [77, 1000 + k // 2], 10 + k // 40, k) for k in range(300)] + [(500 + k, [78], 4 ** (k + 1), 500 + k) for k in range(4)] + [(600 + k, [79], 9, 600) for k in range(100)]
+    placed = spark.createDataFrame(rows, "rep long, rare array<long>, size int, component long").repartition(1)
+    blocks = defaultdict(set)
+    for r in simhash._shared_rare(placed, 0.8).collect():
+        blocks[r["block"]].add(r["rep"])
+    found = sorted(map(sorted, blocks.values()), key=len)
+    assert found[-1] == list(range(300))  # all share 77; sizes go on without a gap
+    assert sorted(found[:-1]) == [[k, k + 1] for k in range(0, 300, 2)]  # 78: sizes apart; 79: one component
