@@ -92,12 +92,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 100, rate: flo
         return Model(weights.astype(np.float32), thresholds)
     # Only features that occur have weights; they are held by row and by feature, and sums run over either in order.
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    found, place = np.unique(np.concatenate(rows), return_inverse=True)
-    by_row = _cut(place.astype(np.uint32), lengths)
-    order = np.argsort(place, kind="stable")
-    owner = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) < 1 << 16 else np.uint32), lengths)[order]
-    by_feature = _cut(owner, np.bincount(place, minlength=len(found)))
-    del place, order, owner
+    there = np.zeros(1 << BITS, bool)
+    for r in rows:
+        there[r] = True
+    found, number = np.flatnonzero(there), (np.cumsum(there) - 1).astype(np.uint32)
+    place = np.empty(int(lengths.sum()), np.uint32)
+    at = 0
+    for r in rows:
+        place[at : at + len(r)] = number[r]
+        at += len(r)
+    by_row = _cut(place, lengths)
+    by_feature = _cut(_owners(place, lengths, len(found)), np.bincount(place, minlength=len(found)))
     small = np.zeros(len(found))
     squares, threshold_squares = np.full(len(found), 1e-10), np.full(GRADES - 1, 1e-10)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -122,6 +127,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 100, rate: flo
     return Model(weights.astype(np.float32), thresholds)
 
 
+def _owners(place: np.ndarray, lengths: np.ndarray, many: int) -> np.ndarray:
+    """The rows that hold each feature, feature by feature: a counting sort, BLOCK places at a time."""
+    count = np.bincount(place, minlength=many)
+    free = np.cumsum(count) - count
+    small = np.uint16 if len(lengths) < 1 << 16 else np.uint32
+    out, ends = np.empty(len(place), small), np.cumsum(lengths)
+    for low in range(0, len(place), BLOCK):
+        part = place[low : low + BLOCK]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        n = np.diff(np.r_[first, len(part)])
+        to = np.arange(len(part)) - np.repeat(first, n) + free[part]
+        out[to] = np.searchsorted(ends, low + order, side="right").astype(small)
+        free[part[first]] += n
+    return out
+
+
 def _cut(index: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(indices, lengths) of runs of groups, about BLOCK indices at a time."""
     ends = np.cumsum(lengths)
@@ -170,8 +193,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), IDS, side="right"))
     if fits < sizes.num_rows:
         made = made.where((F.col("place") < sizes["place"][fits].as_py()) | ((F.col("place") == sizes["place"][fits].as_py()) & (F.col("doc_id") < sizes["doc_id"][fits].as_py())))
-    rows = made.select("doc_id", "grade", "ids").toArrow().sort_by("doc_id")
-    model = fit([np.frombuffer(x, "<u4") for x in rows["ids"].to_pylist()], rows["grade"].to_numpy().astype(np.int64))
+    table = made.select("doc_id", "grade", "ids").toArrow()
+    order = np.argsort(table["doc_id"].to_numpy())
+    rows = [np.frombuffer(x.as_buffer(), "<u4") if len(x.as_buffer()) else np.zeros(0, "<u4") for x in table["ids"]]  # where they lie in the table
+    model = fit([rows[k] for k in order.tolist()], table["grade"].to_numpy()[order].astype(np.int64))
     common.forget(picked)
     common.forget(made)
     return model
