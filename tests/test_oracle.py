@@ -23,3 +23,21 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["id", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _against_sql(spark, name, folder, **tables):
+    """The query's rows and its SQL's over tables (lists of rows and a schema) that are put into ``folder``."""
+    import duckdb
+
+    db = duckdb.connect()
+    for table, frame in tables.items():
+        frame.coalesce(1).write.parquet(f"file://{folder}/{table}.parquet")
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    return normal(QUERIES[name](spark, f"file://{folder}").toPandas()), normal(db.sql(ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("start, n", [(0, 70_000), (65_000, 1_000), (70_000, 10), (0, 0)])
+def test_event_root_beyond_the_places_of_its_tree(spark, tmp_path, start, n):
+    events = spark.range(start, start + n).selectExpr("id AS event_id", "CASE WHEN id % 10 = 3 THEN NULL ELSE concat('kind', id % 7) END AS event_type", "CASE WHEN id % 11 = 5 THEN NULL ELSE id % 100 END AS user_id")
+    got, want = _against_sql(spark, "event_tree_root", tmp_path, events=events)
+    assert got == want and len(got) == 1
