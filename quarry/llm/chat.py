@@ -26,7 +26,6 @@ whose conv_id is null are one conversation. An empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-#: Turns that the query's own template is declared to need; conversations of so many turns are rendered whole at every turn.
+#: A window for templates that are declared to need no more turns; the query has none.
 WINDOW = 8
 #: Characters of texts up to which a declared window is tested against the whole conversation.
 CHECK_CHARS = 16 << 20
@@ -50,6 +49,8 @@ _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn
 
 
 def escape(text: str) -> str:
+    if "\\" not in text and OPEN not in text and CLOSE not in text:  # as whole prefixes are rendered, each text is seen many times
+        return text
     return _ESCAPED.sub(lambda m: "\\" + m.group(), text)
 
 
@@ -75,8 +76,20 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _shared(a: str, b: str) -> int:
-    """Length of the common start."""
-    return len(os.path.commonprefix([a, b]))
+    """Length of the common start, by halves of the first part that differs."""
+    low, high, step = 0, min(len(a), len(b)), 256
+    while low < high and a[low : low + step] == b[low : low + step]:
+        low, step = low + step, 2 * step
+    if low >= high:
+        return high
+    high = min(high, low + step)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _text_span(renderer: Renderer, before: list[tuple[str, str]], role: str, text: str, after: list[tuple[str, str]], whole: str) -> tuple[int, int] | None:

@@ -75,6 +75,26 @@ def test_a_window_must_be_true(spark):
     assert "".join(r["formatted"] for r in chat.formatted(rows, TEMPLATES["end mark"]).orderBy("turn").collect()) == TEMPLATES["end mark"]([("user", f"turn {k}") for k in range(40)])
 
 
+def test_op3_renders_whole_prefixes(spark, tmp_path, monkeypatch):
+    """A template whose turns have numbers is read back by the query as it is for all turns, beyond any window."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} </turn>") for k in range(40)] + [(2, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    real, numbered = chat.formatted, lambda turns: chat.render([(f"{k} {r}", t) for k, (r, t) in enumerate(turns)])
+    monkeypatch.setattr(chat, "formatted", lambda rows, **k: real(rows, numbered, **k))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["formatted_chars"]) for r in queries.op3_chat_spans(spark, f"file://{tmp_path}").collect()}
+    turns = [(f"{k} {r}", t) for _, k, r, t in rows[:40]]
+    assert got[1] == (40, SHA("".join(f"{r}\n{t}\n" for r, t in turns)), sum(len(t) for _, t in turns[1::2]), len(chat.render(turns)))
+
+
+def test_common_starts():
+    import os.path
+
+    for n in (0, 1, 255, 256, 257, 511, 768, 5000):
+        for k in {0, n // 2, max(0, n - 1), n}:
+            a, b = "é" * n, "é" * k + "b" * 700
+            assert chat._shared(a, b) == chat._shared(b, a) == len(os.path.commonprefix([a, b])) == min(k, n)
+
+
 def test_templates_that_rewrite_are_found():
     trimming = lambda turns: "".join(f"<{r}>{t if k == len(turns) - 1 else t[:3]}</{r}>" for k, (r, t) in enumerate(turns))
     before = [("user", "long question")]
