@@ -1,7 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-Tokens of a text are its words (A-Z as a-z) and one end. A token's context is the word before it, known by ``bits`` bits
-of its hash; there are so many contexts as the text has units of CONTEXT_BYTES, 2**BITS[1] at most, so what is learnt of word pairs grows with the corpus.
+Tokens of a text are its words (A-Z as a-z) and one end. A token's context is the word before it, whichever it is (the first token's: the start of the text).
+The 2**BITS[0] - 2 most common words of a sample are contexts by number, all others by BITS[1] - 1 bits of their hash.
 Each context is a restaurant; all share
 one parent, the restaurant of words without context, whose own base gives each known word, and
 all unknown ones together, 1 / (V + 1).
@@ -17,7 +17,9 @@ customers. After BURN sweeps, KEPT seatings are kept, and predictive probabiliti
 
 Distribution. Words are known by 64-bit hashes. Each task counts its (word, context) pairs and sends one
 packed row to each bucket; a bucket holds all counts of its words and is seated by
-itself, with only the restaurants' totals shared (a number for each context). The HOT most common words of a sample would make hot buckets; their pairs
+itself, with only the totals of restaurants shared. Those of numbered contexts go to all tasks; for the others, at any number of them, each
+bucket asks before every sweep and at the end: its contexts and sums travel to the contexts' groups, are added there, and the totals travel back. It asks for the contexts of held-out
+tokens too (they are dealt as pairs with no customers), so every token to be scored finds its restaurant. The HOT most common words of a sample would make hot buckets; their pairs
 are dealt to buckets by word and context, and their places at the parent are totals as those of contexts are, seated on the driver. To score, pairs of hot words
 with very many customers go to all tasks as one table, PAIRS at most; other tokens travel, packed, to their pair's bucket, and sums of log probabilities travel back to the documents' chunk.
 Buckets follow from the bytes of text (BUCKET_BYTES each); a run of tokens is dealt to FAN of them at most, and where there are more, in two steps: to groups of buckets,
@@ -31,19 +33,22 @@ tokens are unknown. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common, wordbatch
 
-#: Bits of a context, least and most, and bytes of text for each context.
-BITS, CONTEXT_BYTES = (8, 20), 1 << 13
+#: Bits of a numbered context and of any context; groups of the contexts that have no number, and buckets for one more.
+BITS = (17, 40)
+GROUPS, GROUP_BUCKETS = 1024, 4
 HOT, SAMPLE = 16_384, 20_000
 PAIRS = 1 << 20
 BURN, KEPT = 2, 2
@@ -60,6 +65,31 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+class Bits(int):
+    """The bits of a context, with the sorted hashes of the words that are contexts by number."""
+
+    numbered: np.ndarray
+
+    def __new__(cls, bits: int, numbered: np.ndarray):
+        self = super().__new__(cls, bits)
+        self.numbered = numbered
+        return self
+
+    def __reduce__(self):
+        return Bits, (int(self), self.numbered)
+
+
+def contexts(word: np.ndarray, bits: int) -> np.ndarray:
+    """The context that each word is: its number from 1 on, or bits of its hash after a first bit that is set."""
+    top = 1 << (int(bits) - 1)
+    own = (wordbatch.mix(word + np.uint64(77)) & np.uint64(top - 1)).astype(np.int64) | top
+    numbered = getattr(bits, "numbered", own[:0])
+    if not len(numbered):
+        return own
+    at = np.minimum(np.searchsorted(numbered, word), len(numbered) - 1)
+    return np.where(numbered[at] == word, at + 1, own)
+
+
 def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, text number) of every token, the end of each text included."""
     words = wordbatch.split(texts)
@@ -70,7 +100,7 @@ def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     word[last], owner[last] = END, np.arange(len(texts))
     word[place], owner[place] = words.hashes(), words.owner
     context = np.full(len(word), START_CONTEXT, np.int64)
-    context[place + 1] = wordbatch.mix(word[place] + np.uint64(77)) & np.uint64((1 << bits) - 1)
+    context[place + 1] = contexts(word[place], bits)
     return word, context, owner
 
 
@@ -78,11 +108,22 @@ def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
 class Deal:
     """How pairs are named and dealt. A pair's key is ``place of its word << bits | context``: places under ``places`` are those of hot words, others follow a row's own list of words."""
 
-    bits: int
+    bits: Bits
     buckets: int
     hot: np.ndarray  # sorted hashes, ``places`` at most
     places: int
     group: int  # buckets that are dealt to as one in the first step
+    wide: int  # numbers of contexts; the last stands for all contexts without a number together
+
+    @property
+    def groups(self) -> int:
+        """Groups of the contexts without a number."""
+        return max(min(self.buckets, GROUPS), self.buckets // GROUP_BUCKETS)
+
+    def asked(self, key: np.ndarray) -> np.ndarray:
+        """The contexts without a number among the keys', in order."""
+        context = key & ((1 << self.bits) - 1)
+        return wordbatch.ordered_set(context[context >= self.wide])
 
     def named(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own words in order, key of each token)."""
@@ -123,6 +164,15 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts, in four bytes each where they fit."""
+    return b"8" + _pack(x.astype("<u8")) if len(x) and int(x.max()) >> 32 else b"4" + _pack(x.astype("<u4"))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return _unpack(data[1:], "<u8" if data[:1] == b"8" else "<u4").astype(np.int64)
+
+
 def _pack_keys(key: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted keys as differences: 16 low bits as they are, the rest packed."""
     step = np.diff(key, prepend=0)
@@ -169,26 +219,33 @@ def _read_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame, deal: Deal) -> DataFrame:
-    """A row for each bucket of each run of a task's training tokens: its pairs and their counts, packed."""
+    """A row for each bucket of each run of a task's training tokens: its pairs and their counts, packed. Pairs of held-out tokens whose context has no number go along with a count of 0."""
     shared = docs.sparkSession.sparkContext.broadcast(deal)  # HOT hashes
 
     def task(batches):
         deal, held, size = shared.value, [], 0
 
         def flush():
-            word, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, context, learnt = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             words, key = deal.named(word, context)
-            key, count = np.unique(key, return_counts=True)
+            del word, context
+            other = wordbatch.ordered_set(key[~learnt])
+            key, count = np.unique(key[learnt], return_counts=True)
+            if len(other):
+                key, count = _summed(np.concatenate([key, other]), np.concatenate([count, np.zeros(len(other), np.int64)]))
             for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
                 yield _counts_row(b, own, mine, count[at])
 
         for batch in batches:
             for part in common.steps(batch):
-                learn = [t for i, t in zip(part.column(0).to_pylist(), common.text_bytes(part), strict=True) if not held_out(i)]
-                if learn:
-                    word, context, _ = tokens(learn, deal.bits)
-                    held.append((word, context))
-                    size += len(word)
+                learn = np.array([not held_out(i) for i in part.column(0).to_pylist()], bool)
+                word, context, owner = tokens(common.text_bytes(part), deal.bits)
+                learnt = learn[owner]
+                some = learnt | (context >= deal.wide)
+                if some.any():
+                    held.append((word[some], context[some], learnt[some]))
+                    size += len(held[-1][0])
                 if size >= TOKENS:
                     yield from flush()
                     held, size = [], 0
@@ -226,7 +283,8 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
     return rows.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt").mapInArrow(again, COUNTS)
 
 
-STATE = "bucket int, words binary, low binary, high binary, count binary, tables binary, parent binary, kept array<binary>, kept_parent array<binary>, sums binary, facts array<long>"
+#: also: contexts of held-out tokens, which have no number and no pair here; kept_rare: tables of all asked contexts, of kept seatings.
+STATE = "bucket int, words binary, low binary, high binary, count binary, tables binary, parent binary, kept array<binary>, kept_parent array<binary>, also array<binary>, kept_rare array<binary>, sums binary, facts array<long>"
 #: Places in ``facts``: words that aren't hot, pairs with 1 and 2 customers, words with 1 and 2 customers at the parent, the parent's tables of these words; then pairs of hot words by count.
 _LEVELS, _N_LEVELS = 6, 256
 _N_FACTS = _LEVELS + _N_LEVELS
@@ -239,9 +297,9 @@ def level(count: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Totals:
-    """What all buckets share: numbers for each context and hot word, and a few more."""
+    """What all buckets share: numbers for each numbered context and hot word, and a few more."""
 
-    customers: np.ndarray  # by context
+    customers: np.ndarray  # by number of a context; the last are those of all other contexts
     tables: np.ndarray
     hot_counts: np.ndarray
     hot_customers: np.ndarray  # at the parent
@@ -260,8 +318,12 @@ class Totals:
         return (customers - d * tables + (s + d * self.parent_tables) * self.base) / (s + self.tables.sum())
 
     def probability(self, count, tables, context, parent):
+        return self.served(count, tables, self.customers[context], self.tables[context], parent)
+
+    def served(self, count, tables, customers, all_tables, parent):
+        """The probability of a dish in a restaurant with so many customers and tables."""
         d, s = self.discount[1], STRENGTH[1]
-        return (count - d * tables + (s + d * self.tables[context]) * parent) / (s + self.customers[context])
+        return (count - d * tables + (s + d * all_tables) * parent) / (s + customers)
 
 
 def reseat(customers: np.ndarray, others: np.ndarray, discount: float, strength: float, base, draw: np.random.Generator, exact: int = EXACT) -> np.ndarray:
@@ -285,11 +347,11 @@ def reseat(customers: np.ndarray, others: np.ndarray, discount: float, strength:
     return out
 
 
-def _state(deal: Deal, bucket: int, words, key, count, tables, parent, kept: list, kept_parent: list) -> dict:
+def _state(deal: Deal, bucket: int, words, key, count, tables, parent, kept: list, kept_parent: list, also: list, kept_rare: list) -> dict:
     """A bucket's row; ``parent`` has the words that aren't hot."""
-    context, place = key & ((1 << deal.bits) - 1), key >> deal.bits
+    wide = deal.wide
+    context, place = np.minimum(key & ((1 << deal.bits) - 1), wide - 1), key >> deal.bits
     hot = place < deal.places
-    wide = 1 << deal.bits
     sums = np.concatenate([
         np.bincount(context, count, wide), np.bincount(context, tables, wide), np.bincount(place[hot], count[hot], deal.places), np.bincount(place[hot], tables[hot], deal.places),
     ]).round().astype("<i8")
@@ -301,6 +363,7 @@ def _state(deal: Deal, bucket: int, words, key, count, tables, parent, kept: lis
     return {
         "bucket": pa.array([bucket], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "low": pa.array([low], pa.binary()), "high": [high], "count": [_pack(count.astype("<u8"))],
         "tables": [_pack(tables.astype("<u8"))], "parent": [_pack(parent.astype("<u8"))], "kept": pa.array([kept], pa.list_(pa.binary())), "kept_parent": pa.array([kept_parent], pa.list_(pa.binary())),
+        "also": pa.array([also], pa.list_(pa.binary())), "kept_rare": pa.array([kept_rare], pa.list_(pa.binary())),
         "sums": [_pack(sums)], "facts": pa.array([facts.tolist()], pa.list_(pa.int64())),
     }
 
@@ -314,7 +377,17 @@ def gathered(counts: DataFrame, deal: Deal) -> DataFrame:
         parts = [_read_counts(r) for r in table.to_pylist()]
         words, keys = _joined(deal, [(w, k) for w, k, _ in parts])
         key, count = _summed(np.concatenate(keys), np.concatenate([c for _, _, c in parts]))
-        return pa.Table.from_pydict(_state(deal, table["bucket"][0].as_py(), words, key, count, np.ones(len(key), np.int64), np.ones(len(words), np.int64), [], []), schema=_SCHEMA)
+        asked = deal.asked(key)
+        key, count = key[count > 0], count[count > 0]
+        also = np.setdiff1d(asked, deal.asked(key), assume_unique=True)
+        place = key >> deal.bits
+        used = np.zeros(len(words), bool)
+        used[place[place >= deal.places] - deal.places] = True
+        gone = np.cumsum(~used)  # words that only held-out tokens have
+        own = place >= deal.places
+        key[own] -= gone[place[own] - deal.places] << deal.bits
+        words = words[used]
+        return pa.Table.from_pydict(_state(deal, table["bucket"][0].as_py(), words, key, count, np.ones(len(key), np.int64), np.ones(len(words), np.int64), [], [], [*_pack_keys(also)], []), schema=_SCHEMA)
 
     return counts.groupBy("bucket").applyInArrow(merge, STATE)
 
@@ -323,36 +396,105 @@ _KINDS = {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.i
 _SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in STATE.split(", ")])
 
 
-def swept(state: DataFrame, deal: Deal, totals: Totals, sweep: int, keep: bool, seed: int = 1, exact: int = EXACT) -> DataFrame:
-    """One Gibbs sweep over all buckets."""
-    shared = state.sparkSession.sparkContext.broadcast((deal, totals))  # two numbers for each context and hot word
+ASKED = "group int, bucket int, contexts_low binary, contexts_high binary, customers binary, tables binary"
+ANSWERS = "bucket int, group int, customers binary, tables binary"
+
+
+def asked(state: DataFrame, deal: Deal) -> DataFrame:
+    """A row for each bucket and group of contexts without a number: the contexts that the bucket asks for, and its customers and tables in each."""
+    shared = state.sparkSession.sparkContext.broadcast(deal)
 
     def task(batches):
-        deal, now = shared.value
+        deal = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                words, key, count = _read_counts(row)
-                tables, parent = _unpack(row["tables"], "<u8").astype(np.int64), _unpack(row["parent"], "<u8").astype(np.int64)
-                draw = np.random.default_rng([seed, sweep, row["bucket"]])
-                place, context = key >> deal.bits, key & ((1 << deal.bits) - 1)
-                own = np.flatnonzero(place >= deal.places)
-                hot = np.flatnonzero(place < deal.places)
-                at_parent = np.empty(len(key), np.int64)  # the dish's customers and tables at the parent
-                seats = np.empty(len(key), np.int64)
-                mine = place[own] - deal.places
-                at_parent[own], seats[own] = np.bincount(mine, tables[own], len(words)).astype(np.int64)[mine], parent[mine]
-                at_parent[hot], seats[hot] = now.hot_customers[place[hot]], now.hot_parent[place[hot]]
-                many = np.flatnonzero(count > 1)
-                left = np.maximum(at_parent[many] - tables[many], 0)  # without this context's
-                base = now.parent_probability(left, np.minimum(seats[many], left))
-                tables[many] = reseat(count[many], now.tables[context[many]] - tables[many], now.discount[1], STRENGTH[1], base, draw, exact)
-                customers = np.bincount(mine, tables[own], len(words)).astype(np.int64)
-                parent = reseat(customers, now.parent_tables - parent, now.discount[0], STRENGTH[0], now.base, draw, exact)
-                kept = [*row["kept"], _pack(tables.astype("<u4"))] if keep else row["kept"]
-                kept_parent = [*row["kept_parent"], _pack(np.column_stack([customers, parent]).astype("<u4"))] if keep else row["kept_parent"]
-                yield pa.RecordBatch.from_pydict(_state(deal, row["bucket"], words, key, count, tables, parent, kept, kept_parent), schema=_SCHEMA)
-
-    return state.mapInArrow(task, STATE)
+                _, key, count = _read_counts(row)
+                ask = _asked(deal, key, row["also"])
+                context = key & ((1 << deal.bits) - 1)
+                rare = np.flatnonzero(context >= deal.wide)
+                at = np.searchsorted(ask, context[rare])
+                sums = [np.bincount(at, x[rare], len(ask)).round().astype(np.int64) for x in (count, _unpack(row["tables"], "<u8").astype(np.int64))]
+                half = int(deal.bits) - 1
+                group = ((ask - (1 << half)) >> max(0, half - 32)) * deal.groups >> min(half, 32)  # it grows with the context
+                first = _groups(group)
+                rows = []
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ask)], strict=False):
+                    rows.append((int(group[a]), row["bucket"], *_pack_keys(ask[a:b]), _pack_counts(sums[0][a:b]), _pack_counts(sums[1][a:b])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ASKED, strict=True)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+    return state.select("bucket", "words", "low", "high", "count", "tables", "also").mapInArrow(task, ASKED)
+
+
+_ASKED = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _asked(deal: Deal, key: np.ndarray, also: list) -> np.ndarray:
+    """The contexts without a number that a bucket needs, in order."""
+    return wordbatch.ordered_set(np.concatenate([deal.asked(key), _unpack_keys(*also)]))
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """For each row of ``asked`` the customers and tables that its contexts have in all buckets. No bucket asks twice for a context, so groups are as even as the hash."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [_unpack_keys(r["contexts_low"], r["contexts_high"]) for r in rows]
+        some, place = np.unique(np.concatenate(parts), return_inverse=True)
+        edge = np.cumsum([0, *map(len, parts)])
+        out = {"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "group": pa.array([r["group"] for r in rows], pa.int32())}
+        for name in ("customers", "tables"):
+            sums = np.bincount(place, np.concatenate([_unpack_counts(r[name]) for r in rows]), len(some)).round().astype(np.int64)[place]
+            out[name] = pa.array([_pack_counts(sums[a:b]) for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+        return pa.Table.from_pydict(out)
+
+    return asked.groupBy("group").applyInArrow(add, ANSWERS)
+
+
+def _read_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of the contexts that a bucket has asked for, in their order."""
+    rows = sorted(rows, key=lambda r: r["group"])
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate([*(_unpack_counts(r[name]) for r in rows), *none]) for name in ("customers", "tables"))
+
+
+def swept(state: DataFrame, deal: Deal, totals: Totals, sweep: int, keep: bool, seed: int = 1, exact: int = EXACT) -> DataFrame:
+    """One Gibbs sweep over all buckets."""
+    shared = state.sparkSession.sparkContext.broadcast((deal, totals))  # two numbers for each numbered context and hot word
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        deal, now = shared.value
+        _, rare_tables = _read_answers(right.to_pylist())
+        out = []
+        for row in left.to_pylist():
+            words, key, count = _read_counts(row)
+            tables, parent = _unpack(row["tables"], "<u8").astype(np.int64), _unpack(row["parent"], "<u8").astype(np.int64)
+            draw = np.random.default_rng([seed, sweep, row["bucket"]])
+            place, context = key >> deal.bits, key & ((1 << deal.bits) - 1)
+            own = np.flatnonzero(place >= deal.places)
+            hot = np.flatnonzero(place < deal.places)
+            at_parent = np.empty(len(key), np.int64)  # the dish's customers and tables at the parent
+            seats = np.empty(len(key), np.int64)
+            mine = place[own] - deal.places
+            at_parent[own], seats[own] = np.bincount(mine, tables[own], len(words)).astype(np.int64)[mine], parent[mine]
+            at_parent[hot], seats[hot] = now.hot_customers[place[hot]], now.hot_parent[place[hot]]
+            many = np.flatnonzero(count > 1)
+            all_tables = now.tables[np.minimum(context[many], deal.wide - 1)]
+            rare = np.flatnonzero(context[many] >= deal.wide)
+            all_tables[rare] = rare_tables[np.searchsorted(_asked(deal, key, row["also"]), context[many[rare]])]
+            left = np.maximum(at_parent[many] - tables[many], 0)  # without this context's
+            base = now.parent_probability(left, np.minimum(seats[many], left))
+            tables[many] = reseat(count[many], all_tables - tables[many], now.discount[1], STRENGTH[1], base, draw, exact)
+            customers = np.bincount(mine, tables[own], len(words)).astype(np.int64)
+            parent = reseat(customers, now.parent_tables - parent, now.discount[0], STRENGTH[0], now.base, draw, exact)
+            kept = [*row["kept"], _pack(tables.astype("<u4"))] if keep else row["kept"]
+            kept_parent = [*row["kept_parent"], _pack(np.column_stack([customers, parent]).astype("<u4"))] if keep else row["kept_parent"]
+            kept_rare = [*row["kept_rare"], _pack_counts(rare_tables)] if row["kept"] else []  # of the seating before
+            out.append(pa.Table.from_pydict(_state(deal, row["bucket"], words, key, count, tables, parent, kept, kept_parent, row["also"], kept_rare), schema=_SCHEMA))
+        return pa.concat_tables(out) if out else _SCHEMA.empty_table()
+
+    answers = answered(asked(state, deal))
+    return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(task, STATE)
 
 
 def _totals(state: DataFrame, deal: Deal, seed: int, exact: int) -> Totals:
@@ -367,7 +509,7 @@ def _totals(state: DataFrame, deal: Deal, seed: int, exact: int) -> Totals:
     while many > 32:
         many = -(-many // 32)
         rows = rows.withColumn("bucket", F.floor(F.col("bucket") / 32).cast("int")).groupBy("bucket").applyInArrow(add, "bucket int, sums binary, facts array<long>")
-    wide = 1 << deal.bits
+    wide = deal.wide
     sums, facts = np.zeros(2 * wide + 2 * deal.places, np.int64), np.zeros(_N_FACTS, np.int64)
     for r in rows.select("sums", "facts").toLocalIterator():  # 32 rows
         sums += _unpack(r["sums"], "<i8")
@@ -399,8 +541,8 @@ class Fitted:
         return self.samples[-1]
 
 
-def hot_words(docs: DataFrame, rows: int) -> np.ndarray:
-    """Sorted hashes of the HOT most common tokens of about SAMPLE texts."""
+def common_words(docs: DataFrame, rows: int, most: int) -> np.ndarray:
+    """Hashes of the most common tokens of about SAMPLE texts, the most common one first."""
 
     def make():
         def work(batch):
@@ -412,23 +554,38 @@ def hot_words(docs: DataFrame, rows: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows // SAMPLE))) == 0)
     found = common.map_steps(some, make, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    return np.sort(found.orderBy(F.desc("count"), "word").limit(HOT).toArrow()["word"].to_numpy().view(np.uint64))
+    return found.orderBy(F.desc("count"), "word").limit(most).toArrow()["word"].to_numpy().view(np.uint64)
 
 
 def dealing(docs: DataFrame) -> Deal:
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = int(np.clip(int(max(1, size // CONTEXT_BYTES)).bit_length() - 1, *BITS))
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    return Deal(bits, buckets, hot_words(docs, rows), HOT, -(-buckets // FAN))
+    wide = 1 << min(BITS[0], BITS[1] - 1)
+    words = common_words(docs, rows, max(HOT, wide - 2))
+    return Deal(Bits(BITS[1], np.sort(words[: wide - 2])), buckets, np.sort(words[:HOT]), HOT, -(-buckets // FAN), wide)
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fit(docs: DataFrame, seed: int = 1, exact: int = EXACT) -> Fitted:
     """Counts, seats and keeps KEPT seatings for the training rows of ``docs`` (doc_id, text)."""
     deal = dealing(docs)
-    state = common.written(gathered(counted(docs, deal), deal), "seats")
+    with _shuffles_dropped(docs.sparkSession):
+        state = common.written(gathered(counted(docs, deal), deal), "seats")
     totals, samples = _totals(state, deal, seed, exact), []
     for sweep in range(BURN + KEPT):
-        after = common.written(swept(state, deal, totals, sweep, sweep >= BURN, seed, exact), "seats")
+        with _shuffles_dropped(docs.sparkSession):
+            after = common.written(swept(state, deal, totals, sweep, sweep >= BURN, seed, exact), "seats")
         common.forget(state)
         state, totals = after, _totals(after, deal, seed, exact)
         if sweep >= BURN:
@@ -439,7 +596,7 @@ def fit(docs: DataFrame, seed: int = 1, exact: int = EXACT) -> Fitted:
 class Bucket:
     """A bucket's pairs, ready to give predictive probabilities; without a row it knows no word."""
 
-    def __init__(self, deal: Deal, samples: list[Totals], row: dict | None):
+    def __init__(self, deal: Deal, samples: list[Totals], row: dict | None, answers: list[dict] = ()):
         self.deal, self.samples = deal, samples
         self.hot = [s.parent_probability(s.hot_customers, s.hot_parent) for s in samples]
         self.hot_counts = samples[-1].hot_counts
@@ -448,6 +605,9 @@ class Bucket:
         seats = [_unpack(x, "<u4").reshape(-1, 2).astype(np.int64) for x in row["kept_parent"]] if row else [np.zeros((0, 2), np.int64) for _ in samples]
         self.parents = [s.parent_probability(p[:, 0], p[:, 1]) for s, p in zip(samples, seats, strict=True)]
         place = self.key >> deal.bits
+        self.asked = _asked(deal, self.key, row["also"]) if row and answers else self.key[:0]
+        self.rare_customers, last = _read_answers(answers)
+        self.rare_tables = [*(_unpack_counts(x) for x in row["kept_rare"]), last] if row and answers else [last for _ in samples]
         self.total = np.bincount(place[place >= deal.places] - deal.places, self.count[place >= deal.places], len(self.words)).round().astype(np.int64)
 
     def scores(self, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,17 +627,22 @@ class Bucket:
         found = np.minimum(np.searchsorted(self.key, asked), max(len(self.key) - 1, 0))
         there = self.key[found] == asked if len(self.key) else np.zeros(len(key), bool)
         count = np.where(there, self.count[found], 0) if len(self.key) else np.zeros(len(key), np.int64)
+        number = np.minimum(context, self.deal.wide - 1)
+        rare = np.flatnonzero(context >= self.deal.wide)
+        at_rare = np.searchsorted(self.asked, context[rare])
         total = np.zeros(len(key))
-        for s, tables, parents, of_hot in zip(self.samples, self.tables, self.parents, self.hot, strict=True):
+        for s, tables, parents, of_hot, rare_tables in zip(self.samples, self.tables, self.parents, self.hot, self.rare_tables, strict=True):
             above = np.full(len(key), s.parent_probability(0, 0))
             above[hot] = np.where(seen[hot] > 0, of_hot[place[hot]], above[hot])
             above[own[known[mine]]] = parents[at[mine[known[mine]]]] if len(self.words) else 0
-            total += s.probability(count, np.where(there, tables[found], 0) if len(self.key) else 0, context, above)
+            customers, all_tables = s.customers[number], s.tables[number]
+            customers[rare], all_tables[rare] = self.rare_customers[at_rare], rare_tables[at_rare]
+            total += s.served(count, np.where(there, tables[found], 0) if len(self.key) else 0, customers, all_tables, above)
         return seen, np.log10(total / len(self.samples))
 
 
 def common_pairs(fitted: Fitted) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, log10 probability) of the most common pairs of hot words: PAIRS at most."""
+    """(keys in order, log10 probability) of the most common pairs of hot words in numbered contexts: PAIRS at most."""
     above = np.cumsum(fitted.last.levels[::-1])[::-1]
     least = int(np.argmax(above <= PAIRS)) if (above <= PAIRS).any() else _N_LEVELS
     shared = fitted.state.sparkSession.sparkContext.broadcast((fitted.deal, fitted.samples))
@@ -487,12 +652,12 @@ def common_pairs(fitted: Fitted) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for row in batch.to_pylist():
                 bucket = Bucket(deal, samples, row)
-                key = bucket.key[(bucket.key >> deal.bits < deal.places) & (level(bucket.count) >= least)]
+                key = bucket.key[(bucket.key >> deal.bits < deal.places) & (bucket.key & ((1 << deal.bits) - 1) < deal.wide) & (level(bucket.count) >= least)]
                 if len(key):
                     _, score = bucket.scores(np.zeros(0, np.uint64), key)
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key), "score": pa.array(score, pa.float32())})
 
-    rows = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent").mapInArrow(task, "key long, score float").toArrow()
+    rows = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent", "also", "kept_rare").mapInArrow(task, "key long, score float").toArrow()
     key, score = rows["key"].to_numpy(), rows["score"].to_numpy()
     order = np.argsort(key)
     return key[order], score[order]
@@ -533,9 +698,11 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
         def flush():
             nonlocal chunk
             word, context, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             sums = np.zeros((5, len(ids)))
             sums[0] = np.bincount(owner, minlength=len(ids))
             words, key = deal.named(word, context)
+            del word, context
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             cut = int(np.searchsorted(key, deal.places << deal.bits))
@@ -626,13 +793,19 @@ def scored(docs: DataFrame, seed: int = 1, exact: int = EXACT) -> DataFrame:
     total = int(last.customers.sum())
     denominator = float(np.log10(total + last.words + 1))
     parts = dealt(texts, common_pairs(fitted), fitted)
-    state = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent")
+    state = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent", "also", "kept_rare")
+    answers = answered(asked(fitted.state, fitted.deal))
+    blank = [F.lit(None).cast("binary").alias(c) for c in ("docs", "chunk", "doc", "words")]
+    parts = parts.unionByName(answers.select(F.col("group").cast("long").alias("to"), "bucket", *blank, F.col("customers").alias("low"), F.col("tables").alias("high"), F.lit(None).cast("binary").alias("place")))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums over a bucket's tokens for each chunk; rows with documents go on as they are."""
         deal, samples = shared.value
         out: dict[str, list] = {x.split()[0]: [] for x in SUMS.split(", ")}
-        bucket = Bucket(deal, samples, left.to_pylist()[0] if left.num_rows else None)
+        is_answer = pc.and_(pc.is_null(right["docs"]), pc.is_null(right["place"]))
+        answers = [{"group": r["to"], "customers": r["low"], "tables": r["high"]} for r in right.filter(is_answer).select(["to", "low", "high"]).to_pylist()]
+        right = right.filter(pc.invert(is_answer))
+        bucket = Bucket(deal, samples, left.to_pylist()[0] if left.num_rows else None, answers)
         for batch in right.to_batches(max_chunksize=64):
             for r in batch.to_pylist():
                 if r["docs"] is not None:

@@ -99,6 +99,44 @@ def test_op5_scores_equal_brute_force(spark, monkeypatch, hot):
         assert got[r["doc_id"]] == pytest.approx(total, rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("numbered, fan", [(17, 2048), (3, 2048), (3, 3), (1, 2048)])
+def test_each_word_is_a_context_of_its_own(spark, monkeypatch, numbered, fan):
+    """Pairs are those of the words themselves, and tokens in contexts without a number, held-out ones too, are scored from their restaurant's totals over all buckets."""
+    monkeypatch.setattr(pitman, "BITS", (numbered, 40))
+    monkeypatch.setattr(pitman, "FAN", fan)
+    monkeypatch.setattr(pitman, "BUCKET_BYTES", 16_384)
+    monkeypatch.setattr(pitman, "HOT", 20)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(80).select("doc_id", "text")
+    held, real = [], pitman.fit
+    monkeypatch.setattr(pitman, "fit", lambda *a, **k: held.append(real(*a, **k)) or held[-1])
+    got = {r["doc_id"]: r["score"] for r in pitman.scored(docs).collect()}
+    fitted, rows = held[0], docs.collect()
+    pairs, parents = _state_of(fitted)
+    want = Counter(p for r in rows if not pitman.held_out(r["doc_id"]) for p in zip([""] + _tokens(r["text"])[:-1], _tokens(r["text"]), strict=True))
+    assert sorted(c for c, _ in pairs.values()) == sorted(want.values()) and len({u for _, u in pairs}) == len({u for u, _ in want})
+    customers, tables = Counter(), [Counter() for _ in fitted.samples]
+    for (_, u), (c, t) in pairs.items():
+        customers[u] += c
+        for k, n in enumerate(t):
+            tables[k][u] += n
+    assert sum(customers.values()) == fitted.last.customers.sum() and [sum(t.values()) for t in tables] == [x.tables.sum() for x in fitted.samples]
+    for r in rows:
+        word, context, _ = pitman.tokens([(r["text"] or "").encode()], fitted.deal.bits)
+        total = 0.0
+        for w, u in zip(word.tolist(), context.tolist(), strict=True):
+            c, t = pairs.get((w, u), (0, [0] * len(fitted.samples)))
+            p = [x.served(c, t[k], customers[u], tables[k][u], x.parent_probability(*(parents[w][k] if w in parents else (0, 0)))) for k, x in enumerate(fitted.samples)]
+            total += math.log10(sum(p) / len(p))
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-5, abs=1e-4)
+
+
+def test_no_two_words_share_a_context(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 50, k * 50 + 50))) for k in range(100)], "doc_id long, text string")
+    texts = [r["text"].encode() for r in docs.collect()]
+    _, context, _ = pitman.tokens(texts, pitman.dealing(docs).bits)
+    assert len(set(context.tolist())) == 5000 + 1  # and the start
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(i, "a b c a b d a b c e f a") for i in range(20)] + [(100, "g h a"), (101, None)]
     df = pitman.common.doc_texts(spark.createDataFrame(rows, "doc_id long, text string"))
