@@ -125,12 +125,18 @@ class Deal:
         context = key & ((1 << self.bits) - 1)
         return wordbatch.ordered_set(context[context >= self.wide])
 
+    def fits(self, words: int) -> None:
+        """Keys are 63 bits; runs of TOKENS and buckets of BUCKET_BYTES are far below that."""
+        if self.places + words >= 1 << (63 - self.bits):
+            raise ValueError(f"{words} words in one list are too many for their keys")
+
     def named(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own words in order, key of each token)."""
         words, inverse = np.unique(word, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hot, words), max(len(self.hot) - 1, 0))
         hot = self.hot[at] == words if len(self.hot) else np.zeros(len(words), bool)
         place = np.where(hot, at, self.places + np.cumsum(~hot) - 1)
+        self.fits(int((~hot).sum()))
         return words[~hot], (place[inverse] << self.bits) | context
 
     def pieces(self, words: np.ndarray, key: np.ndarray, first: int, count: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,6 +199,7 @@ def _groups(column: np.ndarray) -> np.ndarray:
 def _joined(deal: Deal, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
     """One list of words for several (words, keys), and the keys by it."""
     words = wordbatch.ordered_set(np.concatenate([w for w, _ in parts]))
+    deal.fits(len(words))
     out = []
     for own, key in parts:
         place = key >> deal.bits
@@ -218,6 +225,11 @@ def _read_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["words"], np.uint64), _unpack_keys(row["low"], row["high"]), _unpack(row["count"], "<u8").astype(np.int64)
 
 
+def _runs(most: int, *columns: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The columns in runs of so many tokens at most: one, or more where a text is very long."""
+    return [tuple(c[a : a + most] for c in columns) for a in range(0, len(columns[0]), most)]
+
+
 def counted(docs: DataFrame, deal: Deal) -> DataFrame:
     """A row for each bucket of each run of a task's training tokens: its pairs and their counts, packed. Pairs of held-out tokens whose context has no number go along with a count of 0."""
     shared = docs.sparkSession.sparkContext.broadcast(deal)  # HOT hashes
@@ -228,14 +240,18 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
         def flush():
             word, context, learnt = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            words, key = deal.named(word, context)
+            runs = _runs(2 * TOKENS, word, context, learnt)
             del word, context
-            other = wordbatch.ordered_set(key[~learnt])
-            key, count = np.unique(key[learnt], return_counts=True)
-            if len(other):
-                key, count = _summed(np.concatenate([key, other]), np.concatenate([count, np.zeros(len(other), np.int64)]))
-            for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
-                yield _counts_row(b, own, mine, count[at])
+            while runs:
+                word, context, learnt = runs.pop()
+                words, key = deal.named(word, context)
+                del word, context
+                other = wordbatch.ordered_set(key[~learnt])
+                key, count = np.unique(key[learnt], return_counts=True)
+                if len(other):
+                    key, count = _summed(np.concatenate([key, other]), np.concatenate([count, np.zeros(len(other), np.int64)]))
+                for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
+                    yield _counts_row(b, own, mine, count[at])
 
         for batch in batches:
             for part in common.steps(batch):
@@ -462,11 +478,11 @@ def swept(state: DataFrame, deal: Deal, totals: Totals, sweep: int, keep: bool,
     """One Gibbs sweep over all buckets."""
     shared = state.sparkSession.sparkContext.broadcast((deal, totals))  # two numbers for each numbered context and hot word
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+    def task(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         deal, now = shared.value
-        _, rare_tables = _read_answers(right.to_pylist())
+        _, rare_tables = _read_answers(replies.to_pylist())
         out = []
-        for row in left.to_pylist():
+        for row in bucket.to_pylist():
             words, key, count = _read_counts(row)
             tables, parent = _unpack(row["tables"], "<u8").astype(np.int64), _unpack(row["parent"], "<u8").astype(np.int64)
             draw = np.random.default_rng([seed, sweep, row["bucket"]])
@@ -701,26 +717,29 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
             held.clear()
             sums = np.zeros((5, len(ids)))
             sums[0] = np.bincount(owner, minlength=len(ids))
-            words, key = deal.named(word, context)
-            del word, context
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            cut = int(np.searchsorted(key, deal.places << deal.bits))
-            at = np.minimum(np.searchsorted(keys, key[:cut]), max(len(keys) - 1, 0))
-            often = np.flatnonzero(keys[at] == key[:cut]) if len(keys) else np.zeros(0, np.int64)
-            o = owner[often]
-            sums[1] = np.bincount(o, minlength=len(ids))
-            if len(often):
-                sums[2] = np.bincount(o, base_of[key[often] >> deal.bits], len(ids))
-                sums[3] = np.bincount(o, scores[at[often]].astype(np.float64), len(ids))
+            every, runs = np.arange(len(ids)), _runs(2 * TOKENS, word, context, owner)
+            del word, context, owner
+            while runs:
+                word, context, of = runs.pop()
+                words, key = deal.named(word, context)
+                del word, context
+                order = np.argsort(key, kind="stable")
+                key, of = key[order], of[order]
+                cut = int(np.searchsorted(key, deal.places << deal.bits))
+                at = np.minimum(np.searchsorted(keys, key[:cut]), max(len(keys) - 1, 0))
+                often = np.flatnonzero(keys[at] == key[:cut]) if len(keys) else np.zeros(0, np.int64)
+                if len(often):
+                    o = of[often]
+                    sums[1] += np.bincount(o, minlength=len(ids))
+                    sums[2] += np.bincount(o, base_of[key[often] >> deal.bits], len(ids))
+                    sums[3] += np.bincount(o, scores[at[often]].astype(np.float64), len(ids))
+                other = np.ones(len(key), bool)
+                other[often] = False
+                key, of = key[other], of[other]
+                for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
+                    yield _tokens_row(chunk, b, own, mine, np.array([chunk]), every, of[at])
             blob = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "<i8").tobytes() + sums.tobytes()
             yield _part(chunk, chunk % deal.buckets // deal.group, docs=blob)
-            other = np.ones(len(key), bool)
-            other[often] = False
-            key, owner = key[other], owner[other]
-            every = np.arange(len(ids))
-            for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
-                yield _tokens_row(chunk, b, own, mine, np.array([chunk]), every, owner[at])
             chunk += 1
 
         for batch in batches:

@@ -130,6 +130,20 @@ def test_each_word_is_a_context_of_its_own(spark, monkeypatch, numbered, fan):
         assert got[r["doc_id"]] == pytest.approx(total, rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("fan", [2048, 3])
+def test_long_texts_are_dealt_in_runs(spark, monkeypatch, fan):
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    monkeypatch.setattr(pitman, "FAN", fan)
+    monkeypatch.setattr(pitman, "BUCKET_BYTES", 16_384)
+    one = {r["doc_id"]: r for r in pitman.scored(texts).collect()}
+    monkeypatch.setattr(pitman, "TOKENS", 500)
+    assert pitman.counted(pitman.common.doc_texts(texts), pitman.dealing(texts)).count() > 60
+    two = {r["doc_id"]: r for r in pitman.scored(texts).collect()}
+    for i in one:
+        assert [one[i][c] for c in ("n_tokens", "n_known", "train_tokens")] == [two[i][c] for c in ("n_tokens", "n_known", "train_tokens")]
+        assert one[i]["base_score"] == pytest.approx(two[i]["base_score"], rel=1e-9) and one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-5, abs=1e-4)
+
+
 def test_no_two_words_share_a_context(spark):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 50, k * 50 + 50))) for k in range(100)], "doc_id long, text string")
     texts = [r["text"].encode() for r in docs.collect()]
