@@ -132,12 +132,20 @@ class Deal:
 
     def named(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own words in order, key of each token)."""
-        words, inverse = np.unique(word, return_inverse=True)
+        order = np.argsort(word)
+        words = word[order]
+        first = _groups(words)
+        words = words[first]
         at = np.minimum(np.searchsorted(self.hot, words), max(len(self.hot) - 1, 0))
         hot = self.hot[at] == words if len(self.hot) else np.zeros(len(words), bool)
         place = np.where(hot, at, self.places + np.cumsum(~hot) - 1)
         self.fits(int((~hot).sum()))
-        return words[~hot], (place[inverse] << self.bits) | context
+        key = np.empty(len(word), np.int64)
+        key[order] = np.repeat(place, np.diff(first, append=len(word)))
+        del order
+        key <<= int(self.bits)
+        key |= context
+        return words[~hot], key
 
     def pieces(self, words: np.ndarray, key: np.ndarray, first: int, count: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket // size, its words, places in ``key``, its keys) for the buckets first .. first + count of sorted keys."""
@@ -209,8 +217,29 @@ def _joined(deal: Deal, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
 
 
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, place = np.unique(key, return_inverse=True)
-    return key, np.bincount(place, count, len(key)).round().astype(np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    first = _groups(key)
+    count = count[order]
+    del order
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _pairs(key: np.ndarray, learnt: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, of learnt tokens with their counts and of ``other`` (distinct, in order) with 0. Few arrays of a key for each token live at once: tasks run side by side in an executor."""
+    key = key[learnt]
+    key.sort()
+    first = _groups(key)
+    count = np.diff(first, append=len(key))
+    key = key[first]
+    del first
+    if len(other):
+        at = np.searchsorted(key, other)
+        new = np.ones(len(other), bool)
+        there = at < len(key)
+        new[there] = key[at[there]] != other[there]
+        key, count = np.insert(key, at[new], other[new]), np.insert(count, at[new], 0)
+    return key, count
 
 
 COUNTS = "bucket int, words binary, low binary, high binary, count binary"
@@ -238,18 +267,20 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
         deal, held, size = shared.value, [], 0
 
         def flush():
-            word, context, learnt = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [list(x) for x in zip(*held, strict=True)]
             held.clear()
-            runs = _runs(2 * TOKENS, word, context, learnt)
-            del word, context
+            whole = []
+            while columns:
+                whole.append(np.concatenate(columns.pop(0)))
+            runs = _runs(2 * TOKENS, *whole)
+            del whole
             while runs:
                 word, context, learnt = runs.pop()
                 words, key = deal.named(word, context)
                 del word, context
                 other = wordbatch.ordered_set(key[~learnt])
-                key, count = np.unique(key[learnt], return_counts=True)
-                if len(other):
-                    key, count = _summed(np.concatenate([key, other]), np.concatenate([count, np.zeros(len(other), np.int64)]))
+                key, count = _pairs(key, learnt, other)
+                del other, learnt
                 for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
                     yield _counts_row(b, own, mine, count[at])
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -144,6 +145,38 @@ def test_long_texts_are_dealt_in_runs(spark, monkeypatch, fan):
         assert one[i]["base_score"] == pytest.approx(two[i]["base_score"], rel=1e-9) and one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-5, abs=1e-4)
 
 
+def test_counting_holds_few_arrays_of_its_tokens():
+    n, draw = 400_000, np.random.default_rng(5)
+    word = wordbatch.mix((draw.zipf(1.2, n) % n).astype(np.uint64))
+    hot = np.unique(word)[:100]
+    deal = pitman.Deal(pitman.Bits(40, hot[:50]), 16, hot, len(hot), 1, 52)
+    context, learnt = pitman.contexts(np.roll(word, 1), deal.bits), draw.random(n) < 0.85
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+
+    (own, key), named = peak(lambda: deal.named(word, context))
+    every, place = np.unique(word, return_inverse=True)
+    number = np.where(np.isin(every, hot), np.searchsorted(hot, every), len(hot) + np.cumsum(~np.isin(every, hot)) - 1)
+    assert own.tolist() == np.setdiff1d(every, hot).tolist() and key.tolist() == ((number[place] << 40) | context).tolist()
+    assert named < 34  # bytes for a token; 42 with np.unique's inverse
+    count = draw.integers(0, 5, n)
+    (keys, sums), summed = peak(lambda: pitman._summed(key, count))
+    every, place = np.unique(key, return_inverse=True)
+    assert keys.tolist() == every.tolist() and sums.tolist() == np.bincount(place, count).astype(int).tolist()
+    assert summed < 45
+    other = np.unique(key[~learnt])
+    (keys, counts), pairs = peak(lambda: pitman._pairs(key, learnt, other))
+    assert keys.tolist() == every.tolist() and counts.tolist() == np.bincount(place, learnt).astype(int).tolist()
+    assert pairs < 45
+    none = key[:0]
+    assert [x.tolist() for x in (*pitman._summed(none, none), *pitman._pairs(none, learnt[:0], other[:2]))] == [[], [], other[:2].tolist(), [0, 0]]
+
+
 def test_no_two_words_share_a_context(spark):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 50, k * 50 + 50))) for k in range(100)], "doc_id long, text string")
     texts = [r["text"].encode() for r in docs.collect()]
