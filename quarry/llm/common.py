@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.shared import forget, shared_dir, written
 
-__all__ = ["doc_texts", "forget", "map_steps", "prepare", "put_column", "shared_dir", "steps", "text_bytes", "written"]
+__all__ = ["doc_texts", "forget", "give_back", "lean", "map_steps", "prepare", "put_column", "shared_dir", "steps", "text_bytes", "written"]
 
 #: Bytes of text that one step of a Python operator holds as working arrays.
 STEP_BYTES = 2 << 20
@@ -71,6 +74,44 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(task, schema)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """The task of a Python worker (over batches, a group or two), after which freed memory goes back: workers stay between tasks, beside their executor's JVM."""
+    if inspect.isgeneratorfunction(work):
+
+        def batches(x):
+            yield from work(x)
+            give_back()
+
+        return batches
+
+    def group(x):
+        out = work(x)
+        give_back()
+        return out
+
+    def pair(x, y):
+        out = work(x, y)
+        give_back()
+        return out
+
+    return pair if len(inspect.signature(work).parameters) == 2 else group
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import contextlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,18 +90,72 @@ def contexts(word: np.ndarray, bits: int) -> np.ndarray:
     return np.where(numbered[at] == word, at + 1, own)
 
 
-def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, text number) of every token, the end of each text included."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, text number) of every token, the end of each text included."""
     words = wordbatch.split(texts)
     place = np.arange(len(words.owner)) + words.owner
     last = np.cumsum(words.per_text() + 1) - 1
     word = np.empty(len(words.owner) + len(texts), np.uint64)
-    owner = np.empty(len(word), np.int64)
+    owner = np.empty(len(word), np.int32)
     word[last], owner[last] = END, np.arange(len(texts))
     word[place], owner[place] = words.hashes(), words.owner
-    context = np.full(len(word), START_CONTEXT, np.int64)
-    context[place + 1] = contexts(word[place], bits)
-    return word, context, owner
+    return word, owner
+
+
+def _after(word: np.ndarray, bits: int) -> np.ndarray:
+    """The context of a token that comes after each word; after an end it is the start of the next text."""
+    return np.where(word == END, START_CONTEXT, contexts(word, bits))
+
+
+def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, text number) of every token, the end of each text included."""
+    word, owner = _words(texts)
+    return word, np.r_[np.full(min(1, len(word)), START_CONTEXT), _after(word[:-1], bits)], owner
+
+
+@dataclass
+class Piece:
+    """Tokens in few bytes each, as tasks hold many and run side by side in an executor."""
+
+    words: np.ndarray  # the distinct ones, in order
+    context: np.ndarray  # that a token after each of them has
+    at: np.ndarray  # each token's place among the words, and that of the word before it
+    before: np.ndarray
+    mark: np.ndarray  # of each token: its text's number, or what the caller needs instead
+
+    def only(self, some: np.ndarray) -> Piece:
+        """Some of the tokens, with the words that they need."""
+        if some.all():
+            return self
+        at, before = self.at[some], self.before[some]
+        there = np.zeros(len(self.words), bool)
+        there[at] = there[before] = True
+        place = np.cumsum(there, dtype=np.int32) - np.int32(1)
+        return Piece(self.words[there], self.context[there], place[at], place[before], self.mark[some])
+
+    def used(self) -> np.ndarray:
+        """The words that tokens have."""
+        there = np.zeros(len(self.words), bool)
+        there[self.at] = True
+        return self.words[there]
+
+
+def pieces_of(texts: list[bytes], bits: int, most: int) -> Iterator[Piece]:
+    """The tokens of the texts in order, in pieces of ``most`` or less."""
+    word, owner = _words(texts)
+    for a in range(0, len(word), most):
+        words, at = np.unique(np.r_[word[a - 1] if a else END, word[a : a + most]], return_inverse=True)
+        at = at.astype(np.int32)
+        yield Piece(words, _after(words, bits), at[1:], at[:-1], owner[a : a + most])
+
+
+def _bunches(held: list[Piece], most: int) -> Iterator[list[Piece]]:
+    """Takes the pieces out in order, together until they are ``most`` tokens or more."""
+    while held:
+        n = np.cumsum([len(p.at) for p in held])
+        last = min(int(np.searchsorted(n, most)) + 1, len(held))
+        bunch, held[:last] = held[:last], []
+        yield bunch
 
 
 @dataclass
@@ -147,6 +201,12 @@ class Deal:
         key |= context
         return words[~hot], key
 
+    def listed(self, pieces: list[Piece]) -> tuple[np.ndarray, Callable[[Piece], np.ndarray]]:
+        """(own words of all pieces in order, what gives the key of each token of a piece)."""
+        every = wordbatch.ordered_set(np.concatenate([p.used() for p in pieces]))
+        words, place = self.named(every, np.zeros(len(every), np.int64))
+        return words, lambda p: place[np.minimum(np.searchsorted(every, p.words), len(every) - 1)][p.at] | p.context[p.before]
+
     def pieces(self, words: np.ndarray, key: np.ndarray, first: int, count: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket // size, its words, places in ``key``, its keys) for the buckets first .. first + count of sorted keys."""
         floor = self.places << self.bits
@@ -225,8 +285,8 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _pairs(key: np.ndarray, learnt: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, of learnt tokens with their counts and of ``other`` (distinct, in order) with 0. Few arrays of a key for each token live at once: tasks run side by side in an executor."""
+def _pairs(key: np.ndarray, learnt: np.ndarray | slice, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, of learnt tokens with their counts and of ``other`` (distinct, in order) with 0. Few arrays of a key for each token live at once: tasks run side by side in an executor. A slice of ``key`` is sorted where it lies."""
     key = key[learnt]
     key.sort()
     first = _groups(key)
@@ -254,11 +314,6 @@ def _read_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["words"], np.uint64), _unpack_keys(row["low"], row["high"]), _unpack(row["count"], "<u8").astype(np.int64)
 
 
-def _runs(most: int, *columns: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """The columns in runs of so many tokens at most: one, or more where a text is very long."""
-    return [tuple(c[a : a + most] for c in columns) for a in range(0, len(columns[0]), most)]
-
-
 def counted(docs: DataFrame, deal: Deal) -> DataFrame:
     """A row for each bucket of each run of a task's training tokens: its pairs and their counts, packed. Pairs of held-out tokens whose context has no number go along with a count of 0."""
     shared = docs.sparkSession.sparkContext.broadcast(deal)  # HOT hashes
@@ -267,39 +322,36 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
         deal, held, size = shared.value, [], 0
 
         def flush():
-            columns = [list(x) for x in zip(*held, strict=True)]
-            held.clear()
-            whole = []
-            while columns:
-                whole.append(np.concatenate(columns.pop(0)))
-            runs = _runs(2 * TOKENS, *whole)
-            del whole
-            while runs:
-                word, context, learnt = runs.pop()
-                words, key = deal.named(word, context)
-                del word, context
-                other = wordbatch.ordered_set(key[~learnt])
-                key, count = _pairs(key, learnt, other)
-                del other, learnt
-                for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
-                    yield _counts_row(b, own, mine, count[at])
+            words, keys = deal.listed(held)
+            key, other, n = [np.empty(sum(int(p.mark.sum()) for p in held), np.int64)], [], 0
+            while held:
+                piece = held.pop()
+                mine = keys(piece)
+                other.append(wordbatch.ordered_set(mine[~piece.mark]))
+                mine = mine[piece.mark]
+                key[0][n : n + len(mine)] = mine
+                n += len(mine)
+            del piece, mine, keys
+            key, count = _pairs(key.pop(), slice(None), wordbatch.ordered_set(np.concatenate(other)))
+            for b, own, at, mine in deal.pieces(words, key, 0, deal.buckets, deal.group):
+                yield _counts_row(b, own, mine, count[at])
 
         for batch in batches:
             for part in common.steps(batch):
                 learn = np.array([not held_out(i) for i in part.column(0).to_pylist()], bool)
-                word, context, owner = tokens(common.text_bytes(part), deal.bits)
-                learnt = learn[owner]
-                some = learnt | (context >= deal.wide)
-                if some.any():
-                    held.append((word[some], context[some], learnt[some]))
-                    size += len(held[-1][0])
-                if size >= TOKENS:
-                    yield from flush()
-                    held, size = [], 0
+                for piece in pieces_of(common.text_bytes(part), deal.bits, TOKENS):
+                    piece.mark = learn[piece.mark]
+                    some = piece.mark | (piece.context[piece.before] >= deal.wide)
+                    if some.any():
+                        held.append(piece.only(some))
+                        size += len(held[-1].at)
+                    if size >= TOKENS:
+                        yield from flush()
+                        size = 0
         if held:
             yield from flush()
 
-    rows = docs.mapInArrow(task, COUNTS)
+    rows = docs.mapInArrow(common.lean(task), COUNTS)
     size = deal.group
     if size == 1:
         return rows
@@ -327,7 +379,7 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
             yield from flush()
 
     salt = F.pmod(F.xxhash64("low", "words"), F.lit(max(1, size // 4)))
-    return rows.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt").mapInArrow(again, COUNTS)
+    return rows.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt").mapInArrow(common.lean(again), COUNTS)
 
 
 #: also: contexts of held-out tokens, which have no number and no pair here; kept_rare: tables of all asked contexts, of kept seatings.
@@ -436,7 +488,7 @@ def gathered(counts: DataFrame, deal: Deal) -> DataFrame:
         words = words[used]
         return pa.Table.from_pydict(_state(deal, table["bucket"][0].as_py(), words, key, count, np.ones(len(key), np.int64), np.ones(len(words), np.int64), [], [], [*_pack_keys(also)], []), schema=_SCHEMA)
 
-    return counts.groupBy("bucket").applyInArrow(merge, STATE)
+    return counts.groupBy("bucket").applyInArrow(common.lean(merge), STATE)
 
 
 _KINDS = {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
@@ -470,7 +522,7 @@ def asked(state: DataFrame, deal: Deal) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ASKED, strict=True)], names=[x.split()[0] for x in ASKED.split(", ")])
 
-    return state.select("bucket", "words", "low", "high", "count", "tables", "also").mapInArrow(task, ASKED)
+    return state.select("bucket", "words", "low", "high", "count", "tables", "also").mapInArrow(common.lean(task), ASKED)
 
 
 _ASKED = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -495,7 +547,7 @@ def answered(asked: DataFrame) -> DataFrame:
             out[name] = pa.array([_pack_counts(sums[a:b]) for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
         return pa.Table.from_pydict(out)
 
-    return asked.groupBy("group").applyInArrow(add, ANSWERS)
+    return asked.groupBy("group").applyInArrow(common.lean(add), ANSWERS)
 
 
 def _read_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -541,7 +593,7 @@ def swept(state: DataFrame, deal: Deal, totals: Totals, sweep: int, keep: bool,
         return pa.concat_tables(out) if out else _SCHEMA.empty_table()
 
     answers = answered(asked(state, deal))
-    return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(task, STATE)
+    return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(common.lean(task), STATE)
 
 
 def _totals(state: DataFrame, deal: Deal, seed: int, exact: int) -> Totals:
@@ -593,7 +645,7 @@ def common_words(docs: DataFrame, rows: int, most: int) -> np.ndarray:
 
     def make():
         def work(batch):
-            word, _, _ = tokens(common.text_bytes(batch), 1)
+            word, _ = _words(common.text_bytes(batch))
             words, count = np.unique(word, return_counts=True)
             return {"word": pa.array(words.view(np.int64)), "count": pa.array(count)}
 
@@ -704,7 +756,7 @@ def common_pairs(fitted: Fitted) -> tuple[np.ndarray, np.ndarray]:
                     _, score = bucket.scores(np.zeros(0, np.uint64), key)
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key), "score": pa.array(score, pa.float32())})
 
-    rows = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent", "also", "kept_rare").mapInArrow(task, "key long, score float").toArrow()
+    rows = fitted.state.select("bucket", "words", "low", "high", "count", "kept", "kept_parent", "also", "kept_rare").mapInArrow(common.lean(task), "key long, score float").toArrow()
     key, score = rows["key"].to_numpy(), rows["score"].to_numpy()
     order = np.argsort(key)
     return key[order], score[order]
@@ -739,23 +791,26 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
         deal, keys, scores, base_of = shared.value
         chunk = TaskContext.get().partitionId() << 32
         ids: list = []
-        held: list[tuple] = []
+        held: list[Piece] = []
         size = 0
 
         def flush():
             nonlocal chunk
-            word, context, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
             sums = np.zeros((5, len(ids)))
-            sums[0] = np.bincount(owner, minlength=len(ids))
-            every, runs = np.arange(len(ids)), _runs(2 * TOKENS, word, context, owner)
-            del word, context, owner
-            while runs:
-                word, context, of = runs.pop()
-                words, key = deal.named(word, context)
-                del word, context
+            every = np.arange(len(ids))
+            for bunch in _bunches(held, TOKENS):
+                words, keys_of = deal.listed(bunch)
+                of = np.concatenate([p.mark for p in bunch])
+                sums[0] += np.bincount(of, minlength=len(ids))
+                key, n = np.empty(len(of), np.int64), 0
+                while bunch:
+                    piece = bunch.pop(0)
+                    key[n : n + len(piece.at)] = keys_of(piece)
+                    n += len(piece.at)
+                del piece, keys_of
                 order = np.argsort(key, kind="stable")
                 key, of = key[order], of[order]
+                del order
                 cut = int(np.searchsorted(key, deal.places << deal.bits))
                 at = np.minimum(np.searchsorted(keys, key[:cut]), max(len(keys) - 1, 0))
                 often = np.flatnonzero(keys[at] == key[:cut]) if len(keys) else np.zeros(0, np.int64)
@@ -775,8 +830,9 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
 
         for batch in batches:
             for part in common.steps(batch):
-                word, context, owner = tokens(common.text_bytes(part), deal.bits)
-                held.append((word, context, owner + len(ids)))
+                for piece in pieces_of(common.text_bytes(part), deal.bits, TOKENS):
+                    piece.mark += np.int32(len(ids))
+                    held.append(piece)
                 ids += part.column(0).to_pylist()
                 size += part.nbytes
                 if size >= CHUNK_BYTES:
@@ -785,7 +841,7 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
         if ids:
             yield from flush()
 
-    rows = docs.mapInArrow(task, PARTS)
+    rows = docs.mapInArrow(common.lean(task), PARTS)
     if fitted.deal.group == 1:
         return rows
     size = fitted.deal.group
@@ -827,7 +883,7 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
             yield from flush()
 
     salt = F.pmod(F.xxhash64("to"), F.lit(max(1, size // 4)))
-    return rows.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt").mapInArrow(again, PARTS)
+    return rows.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt").mapInArrow(common.lean(again), PARTS)
 
 
 SUMS = "to long, docs binary, chunk binary, doc binary, known binary, base binary, score binary"
@@ -871,7 +927,7 @@ def scored(docs: DataFrame, seed: int = 1, exact: int = EXACT) -> DataFrame:
                     out[name].append(value)
         return pa.Table.from_pydict({k: pa.array(v, pa.int64() if k == "to" else pa.binary()) for k, v in out.items()})
 
-    partial = state.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(match, SUMS)
+    partial = state.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(common.lean(match), SUMS)
 
     def gather(table: pa.Table) -> pa.Table:
         """Of rows of several chunks, from several buckets, one row for each chunk; others stay."""

@@ -82,9 +82,15 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         part = slice(first, last)
         size = short[part]
         offset = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) - np.repeat(offset, size)
-        values = data[at + np.repeat(start[part], size)].astype(np.uint64) + np.uint64(1)
+        at = np.arange(int(size.sum()))
+        at -= np.repeat(offset, size)
+        place = np.repeat(start[part], size)
+        place += at
+        values = data[place].astype(np.uint64)
+        del place
+        values += np.uint64(1)
         values *= _powers(int(size.max()))[at]
+        del at
         out[part] = mix(np.add.reduceat(values, offset) + length[part].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         first = last
     for i in np.flatnonzero(length > LONG).tolist():

@@ -3,11 +3,14 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quarry.llm import pii, pitman, quality, queries, wordbatch
+from quarry.llm import common, pii, pitman, quality, queries, wordbatch
 from tests.conftest import SMALL
 
 
@@ -177,6 +180,71 @@ def test_counting_holds_few_arrays_of_its_tokens():
     assert [x.tolist() for x in (*pitman._summed(none, none), *pitman._pairs(none, learnt[:0], other[:2]))] == [[], [], other[:2].tolist(), [0, 0]]
 
 
+def test_a_counting_task_is_small_and_whole():
+    """A task over 1.7 million tokens, held-out ones among them: all pairs and counts, in little memory."""
+    draw, texts = np.random.default_rng(3), []
+    for _ in range(1200):
+        texts.append(" ".join(f"w{x}" for x in (draw.zipf(1.3, 1400) % 60_000).tolist()))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(a, a + 100), "text": texts[a : a + 100]}) for a in range(0, 1200, 100)]
+    word, context, owner = pitman.tokens([x.encode() for x in texts], 40)
+    hot = np.sort(np.unique(word)[::300])
+    deal = pitman.Deal(pitman.Bits(40, hot[:50]), 16, hot, len(hot), 1, 52)
+    word, context, owner = pitman.tokens([x.encode() for x in texts], deal.bits)
+    learnt = np.array([not pitman.held_out(i) for i in range(1200)])[owner]
+    asked = context >= deal.wide
+    want = Counter(zip(word[learnt].tolist(), context[learnt].tolist(), strict=True))
+    want.update({(w, c): 0 for w, c in zip(word[~learnt & asked].tolist(), context[~learnt & asked].tolist(), strict=True) if (w, c) not in want})
+    tokens = len(word)
+    del word, context, owner, learnt, asked
+    share = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    task = pitman.counted(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=share), mapInArrow=lambda work, schema: work), deal)
+    tracemalloc.start()
+    rows = [r.to_pylist()[0] for r in task(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1] / tokens
+    tracemalloc.stop()
+    got = Counter()
+    for row in rows:
+        words, key, count = pitman._read_counts(row)
+        place = key >> 40
+        named = np.r_[hot, words][place]
+        assert (np.diff(key) > 0).all()
+        got.update(dict(zip(zip(named.tolist(), (key & ((1 << 40) - 1)).tolist(), strict=True), count.tolist(), strict=True)))
+    assert got == want and len(got) == len(want)
+    assert peak < 30  # bytes for a token; 44 with words and contexts of eight bytes each
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_pieces_are_all_tokens(most):
+    texts = [x.encode() for x in ("a b a", "", "B c  a", " ", "a " * 20, "d")]
+    word, context, owner = pitman.tokens(texts, 40)
+    pieces = list(pitman.pieces_of(texts, 40, most))
+    assert all(len(p.at) <= most for p in pieces)
+    assert np.concatenate([p.words[p.at] for p in pieces]).tolist() == word.tolist()
+    assert np.concatenate([p.context[p.before] for p in pieces]).tolist() == context.tolist()
+    assert np.concatenate([p.mark for p in pieces]).tolist() == owner.tolist()
+    some = [p.only(p.mark == 4) for p in pieces if (p.mark == 4).any()]
+    assert np.concatenate([p.words[p.at] for p in some]).tolist() == word[owner == 4].tolist() and max(len(p.words) for p in some) <= 2
+    assert np.concatenate([p.context[p.before] for p in some]).tolist() == context[owner == 4].tolist()
+    assert sum(map(len, pitman._bunches(pieces[:], 9))) == len(pieces) and list(pitman.pieces_of([], 40, most)) == []
+
+
+@pytest.mark.skipif(common._trim() is None, reason="another C library")
+def test_workers_give_freed_memory_back():
+    def anonymous():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    kept = []
+
+    def work(batches):
+        held = [bytes(1000) for _ in range(100_000)]
+        kept.extend(held[::100])  # what stays lies between what goes
+        yield anonymous()
+
+    (most,) = common.lean(work)(())
+    assert most - anonymous() > 60  # of 100
+    assert common.lean(lambda x: x + 1)(1) == 2 and common.lean(lambda x, y: (x, y))(1, 2) == (1, 2)
+
+
 def test_no_two_words_share_a_context(spark):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 50, k * 50 + 50))) for k in range(100)], "doc_id long, text string")
     texts = [r["text"].encode() for r in docs.collect()]
