@@ -322,6 +322,7 @@ def counted(docs: DataFrame, deal: Deal) -> DataFrame:
         deal, held, size = shared.value, [], 0
 
         def flush():
+            common.give_back()
             words, keys = deal.listed(held)
             key, other, n = [np.empty(sum(int(p.mark.sum()) for p in held), np.int64)], [], 0
             while held:
@@ -796,6 +797,7 @@ def dealt(docs: DataFrame, table, fitted: Fitted) -> DataFrame:
 
         def flush():
             nonlocal chunk
+            common.give_back()
             sums = np.zeros((5, len(ids)))
             every = np.arange(len(ids))
             for bunch in _bunches(held, TOKENS):

@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 #: Odd multiplier of the polynomial hash; its powers are made from it on demand.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
-CHUNK, LONG = 1 << 20, 1 << 12
+CHUNK, LONG = 1 << 18, 1 << 12
 
 
 def _powers(n: int) -> np.ndarray:
